@@ -1,0 +1,39 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from websift.llm import secrets
+from websift.llm.queries import op9_secrets
+
+
+def test_forest_learns():
+    rng = np.random.default_rng(0)
+    x = rng.random((600, 5))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 3] > 0.5)).astype(float)
+    f = secrets.Forest(x[:400], y[:400], trees=30)
+    assert ((f.predict(x[400:]) > 0.5) == y[400:]).mean() > 0.85
+
+
+def test_held_out_findings():
+    forest = secrets.fit(secrets.sample_findings(3000, seed=11))
+    test = secrets.sample_findings(1000, seed=99)
+    p = forest.predict(np.array([secrets.features(t, b, a) for t, b, a, _ in test]))
+    assert np.mean((p >= 0.5) == np.array([s for *_, s in test])) > 0.97
+
+
+def test_planted(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r.doc_id): r.n for r in rows.select("doc_id", F.regexp_count("text", F.lit(r'token = "[0-9a-f]{40}"')).alias("n")).filter("n > 0").collect()}
+    got = {r.doc_id: r.n_secrets for r in op9_secrets(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == rows.count() and want
+    assert {i: n for i, n in got.items() if n} == want
+
+
+def test_redact(spark, odd, none):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    text = f'é🙂 token = "{key}" und password = "{key}" end'
+    forest = secrets.fit(secrets.sample_findings())
+    df = spark.createDataFrame([(1, text), (2, None), (3, "no digest " + "a" * 40)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.redact(secrets.scan(df, forest)).collect()}
+    assert got[1].text == 'é🙂 token = "[SECRET]" und password = "[SECRET]" end' and [text[s.start : s.end] for s in got[1].secrets] == [key, key]
+    assert got[2].text is None and got[2].secrets == [] and got[3].text.endswith("a")
+    assert secrets.scan(odd, forest).count() == odd.count() and secrets.scan(none, forest).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, sharding, warc
+from . import bpe, jaccard, langid, media, mixing, secrets, sharding, vectors, warc
 from .common import as_bytes, table
 
 #: The vocabulary that op2 and the pipeline encode with; a parameter of the operators.
@@ -35,6 +35,16 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link counts and components of all embeddings at a cosine of 0.9 or more."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents, sources weighing 5, 2, 1 in turn, none above 3 times its size."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -62,8 +72,27 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of candidate secrets, and those that the forest keeps."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), secrets.fit(secrets.sample_findings()))
+    return found.select(
+        "doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"),
+        F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["start"], s["end"], s["kind"])), " ").alias("spans"),
+    )
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict every document's language with filters learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.filter(~langid.held_out() & F.col("doc_id").isNotNull()))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "coverage")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_bpe": op2_bpe, "op6_mixing": op6_mixing, "op7_sharding": op7_sharding, "op8_media": op8_media}
+    return {
+        "op1_warc": op1_warc, "op2_bpe": op2_bpe, "op4_jaccard": op4_jaccard, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing,
+        "op7_sharding": op7_sharding, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_langid": op10_langid,
+    }
 
 
 WARC_SQL = """
