@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, media, mixing, secrets, sharding, vectors, warc
+from . import bpe, jaccard, langid, media, mixing, secrets, sharding, suffixes, vectors, warc
 from .common import as_bytes, table
 
 #: The vocabulary that op2 and the pipeline encode with; a parameter of the operators.
@@ -35,6 +35,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every byte of every document that a 100-byte string covers which also starts earlier."""
+    kept = suffixes.remove_repeats(table(spark, sf_dir, "documents"), 100)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), 4, 85, 100)
@@ -90,7 +96,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_warc": op1_warc, "op2_bpe": op2_bpe, "op4_jaccard": op4_jaccard, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing,
+        "op1_warc": op1_warc, "op2_bpe": op2_bpe, "op3_suffixes": op3_suffixes, "op4_jaccard": op4_jaccard, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_langid": op10_langid,
     }
 
