@@ -7,9 +7,11 @@ the same kind (no token spans them), so a worker keeps the ids of the chunks it
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,9 +24,12 @@ from .common import widened
 
 #: Fixed values of the vocabulary's file format: pieces that its pre-tokenizer keeps, and the bytes that its byte-level
 #: alphabet shows as themselves (the others follow from U+0100 on).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+"  # of a run without white space
+ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"  # of a run without white space
 SHOWN = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
-MEMO = 200_000
+#: A worker remembers chunks and pieces in two generations of at most this many each.
+MEMO = 100_000
+NONE = 1 << 40
 
 
 def byte_alphabet() -> list[str]:
@@ -33,6 +38,27 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
+class Memo:
+    """A bounded memory of results: when the new generation is full it becomes the old one, and what is asked for again moves up."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value):
+        if len(key) <= 64:
+            if len(self.new) >= MEMO:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
+        return value
+
+
 class Tokenizer:
     """The encoder and decoder of one vocabulary file (lower-casing, NFC, word ends marked)."""
 
@@ -45,10 +71,12 @@ class Tokenizer:
         self.tokens = [""] * (max([*vocab.values(), *added.values()]) + 1)
         for token, i in [*vocab.items(), *added.items()]:
             self.tokens[i] = token
-        self.joins: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[int, int] = {}  # of a pair of ids, packed
+        self.made: list[int] = []  # the id that the merge of a rank gives
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.joins[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self.rank.setdefault(vocab[a] << 20 | vocab[b], rank)
+            self.made.append(vocab[a + b])
         alphabet = byte_alphabet()
         self.inner = [vocab[c] for c in alphabet]
         self.last = [vocab[c + self.end] for c in alphabet]
@@ -62,54 +90,78 @@ class Tokenizer:
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.markers = tuple(added)
         self.pieces = regex.compile(PIECES)
-        self.memo: dict[str, bytes] = {}
-        self.fragments: dict[bytes, tuple[int, ...]] = {}
+        self.ascii_pieces = re.compile(ASCII_PIECES).findall
+        self.chunks, self.parts = Memo(), Memo()
 
-    def fragment(self, raw: bytes, ends: bool) -> tuple[int, ...]:
+    def fragment(self, raw: bytes, ends: bool) -> list[int]:
         """Ids of one fragment: the best-ranked neighbouring pair is merged, leftmost first, until none is left."""
         ids = [self.inner[b] for b in raw]
         if ends:
             ids[-1] = self.last[raw[-1]]
-        joins = self.joins
-        while len(ids) > 1:
-            best = min((joins.get(pair, (1 << 30, -1)) for pair in zip(ids, ids[1:], strict=False)), default=(1 << 30, -1))
-            if best[1] < 0:
-                break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and joins.get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return tuple(ids)
-
-    def piece(self, raw: bytes) -> list[int]:
-        """Ids of one pre-tokenized piece, cut where two neighbouring bytes are never joined."""
-        never = self.never
+        if len(ids) > 200:
+            return self.long_fragment(ids)
+        rank, made = self.rank.get, self.made
+        ranks = [rank(a << 20 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) != NONE:
+            i = ranks.index(best)
+            ids[i : i + 2] = [made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 20 | ids[i], NONE)
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] << 20 | ids[i + 1], NONE)
+        return ids
+
+    def long_fragment(self, ids: list[int]) -> list[int]:
+        """The same by a heap of places over linked neighbours, for fragments of any length."""
+        n, rank, made = len(ids), self.rank.get, self.made
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank(ids[i] << 20 | ids[i + 1], NONE)) != NONE]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank(ids[i] << 20 | ids[j], NONE) != r:
+                continue
+            ids[i], ids[j] = made[r], -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (new := rank(ids[x] << 20 | ids[y], NONE)) != NONE:
+                    heapq.heappush(heap, (new, x))
+        return [i for i in ids if i >= 0]
+
+    def piece(self, text: str) -> bytes:
+        """Packed ids of one pre-tokenized piece, cut where two neighbouring bytes are never joined."""
+        known = self.parts.get(text)
+        if known is not None:
+            return known
+        raw, never = text.encode(), self.never
         cuts = [i + 1 for i, pair in enumerate(zip(raw, raw[1:], strict=False)) if pair in never]
         ids: list[int] = []
         for start, stop in zip([0, *cuts], [*cuts, len(raw)], strict=True):
             ids += self.fragment(raw[start:stop], stop == len(raw))
-        return ids
+        return self.parts.put(text, array("I", ids).tobytes())
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a run without white space, packed as little-endian unsigned 32-bit integers."""
-        text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        ids = [i for piece in self.pieces.findall(text.lower()) for i in self.piece(piece.encode())]
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        packed = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            self.memo[chunk] = packed
-        return packed
+        if (known := self.chunks.old.get(chunk)) is not None:
+            return self.chunks.put(chunk, known)
+        if chunk.isascii():
+            pieces = self.ascii_pieces(chunk.lower())
+        else:
+            pieces = self.pieces.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
+        return self.chunks.put(chunk, b"".join([self.piece(p) for p in pieces]))
 
     def plain(self, text: str) -> bytes:
         chunks = WHITE.split(text) if CONTROL.search(text) else text.split()
-        memo, chunk = self.memo.get, self.chunk
-        return b"".join([memo(c) or chunk(c) for c in chunks if c])
+        chunk = self.chunk
+        out = []
+        for c in chunks:
+            if c:
+                out.append(self.chunks.new.get(c) or chunk(c))
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         if self.special is None or not any(m in text for m in self.markers):
