@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Corporate suffixes dropped from names, and the order in which address words are shortened.
 CORPORATE = ("inc", "incorporated", "llc", r"l\.l\.c\.", "ltd", "limited", "corp", "corporation", "co", "company", "gmbh", "sa", "plc")
@@ -17,12 +18,12 @@ ADDRESS_WORDS = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 

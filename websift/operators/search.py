@@ -33,10 +33,11 @@ def indexed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("stems", tokens.passage_stems("text")).withColumn("length", F.size("stems")).filter("length > 0")
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc, stem, tf, length): the term counts are made before rows leave their document."""
-    counted = F.transform(F.array_distinct("stems"), lambda s: F.struct(s.alias("stem"), F.size(F.filter("stems", lambda t: t == s)).alias("tf")))
-    return docs.select(F.col(id_col).alias("doc"), "length", F.inline(counted))
+def postings(docs: DataFrame, id_col: str = "doc_id", vocabulary: DataFrame | None = None) -> DataFrame:
+    """(doc, stem, tf, length), of the vocabulary's stems alone if one is given: others go before anything is counted."""
+    rows = docs.select(F.col(id_col).alias("doc"), "length", F.explode("stems").alias("stem"))
+    rows = rows if vocabulary is None else rows.join(vocabulary, "stem", "left_semi")
+    return rows.groupBy("doc", "stem").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -65,15 +66,15 @@ def bm25(tf: Column, length: Column, df: Column, n_docs: Column, avg_length: Col
 def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", url_col: str | None = None, least: float = LEAST_SCORE) -> DataFrame:
     """(query_id, doc, score, coverage, matched) of every document above the least score, for a batch of queries.
 
-    Only the queries' own stems are joined: a document's stems are cut down to the batch's vocabulary in the row, with
-    term counts, before anything is exploded; frequencies come from the same exploded rows. Queries are the small side of
+    Only the batch's own vocabulary is counted: other stems go in a semi join as soon as they are exploded, and term
+    counts are combined before they are shuffled; document frequencies come from the same counts. Queries are the small side of
     all joins and are left to the planner, which sees their size.
     """
     docs, prepared = indexed(docs), prepared_queries(queries)
     stats = corpus_stats(docs)
     terms = prepared.select("query_id", F.explode("stems").alias("stem"))
     vocabulary = terms.select("stem").distinct()
-    hits = postings(docs, id_col).join(vocabulary, "stem")
+    hits = postings(docs, id_col, vocabulary)
     frequency = hits.groupBy("stem").agg(F.count("*").alias("df"))
     # one row of corpus figures
     weighted = hits.join(frequency, "stem").crossJoin(F.broadcast(stats)).withColumn("part", bm25(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("avg_length")))

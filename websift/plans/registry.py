@@ -1,11 +1,234 @@
-"""Every registered query of the engine's own operators, with its SQL."""
+"""Every registered query of the engine's own operators, with its SQL in `sql`."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import textnorm, urls
+from ..operators import links, nap, onpage, search
+from ..sources import dom
+from ..sources.pages import as_pages, read_pages
+from . import sql
 
-def oracle_sql():
-    return {}
+TOP = 5  # passages per question in the top-k report
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_pages(spark, f"{sf_dir}/pages.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
+
+
+def _augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with what a crawl would have recorded, made up from page_id: the tables hold bodies only."""
+    n = F.col("page_id")
+    hop = F.struct(F.lit(301).alias("status"), F.col("url"))
+    raw = _table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.when(n % 7 == 3, "").otherwise(F.col("html")).alias("html"),
+        F.when(n % 7 == 3, F.when(n % 2 == 0, 503).otherwise(404)).otherwise(200).alias("status"),
+        (n % 6).cast("int").alias("depth"), (n % 4).cast("double").alias("response_time"),
+        F.when(n % 5 == 0, F.array(hop, hop)).otherwise(F.array(hop)).alias("redirect_chain"),
+    )
+    return as_pages(raw)
+
+
+def _page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onpage.page_findings(onpage.facts_of(_pages(spark, sf_dir)))
+
+
+def page_findings(spark, sf_dir):
+    """Every page rule that fires."""
+    return _page_findings(spark, sf_dir).select("seq", "metric", "issue", "page", "severity")
+
+
+def title_findings(spark, sf_dir):
+    """The title rules, with evidence and advice."""
+    return _page_findings(spark, sf_dir).filter("metric like '%title%' and metric not like 'open%'").select("seq", *onpage.FINDING)
+
+
+def thin_content(spark, sf_dir):
+    """Pages with too few visible words, with evidence."""
+    return _page_findings(spark, sf_dir).filter("metric = 'thin_content_signal'").select("seq", "page", "severity", "evidence")
+
+
+def dom_size(spark, sf_dir):
+    """Elements per page."""
+    return onpage.facts_of(_pages(spark, sf_dir)).select("seq", F.col("n_nodes").cast("long").alias("n_nodes"))
+
+
+def tag_census(spark, sf_dir):
+    """Elements per tag over all pages."""
+    return dom.dom_nodes(_pages(spark, sf_dir)).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def crawl_findings(spark, sf_dir):
+    """Depth, redirect and failure rules on pages with a crawl record."""
+    return onpage.crawl_findings(_augmented(spark, sf_dir)).select("seq", "metric", "page", "severity", "evidence")
+
+
+def duplicate_titles(spark, sf_dir):
+    """Titles that several pages share: one finding per page."""
+    return onpage.cross_page_findings(onpage.facts_of(_pages(spark, sf_dir))).select("page", "metric", "severity", "evidence")
+
+
+def severity_rollup(spark, sf_dir):
+    """Findings per severity and in total."""
+    return onpage.severity_counts(_page_findings(spark, sf_dir)).select(F.coalesce("severity", F.lit("all")).alias("severity"), "n")
+
+
+def health_score(spark, sf_dir):
+    """Score, band and overview of the crawl findings."""
+    return onpage.health(onpage.crawl_findings(_augmented(spark, sf_dir))).select(F.col("health_score").cast("long").alias("health_score"), "total", "band", "overview")
+
+
+def audit(spark, sf_dir):
+    """The whole audit: crawl, page and cross-page findings with their order keys."""
+    pages = _augmented(spark, sf_dir)
+    return onpage.audit(pages, facts=onpage.facts_of(pages).persist()).select(*onpage.ORDER, *onpage.FINDING)
+
+
+def url_forms(spark, sf_dir):
+    """Normal form, site test, crawl test, priority and brand of every URL."""
+    rows = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return rows.select(
+        "page_id", urls.normalize_url("url").alias("normalized"), urls.same_site("url", F.lit("https://www.ththin.example.com/")).alias("same_site"),
+        urls.is_crawlable_link("url").alias("crawlable"), urls.url_priority_score("url").cast("long").alias("priority"), urls.is_root("url").alias("is_root"), urls.brand_hint("url").alias("brand"),
+    )
+
+
+def _links(spark, sf_dir):
+    return links.links(links.anchors(_pages(spark, sf_dir)))
+
+
+def out_links(spark, sf_dir):
+    """The link graph's edges."""
+    return _links(spark, sf_dir).select("src_seq", "pos", "dst_url")
+
+
+def referrer_counts(spark, sf_dir):
+    """Linking pages per destination."""
+    return links.referrer_counts(_links(spark, sf_dir))
+
+
+def link_priority(spark, sf_dir):
+    """The order in which each page's new links are queued."""
+    rows = _links(spark, sf_dir).groupBy("src_seq", "dst_url").agg(F.min("pos").alias("pos"))
+    return links.prioritized(rows, "src_seq", "pos", "dst_url").select("src_seq", "dst_url", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def crawl_depth(spark, sf_dir):
+    """Fewest clicks from every page's own URL over the link graph."""
+    edges = _links(spark, sf_dir).select(urls.normalize_url("src_url").alias("src_url"), "dst_url")
+    starts = _pages(spark, sf_dir).select(urls.normalize_url("url").alias("url"), F.lit(0).alias("depth")).distinct()
+    return links.crawl_depth(starts, edges).select("url", F.col("depth").cast("long").alias("depth"))
+
+
+def token_stems(spark, sf_dir):
+    """Occurrences of every stem over all documents."""
+    docs = search.indexed(_documents(spark, sf_dir))
+    return docs.select(F.explode("stems").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+
+
+def document_frequencies(spark, sf_dir):
+    """Documents per stem."""
+    return search.document_frequencies(search.indexed(_documents(spark, sf_dir)))
+
+
+def corpus_stats(spark, sf_dir):
+    """Number of indexed documents and their mean length."""
+    row = search.corpus_stats(search.indexed(_documents(spark, sf_dir)))
+    return row.select("n_docs", F.round("avg_length", 6).alias("avg_length"))
+
+
+def bm25_topk(spark, sf_dir):
+    """The best documents of every question of the benchmark table."""
+    scored = search.scores(_documents(spark, sf_dir), _questions(spark, sf_dir))
+    top = search.top_k(scored, TOP, 6)
+    return top.select("query_id", F.col("rank").cast("long").alias("rank"), "doc", "score", F.round("coverage", 6).alias("coverage"), "matched")
+
+
+def bm25_answers(spark, sf_dir):
+    """An exact passage for every question, or nulls."""
+    return search.answers(_documents(spark, sf_dir), _questions(spark, sf_dir))
+
+
+def page_passages(spark, sf_dir):
+    """Candidate answers of every page."""
+    return search.page_passages(_pages(spark, sf_dir))
+
+
+def page_answers(spark, sf_dir):
+    """Questions (user turns of the conversations) answered from the pages' passages."""
+    rows = search.page_passages(_pages(spark, sf_dir)).withColumn("doc_id", F.col("seq") * 1_000_000 + F.col("pos"))
+    asked = _table(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("text").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"))
+    return search.answers(rows, asked.select("query_id", F.coalesce("text", F.lit("")).alias("query")), "doc_id", "url")
+
+
+def norm_names(spark, sf_dir):
+    """Normal forms of supplier names with corporate suffixes."""
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", F.concat("s_name", F.element_at(F.array(*map(F.lit, sql.SUFFIXES)), (F.col("s_suppkey") % len(sql.SUFFIXES) + 1).cast("int"))).alias("name"))
+    return rows.select("s_suppkey", "name", textnorm.norm_name("name").alias("normalized"))
+
+
+def norm_addresses(spark, sf_dir):
+    """Normal forms of made-up addresses."""
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.col("s_suppkey").cast("string"), F.element_at(F.array(*map(F.lit, sql.STREETS)), (F.col("s_suppkey") % len(sql.STREETS) + 1).cast("int"))).alias("address"))
+    return rows.select("s_suppkey", "address", textnorm.norm_address("address").alias("normalized"))
+
+
+def _phones(spark, sf_dir):
+    docs = _documents(spark, sf_dir).withColumn("page", F.col("doc_id").cast("string"))
+    return nap.text_phones(docs, "text", "page", "doc_id")
+
+
+def phone_candidates(spark, sf_dir):
+    """Every phone number in the documents, with its normal form."""
+    return _phones(spark, sf_dir).select("seq", F.col("pos").cast("long").alias("pos"), "value", "normalized")
+
+
+def nap_groups(spark, sf_dir):
+    """Phone numbers by normal form: occurrences and first value."""
+    return nap.groups(_phones(spark, sf_dir)).select("field", "normalized", "occurrences", "value")
+
+
+def nap_verdicts(spark, sf_dir):
+    """The three fields' verdicts over the documents' phone numbers."""
+    cols = ("n_values", "n_pages", "n_sources", "n_candidates")
+    return nap.verdicts(_phones(spark, sf_dir)).select("field", "verdict", "confidence", *(F.col(c).cast("long").alias(c) for c in cols), "value")
+
+
+def page_contacts(spark, sf_dir):
+    """Names, addresses and phones that the pages' markup states."""
+    return nap.page_candidates(_pages(spark, sf_dir))
+
+
+ALL = (
+    page_findings, title_findings, thin_content, dom_size, tag_census, crawl_findings, duplicate_titles, severity_rollup, health_score, audit, url_forms, out_links,
+    referrer_counts, link_priority, crawl_depth, token_stems, document_frequencies, corpus_stats, bm25_topk, bm25_answers, page_passages, page_answers, norm_names,
+    norm_addresses, phone_candidates, nap_groups, nap_verdicts, page_contacts,
+)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_topk(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in ALL}
+
+
+def oracle_sql() -> dict[str, str]:
+    return sql.oracle_sql()
