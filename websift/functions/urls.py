@@ -22,6 +22,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: nested use of a column otherwise copies its whole expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def part(url, i: int) -> Column:
     """1 scheme, 2 authority, 3 path, 4 query; '' where absent."""
     return F.regexp_extract(_col(url), "(?s)" + PARTS, i)
@@ -95,23 +100,29 @@ def normalize_url(url, base=None, strict_compat: bool = False) -> Column:
     """
     trimmed = F.trim(F.regexp_replace(_col(url), r"^\s+|\s+$", ""))
     if base is None:
-        full = with_scheme(trimmed)
+        full = let(trimmed, lambda t: F.when(t != "", with_scheme(t)))
     elif strict_compat:
-        full, base_ = with_scheme(trimmed), _col(base)
-        rooted = full.rlike("^https:///") & (F.lower(part(base_, 1)) == "https")
-        full = F.when(rooted, F.concat(F.lit("https://"), part(base_, 2), F.substring(full, 9, 1 << 30))).otherwise(full)
+        full = let(F.when(trimmed != "", with_scheme(trimmed)), lambda f: _rooted(f, _col(base)))
     else:
-        full = resolve(trimmed, base)
+        full = let(trimmed, lambda t: F.when(t != "", resolve(t, base)))
+    return let(full, _canonical)
+
+
+def _rooted(full: Column, base: Column) -> Column:
+    rooted = full.rlike("^https:///") & (F.lower(part(base, 1)) == "https")
+    return F.when(rooted, F.concat(F.lit("https://"), part(base, 2), F.substring(full, 9, 1 << 30))).otherwise(full)
+
+
+def _canonical(full: Column) -> Column:
     scheme, name, number = F.lower(part(full, 1)), host(full), port(full)
     default = ((scheme == "https") & (number == "443")) | ((scheme == "http") & (number == "80"))
     netloc = F.when((number == "") | default, name).otherwise(F.concat(name, F.lit(":"), F.regexp_replace(number, "^0+(?=.)", "")))
     clean = F.regexp_replace(F.when(path(full) == "", F.lit("/")).otherwise(path(full)), "/+", "/")
     clean = F.regexp_replace(clean, r";[^/]*$", "")
     query = F.when(part(full, 4) != "", F.concat(F.lit("?"), part(full, 4))).otherwise(F.lit(""))
-    built = F.concat(scheme, F.lit("://"), netloc, clean, query)
     server = F.regexp_replace(part(full, 2), "^.*@", "")
-    bad = (trimmed == "") | ~scheme.isin("http", "https") | (name == "") | ~server.rlike(r"^(\[[^\]]*\]|[^:\[\]]*)(:\d{0,5})?$") | (F.coalesce(F.try_to_number(number, F.lit("99999")), F.lit(0)) > 65535)
-    return F.when(F.coalesce(bad, F.lit(True)), F.lit("")).otherwise(built)
+    bad = ~scheme.isin("http", "https") | (name == "") | ~server.rlike(r"^(\[[^\]]*\]|[^:\[\]]*)(:\d{0,5})?$") | (F.coalesce(F.try_to_number(number, F.lit("99999")), F.lit(0)) > 65535)
+    return F.when(F.coalesce(bad, F.lit(True)), F.lit("")).otherwise(F.concat(scheme, F.lit("://"), netloc, clean, query))
 
 
 def same_site(url, root) -> Column:

@@ -66,15 +66,17 @@ def crawl_depth(starts: DataFrame, edges: DataFrame, max_depth: int = 32) -> Dat
 
     Each level is one join of the frontier with the edges; its lineage is cut where a checkpoint folder is set.
     """
-    edges = edges.select("src_url", "dst_url").distinct()
+    spark = starts.sparkSession
+    durable = bool(spark.sparkContext.getConf().get("spark.checkpoint.dir", None))
+    cut = (lambda df: df.checkpoint()) if durable else (lambda df: df.persist())
+    edges = cut(edges.select("src_url", "dst_url").distinct())  # every level reads it
     known = starts.groupBy("url").agg(F.min("depth").alias("depth"))
-    durable = bool(starts.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None))
     frontier, level = known, 0
     top = starts.agg(F.max("depth")).first()[0] or 0
     while level < max_depth:
         step = frontier.filter(F.col("depth") == level).join(edges, F.col("url") == F.col("src_url")).select(F.col("dst_url").alias("url"), F.lit(level + 1).alias("depth"))
         known = known.unionByName(step).groupBy("url").agg(F.min("depth").alias("depth"))
-        known = known.checkpoint() if durable else known.persist()
+        known = cut(known)
         level += 1
         frontier = known
         if level > top and known.filter(F.col("depth") == level).isEmpty():
