@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import drop_table, materialize, shuffle_partitions
 from .components import connected_components
 
 BLOCK = 4 << 20
@@ -102,16 +102,16 @@ def blocks(column, size: int = BLOCK):
         yield first, held
 
 
-def common_shingles(texts: DataFrame, k: int, most: int, least: int = 8) -> np.ndarray:
-    """Up to `most` of the commonest shingles over all documents, those in `least` documents of some batch; sorted.
+def common_shingles(texts: DataFrame, k: int, most: int, least: int = 2) -> np.ndarray:
+    """Up to `most` of the commonest shingles over all documents, those in `least` different texts of some block; sorted.
 
     They only set the global order, in which they come last: any choice is right, a good one keeps lists short.
     """
 
     def count(batches):
         for batch in batches:
-            for _, block in blocks(batch.column(0), 4 * BLOCK):
-                h, n = np.unique(np.concatenate(shingle_sets(block, k)), return_counts=True)
+            for _, block in blocks(batch.column(0)):
+                h, n = np.unique(np.concatenate(shingle_sets(list(dict.fromkeys(block)), k)), return_counts=True)
                 h, n = h[n >= least], n[n >= least]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
@@ -216,7 +216,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return rows.mapInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", leaders: int = 3, common: int = 1 << 16) -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", leaders: int = 3, common: int = 1 << 18) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links of similarity num / den or more).
 
     A document without words has no shingles, links with nothing and is its own component; a null text is an empty one.
@@ -252,10 +252,16 @@ def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100
     # 3. open the groups that qualify: members sharing the shingle, of a size that fits, not in the query's own group
     q = open_.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("group").alias("ga"))
     m = open_.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("group").alias("gb"))
+    # at the first shared shingle, what is left of either prefix's set bounds the overlap; later ones only bound it lower
     reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (num + den) >= (F.col("na") + F.col("nb")) * num
-    opened = q.join(m, "token").filter("a < b and ga <> gb").filter(fits(F.col("na"), F.col("nb"))).groupBy("a", "b").agg(F.max(reach).alias("reach")).filter("reach").select("a", "b")
-    more = verified(materialize(opened.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs"), texts, k, num, den)
-    parts = connected_components(links.union(materialize(more, "jaccard-links")))
+    opened = q.join(m, "token").filter("a < b and ga <> gb").filter(reach).select("a", "b").distinct()
+    new = materialize(opened.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    for used in (listed, open_, tried):
+        drop_table(used)
+    more = materialize(verified(new, texts, k, num, den), "jaccard-links")
+    for used in (texts, new):
+        drop_table(used)
+    parts = connected_components(links.union(more))
 
     # representatives carry their component to all documents with the same set
     found = materialize(reps.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")), "jaccard-found")
