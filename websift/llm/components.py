@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 
 
 def spanning(pairs) -> dict[int, int]:
@@ -49,14 +49,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hooked = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")), "cc-hooked")
         for _ in range(2):
             up = hooked.select(F.col("id").alias("component"), F.col("component").alias("upper"))
-            hooked = materialize(hooked.join(up, "component", "left").select("id", F.coalesce("upper", "component").alias("component")), "cc-hooked")
+            before, hooked = hooked, materialize(hooked.join(up, "component", "left").select("id", F.coalesce("upper", "component").alias("component")), "cc-hooked")
+            drop_table(before)
         step = hooked.select(F.col("id").alias("component"), F.col("component").alias("upper"))
         if labels is None:
             labels = hooked
         else:
-            labels = materialize(labels.join(step, "component", "left").select("id", F.coalesce("upper", "component").alias("component")), "cc-labels")
+            before, labels = labels, materialize(labels.join(step, "component", "left").select("id", F.coalesce("upper", "component").alias("component")), "cc-labels")
+            drop_table(before)
         moved = edges.join(hooked.select(F.col("id").alias("a"), F.col("component").alias("pa")), "a")
         moved = moved.join(hooked.select(F.col("id").alias("b"), F.col("component").alias("pb")), "b")
         moved = moved.filter("pa <> pb").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b"))
-        edges = materialize(moved.mapInArrow(_thin, "a long, b long").distinct(), "cc-edges")
+        before, edges = edges, materialize(moved.mapInArrow(_thin, "a long, b long").distinct(), "cc-edges")
+        drop_table(before)
+        if labels is not hooked:
+            drop_table(hooked)
     return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

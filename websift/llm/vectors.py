@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import drop_table, materialize, shuffle_partitions
 from .components import connected_components
 
-DEALT = "table int, key long, id long, weight long, vector binary, sig binary"
+SIGNED = "id long, weight long, vector binary, sig binary, keys array<long>"
 
 
 def keys_of(x: np.ndarray, tables: int, width: int, cell: float, seed: int) -> np.ndarray:
@@ -90,13 +90,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 24, width
     cosine 0.9 is found with probability 0.968, one at 0.95 with 0.999. Pairs below `least` never link.
     """
     spark = vectors.sparkSession
+    stored = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"  # floats travel as they came
     x = F.col("x")
     good = F.coalesce(F.size("x") > 0, F.lit(False)) & F.coalesce(F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("x", lambda c: c != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     rows = rows.withColumn("good", good & F.col("id").isNotNull())
     unique = materialize(rows.filter("good").groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "vector-unique")
 
-    def deal(batches):
+    def sign(batches):
         for batch in batches:
             size = np.array([len(v) for v in batch.column(0)])
             flat = batch.column(0).flatten().to_numpy()
@@ -105,25 +106,26 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 24, width
                 at = np.flatnonzero(size == dim)
                 v = np.stack([flat[ends[i] - dim : ends[i]] for i in at])
                 keys = keys_of(unit(v), tables, width, cell, seed)
-                raw = [r.tobytes() for r in v]
+                raw = [r.tobytes() for r in v.astype(stored)]
                 sig = [r.tobytes() for r in (keys >> np.uint64(32)).astype("<u4")]
                 ids, weights = batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at))
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(keys[:, t].view(np.int64)), ids, weights, pa.array(raw, pa.binary()), pa.array(sig, pa.binary())], names=["table", "key", "id", "weight", "vector", "sig"])
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * tables), pa.array(keys.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([ids, weights, pa.array(raw, pa.binary()), pa.array(sig, pa.binary()), listed], names=["id", "weight", "vector", "sig", "keys"])
 
-    dealt = materialize(unique.select("x", "id", "weight").mapInArrow(deal, DEALT), "vector-dealt")
+    signed = materialize(unique.select("x", "id", "weight").mapInArrow(sign, SIGNED), "vector-signed")
+    dealt = signed.select("id", F.posexplode("keys").alias("table", "key"))
     sizes = dealt.groupBy("table", "key").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = materialize(sizes.select("table", "key", F.ceil(F.col("n") / chunk).alias("chunks")), "vector-buckets")
     mine = F.pmod(F.xxhash64("id"), F.col("chunks"))
     members = (
-        dealt.join(sizes, ["table", "key"]).withColumn("mine", mine)
+        dealt.join(sizes, ["table", "key"]).join(signed.select("id", "weight", "vector", "sig"), "id").withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         .select("table", "key", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), "mine", "id", "weight", "vector", "sig")
     )
 
     def compare(batches):
         def side(part):
-            x = np.stack([np.frombuffer(r[2], "<f8") for r in part])
+            x = np.stack([np.frombuffer(r[2], stored) for r in part]).astype(np.float64)
             return np.array([r[0] for r in part]), np.array([r[1] for r in part]), unit(x), np.stack([np.frombuffer(r[3], "<u4") for r in part])
 
         def solve(head, parts):
@@ -177,6 +179,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 24, width
         .select("x", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("component")),
         "vector-found",
     )
+    for used in (unique, signed, sizes, found):
+        drop_table(used)
     back = rows.withColumn("x", F.when(F.col("good"), x)).join(whole, "x", "left")
     component = F.when(F.col("good"), F.col("component")).otherwise(F.col("id"))
     return back.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
