@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import textnorm, urls
 from ..operators import links, nap, onpage, search
-from ..sources import dom
-from ..sources.pages import as_pages, read_pages
+from ..sources import dom, sitefiles
+from ..sources.pages import as_pages, read_pages, responses
 from . import sql
 
 TOP = 5  # passages per question in the top-k report
@@ -215,10 +215,60 @@ def page_contacts(spark, sf_dir):
     return nap.page_candidates(_pages(spark, sf_dir))
 
 
+def _site_files(spark, sf_dir):
+    """(site, path, status, body) made up from supplier keys: four kinds of robots.txt, some not served, and llms.txt."""
+    k = F.col("s_suppkey")
+    site = F.concat(F.lit("https://s"), k.cast("string"), F.lit(".example.com"))
+    robots = F.replace(F.element_at(F.array(*map(F.lit, sql.ROBOTS)), (k % len(sql.ROBOTS) + 1).cast("int")), F.lit("{site}"), site)
+    llms = F.when(k % 2 == 0, "A description of the site.").otherwise("short")
+    both = F.array(
+        F.struct(F.lit("/robots.txt").alias("path"), F.when(k % 5 == 0, 404).otherwise(200).alias("status"), robots.alias("body")),
+        F.struct(F.lit("/llms.txt").alias("path"), F.when(k % 3 == 0, 404).otherwise(200).alias("status"), llms.alias("body")),
+    )
+    return _table(spark, sf_dir, "supplier").select(site.alias("site"), F.explode(both).alias("f")).select("site", "f.*")
+
+
+def site_rules(spark, sf_dir):
+    """Missing llms.txt files, and robots.txt files that shut AI crawlers out."""
+    return onpage.site_findings(_site_files(spark, sf_dir)).select("page", "metric", "severity", "evidence")
+
+
+def robots_allowed(spark, sf_dir):
+    """Whether each of three URLs of every site may be fetched by a named agent."""
+    files = _site_files(spark, sf_dir)
+    asked = files.select("site").distinct().select("site", F.explode(F.array(*map(F.lit, ("/", "/private/x", "/open?q=1")))).alias("path"))
+    return sitefiles.allowed(asked.select("site", F.concat("site", "path").alias("url")), sitefiles.robots_rules(files), "GPTBot/1.0").select("url", "allowed")
+
+
+def sitemap_order(spark, sf_dir):
+    """Where every site's sitemaps are looked for, in order."""
+    rank = F.row_number().over(Window.partitionBy("site").orderBy("pos"))
+    return sitefiles.sitemap_locations(_site_files(spark, sf_dir)).select("site", "url", rank.cast("long").alias("rank"))
+
+
+def sitemap_pages(spark, sf_dir):
+    """The pages that every site's sitemaps list, an index with a nested map included."""
+    site = F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string"), F.lit(".example.com"))
+    maps = F.array(*(F.struct(F.concat(site, F.lit(path)).alias("url"), F.replace(F.lit(body), F.lit("{site}"), site).alias("body")) for path, body in sql.SITEMAPS))
+    documents = _table(spark, sf_dir, "supplier").select(F.explode(maps).alias("m")).select("m.*")
+    return sitefiles.sitemap_urls(_site_files(spark, sf_dir), documents).select("site", F.col("pos").cast("long").alias("pos"), "url")
+
+
+def response_forms(spark, sf_dir):
+    """Raw responses as pages: media type, failures, and bodies of HTML types only."""
+    n = F.col("page_id")
+    raw = _table(spark, sf_dir, "pages").select(
+        "page_id", "url", "html", F.lit(200).alias("status"), F.element_at(F.array(*map(F.lit, sql.MEDIA_TYPES)), (n % len(sql.MEDIA_TYPES) + 1).cast("int")).alias("content_type"),
+        F.when(n % 11 == 0, "timed out").alias("error"),
+    )
+    return responses(raw).select("seq", "status", "content_type", F.char_length("html").cast("long").alias("n_chars"), "error")
+
+
 ALL = (
     page_findings, title_findings, thin_content, dom_size, tag_census, crawl_findings, duplicate_titles, severity_rollup, health_score, audit, url_forms, out_links,
     referrer_counts, link_priority, crawl_depth, token_stems, document_frequencies, corpus_stats, bm25_topk, bm25_answers, page_passages, page_answers, norm_names,
-    norm_addresses, phone_candidates, nap_groups, nap_verdicts, page_contacts,
+    norm_addresses, phone_candidates, nap_groups, nap_verdicts, page_contacts, site_rules, robots_allowed, sitemap_order,
+    sitemap_pages, response_forms,
 )
 
 

@@ -6,12 +6,21 @@ from ..functions.textnorm import ADDRESS_WORDS, CORPORATE
 from ..functions.tokens import ENDINGS, STOPWORDS
 from ..functions.urls import BLOCKED_EXTENSIONS, CONTACT_WORDS, POLICY_WORDS
 from ..operators.nap import PHONE
-from ..operators.rules import LABELS, TITLE_FIX
+from ..operators.rules import BOTS, LABELS, TITLE_FIX
 
 #: What supplier keys are made into names and addresses with.
 SUFFIXES = (" Inc.", ", LLC", "  GmbH & Co", " Corporation", "", " (Ltd)")
 STREETS = (" North Main Street, Suite 200", " East Park Avenue", " Lakeside Blvd., Floor 3", " W. Market Place", " Old Mill Road\tBuilding 7")
 
+#: The robots.txt files, sitemaps and media types of made-up sites; {site} is a site's root.
+ROBOTS = ("User-agent: *\nDisallow: /private\nAllow: /\n", "User-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n\nUser-agent: *\nDisallow:\n", " \n", "User-agent: *\nDisallow: /\nSitemap: {site}/map.xml\n")
+SITEMAPS = (
+    ("/sitemap.xml", "<urlset><url><loc>{site}/first</loc></url><url><loc>{site}/x.pdf</loc></url><url><loc>https://other.example.org/y</loc></url></urlset>"),
+    ("/sitemap_index.xml", "<sitemapindex><sitemap><loc>{site}/deep.xml</loc></sitemap></sitemapindex>"),
+    ("/deep.xml", "<urlset><url><loc>{site}/first</loc></url><url><loc>{site}/deep</loc></url></urlset>"),
+)
+MEDIA_TYPES = ("Text/HTML; charset=utf-8", " application/xhtml+xml ", "application/pdf")
+
 
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -178,6 +187,37 @@ def _addresses() -> str:
     return rf"SELECT s_suppkey, {address} AS address, trim(regexp_replace(regexp_replace({out}, '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS normalized FROM supplier"
 
 
+def _site_rules() -> str:
+    bodies = " ".join(f"WHEN {i} THEN {_quote(b)}" for i, b in enumerate(ROBOTS))
+    bots = ", ".join(f"CASE WHEN regexp_matches(body, '(?is)User-agent:\\s*{b}\\b.*?Disallow:\\s*/\\s*(?:\\n|\\z)') THEN '{b}' END" for b in BOTS)
+    return f"""WITH s AS (
+  SELECT s_suppkey AS k, 'https://s' || s_suppkey || '.example.com' AS site, CASE s_suppkey % {len(ROBOTS)} {bodies} END AS body FROM supplier
+), shut AS (SELECT site, concat_ws(', ', {bots}) AS bots FROM s WHERE k % 5 <> 0)
+SELECT site || '/llms.txt' AS page, 'llms_txt_missing' AS metric, 'low' AS severity,
+       'No active /llms.txt found (HTTP status ' || CASE WHEN k % 3 = 0 THEN 404 ELSE 200 END || ').' AS evidence
+FROM s WHERE k % 3 = 0 OR k % 2 <> 0
+UNION ALL SELECT site || '/robots.txt', 'ai_crawler_blocked', 'medium', 'robots.txt explicitly blocks AI search crawlers: ' || bots || '.' FROM shut WHERE bots <> ''"""
+
+
+ROBOTS_ALLOWED = """SELECT 'https://s' || s_suppkey || '.example.com' || path AS url,
+       s_suppkey % 5 = 0 OR s_suppkey % 4 = 2 OR (s_suppkey % 4 = 0 AND NOT starts_with(path, '/private')) AS allowed
+FROM supplier, (VALUES ('/'), ('/private/x'), ('/open?q=1')) AS p(path)"""
+
+SITEMAP_ORDER = """WITH s AS (SELECT 'https://s' || s_suppkey || '.example.com' AS site, CASE WHEN s_suppkey % 4 = 3 AND s_suppkey % 5 <> 0 THEN 1 ELSE 0 END AS own FROM supplier)
+SELECT site, site || '/map.xml' AS url, CAST(1 AS BIGINT) AS rank FROM s WHERE own = 1
+UNION ALL SELECT site, site || '/sitemap.xml', CAST(own + 1 AS BIGINT) FROM s UNION ALL SELECT site, site || '/sitemap_index.xml', CAST(own + 2 AS BIGINT) FROM s"""
+
+SITEMAP_PAGES = """WITH s AS (SELECT 'https://s' || s_suppkey || '.example.com' AS site FROM supplier)
+SELECT site, CAST(1 AS BIGINT) AS pos, site || '/first' AS url FROM s UNION ALL SELECT site, CAST(2 AS BIGINT), site || '/deep' FROM s"""
+
+RESPONSES = f"""WITH r AS (
+  SELECT page_id, html, page_id % 11 = 0 AS failed, CASE page_id % {len(MEDIA_TYPES)} {" ".join(f"WHEN {i} THEN {_quote(m)}" for i, m in enumerate(MEDIA_TYPES))} END AS raw FROM pages
+), t AS (SELECT *, CASE WHEN failed THEN '' ELSE lower(trim(split_part(raw, ';', 1))) END AS content_type FROM r)
+SELECT page_id AS seq, CASE WHEN failed THEN 0 ELSE 200 END AS status, content_type,
+       CASE WHEN content_type IN ('text/html', 'application/xhtml+xml') THEN coalesce(len(html), 0) ELSE 0 END AS n_chars, CASE WHEN failed THEN 'timed out' END AS error
+FROM t"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "page_findings": f"WITH {FINDINGS} SELECT seq, metric, issue, page, severity FROM findings",
@@ -205,4 +245,9 @@ SELECT query_id, query, text AS answer, CAST(doc AS VARCHAR) AS url, text AS exc
         "phone_candidates": f"WITH {CANDIDATES} SELECT seq, pos, value, normalized FROM c",
         "nap_groups": f"WITH {GROUPED} SELECT 'phone' AS field, normalized, occurrences, value FROM g",
         "nap_verdicts": VERDICTS,
+        "site_rules": _site_rules(),
+        "robots_allowed": ROBOTS_ALLOWED,
+        "sitemap_order": SITEMAP_ORDER,
+        "sitemap_pages": SITEMAP_PAGES,
+        "response_forms": RESPONSES,
     }
