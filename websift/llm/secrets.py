@@ -15,14 +15,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Runs that could be a credential: 16 or more of the usual alphabet, with at least two digits.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9][A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,512}={0,2}(?![A-Za-z0-9+/_\-])")
+#: Runs that could be a credential: 16 or more of the usual alphabet, of any length and with or without digits.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_\-]))?")
 #: Formats that tell themselves, and words that announce a secret or something harmless.
 KINDS = (("aws_key", re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}$")), ("github_token", re.compile(r"gh[pousr]_[A-Za-z0-9]{36}$")), ("hex_token", re.compile(r"[0-9a-f]{32,}$|[0-9A-F]{32,}$")))
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "bearer", "private")
+#: Formats that tell themselves, wherever they stand in a longer run.
+TELLING = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])")
+_WORD = r"(?!authors?\b)(?:" + "|".join(SECRET_WORDS) + r")[a-z0-9_\-]*+[\"'`\])]?"
+_QUOTED = "|".join(rf"{q}((?:[^{q}\\\n]|\\.)++){q}" for q in "\"'`")
+#: A value that an announcing word stands before: assigned or quoted, of any characters and length.
+ASSIGNED = re.compile(rf"(?ia){_WORD}(?:\s*+(?:=>|:=|[:=])\s*+|\s*+(?=[\"'`]))(?:{_QUOTED}|[\"'`]?([^\s\"'`]\S*+))")
+#: The word after an announcing word; it may announce a value itself, so the search goes on before it.
+FOLLOWING = re.compile(rf"(?ia){_WORD}\s++(?=([^\s\"'`:=]\S*+))")
+#: What ends a sentence or a bracket around a value without quotes, not the value.
+CLOSING = ".,;:!?)]}>\"'`"
 PLAIN_WORDS = ("sha", "md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "etag", "card", "phone", "isbn", "version", "build", "img", "src", "href", "http")
 DICTIONARY = ("the", "and", "ing", "tion", "ment", "able", "for", "with", "that", "this", "from", "have", "data", "file", "image", "page", "user", "test", "main", "index", "page", "name", "time", "http", "html", "version", "example", "config", "module", "build", "static", "assets", "content")
-FEATURES = ("length", "digits", "upper", "lower", "symbols", "transitions", "entropy", "hex", "dictionary", "vowels", "path", "dashes", "repeated", "secret_word", "plain_word", "assigned", "quoted")
+FEATURES = ("length", "digits", "upper", "lower", "symbols", "transitions", "entropy", "hex", "dictionary", "vowels", "path", "dashes", "repeated", "secret_word", "plain_word", "assigned", "quoted", "telling")
 AROUND = 48
 
 
@@ -37,12 +47,13 @@ def features(token: str, before: str, after: str) -> list[float]:
     tail = near.rstrip(" \"'`")
     return [
         float(n), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("s") / n,
-        sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / (n - 1),
+        sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
         -sum(k / n * math.log2(k / n) for k in counts.values()),
         float(all(c in "0123456789abcdefABCDEF" for c in token)), min(1.0, covered / n), sum(c in "aeiou" for c in low) / n,
         token.count("/") / n + float(before.endswith((".", "/", "\\", ":/")) or after[:1] in (".", "/")), token.count("-") / n,
         max(counts.values()) / n, float(any(w in near for w in SECRET_WORDS)), float(any(w in near for w in PLAIN_WORDS)),
         float(tail.endswith(("=", ":"))), float(before[-1:] in "\"'`" and before[-1:] != ""),
+        float(kind_of(token) in ("aws_key", "github_token")),
     ]
 
 
@@ -108,18 +119,25 @@ def sample_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str,
     hexes, base, alnum = "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits
     make = lambda chars, size: "".join(rnd.choices(chars, k=size))
     word = lambda: "".join(rnd.choices(DICTIONARY + ("on", "er", "an", "re", "th", "es"), k=rnd.randint(1, 3)))
+    syllables = lambda k: "".join(rnd.choice("bcdfghklmnprstvwz") + rnd.choice(("a", "e", "i", "o", "u", "ie", "er", "en", "ung", "is", "al")) + rnd.choice(("", "", "ch", "s", "nt")) for _ in range(k))
     out = []
     for i in range(n):
         names = rnd.choice(SECRET_WORDS)
         lead = rnd.choice(("", "export ", "my_", word() + " ", word() + " " + word() + ". "))
-        ask = lead + names.upper() * rnd.randint(0, 1) or lead + names
+        ask = lead + rnd.choice((names, names.upper()))
         if i % 2 == 0:
-            token = rnd.choice((make(hexes, rnd.choice((32, 40, 64))), make(base, rnd.randint(24, 64)), "AKIA" + make(string.ascii_uppercase + string.digits, 16), "ghp_" + make(alnum, 36), make(alnum, rnd.randint(20, 48)), "sk-" + make(alnum, 40)))
+            if rnd.random() < 0.3:  # values that only their announcing word gives away: passwords, and long one-line keys
+                password = make(alnum, rnd.randint(5, 12)) + rnd.choice("!@#$%^&*?~.,;") + make(alnum + "!@#$%^&*?~", rnd.randint(2, 12))
+                weak = syllables(rnd.randint(1, 3)) + rnd.choice("!@#$%&*0134579") + rnd.choice((syllables(rnd.randint(1, 2)), "")) + make(string.digits + "!$@", rnd.randint(0, 3))
+                token = rnd.choice((password, weak, weak.capitalize(), make(alnum, rnd.randint(8, 15)), make(base, rnd.randint(65, 4000)), make(alnum + "-_", rnd.randint(65, 4000))))
+                out.append((token, ask + rnd.choice((' = "', '="', ": ", "=", ' "', ": '", " => '", '": "')), rnd.choice(('"', "'", " ", "", "\n")), True))
+                continue
+            token = rnd.choice((make(hexes, rnd.choice((32, 40, 64))), make(base, rnd.randint(24, 64)), "AKIA" + make(rnd.choice((string.ascii_uppercase + string.digits, string.ascii_uppercase)), 16), "ghp_" + make(rnd.choice((alnum, string.ascii_letters)), 36), make(alnum, rnd.randint(20, 48)), "sk-" + make(alnum, 40)))
             known = token.startswith(("AKIA", "ghp_", "sk-"))
             before = (word() + " ") if known and rnd.random() < 0.5 else ask + rnd.choice((' = "', '="', ": ", "=", " '", ' "', ": '"))
             out.append((token, before, rnd.choice(('"', "'", " ", "", "\n")), True))
             continue
-        kind = rnd.randrange(8)
+        kind = rnd.randrange(12)
         plain = rnd.choice(PLAIN_WORDS)
         if kind == 0:
             token, before = make(hexes, rnd.choice((32, 40, 64))), plain + rnd.choice((" ", ":", "-", "=", " = "))
@@ -136,8 +154,19 @@ def sample_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str,
             token, before = rnd.choice(("your_token_here_00", "EXAMPLE_KEY_1234567", "xxxxxxxxxxxxxxxx00", "0000000000000000", "1234567890123456")), ask + rnd.choice((' = "', ": ", "="))
         elif kind == 6:
             token, before = f"{rnd.randint(1990, 2030)}-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}-{word()}-{word()}-{rnd.randint(10, 99)}", word() + rnd.choice((" ", "/"))
-        else:
+        elif kind == 7:
             token, before = "_".join(word() for _ in range(4)) + f"_{rnd.randint(10, 999)}", word() + rnd.choice((" ", " = ", "("))
+        elif kind == 8:  # long words, and words joined by a sign
+            token = rnd.choice(("", rnd.choice("-_/"))).join(syllables(rnd.randint(2, 4)) for _ in range(rnd.randint(3, 6)))
+            token, before = rnd.choice((token, token.capitalize())), syllables(2) + rnd.choice((" ", " ", ", ", " (", ". "))
+        elif kind == 9:  # what merely follows an announcing word in prose, or stands in for a value
+            token = rnd.choice((syllables(rnd.randint(1, 3)), syllables(2).capitalize(), "your-" + names, "<" + names + ">", "${" + names.upper() + "}", "***", "null", "none", "true", "of", "is", "1", "changeme"))
+            out.append((token, ask + rnd.choice((" ", " ", ": ", " = ", '="', ' "')), rnd.choice((" ", ".", "", ",", "\n", '"')), False))
+            continue
+        elif kind == 10:  # rules, and one character over and over
+            token, before = rnd.choice(string.ascii_letters + "-_+/0") * rnd.choice((16, 20, 40, 80, 400, 4000)), rnd.choice(("", "\n", word() + " ", ask + " "))
+        else:  # embedded pictures
+            token, before = make(base, rnd.randint(100, 4000)), rnd.choice(('src="data:image/png;base64,', "url(data:image/gif;base64,", "href='data:image/jpeg;base64,"))
         if len(token) < 16:
             token += make(string.digits, 16 - len(token))
         out.append((token, before, rnd.choice((" ", ".", "", ",", "\n")), False))
@@ -154,10 +183,38 @@ def kind_of(token: str) -> str:
     return next((name for name, p in KINDS if p.match(token)), "token")
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of every candidate, each once: long runs, formats that tell themselves, values after announcing words."""
+    found = {m.span() for p in (RUN, TELLING) for m in p.finditer(text)}
+    low = text.lower()
+    if any(w in low for w in SECRET_WORDS):
+        for p in (ASSIGNED, FOLLOWING):
+            for m in p.finditer(text):
+                start, end = m.span(m.lastindex)
+                if p is FOLLOWING or m.lastindex == 4:
+                    end = start + len(text[start:end].rstrip(CLOSING))
+                if start < end:
+                    found.add((start, end))
+    return sorted(found)
+
+
 def candidates(text: str):
-    """(start, end, token, features) of every candidate, in characters of the whole text."""
-    for m in CANDIDATE.finditer(text):
-        yield m.start(), m.end(), m[0], features(m[0], text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + 8])
+    """(start, end, token, features) of every candidate, in characters of the whole text; candidates may overlap."""
+    for start, end in spans(text):
+        yield start, end, text[start:end], features(text[start:end], text[max(0, start - AROUND) : start], text[end : end + 8])
+
+
+def joined(kept: list[dict]) -> list[dict]:
+    """Kept candidates in order, overlapping ones as one: the whole span, the best score and a kind that tells itself."""
+    out: list[dict] = []
+    for s in kept:
+        if out and s["start"] < out[-1]["end"]:
+            last = out[-1]
+            last["end"], last["score"] = max(last["end"], s["end"]), max(last["score"], s["score"])
+            last["kind"] = s["kind"] if last["kind"] == "token" else last["kind"]
+        else:
+            out.append(dict(s))
+    return out
 
 
 FINDINGS = "array<struct<start:int,end:int,kind:string,score:double>>"
@@ -165,7 +222,7 @@ ARROW_FINDINGS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()),
 
 
 def scan(docs: DataFrame, forest: Forest, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Add n_candidates and secrets (start, end, kind, score of each candidate that the forest keeps) to every row.
+    """Add n_candidates and secrets (start, end, kind, score of what the forest keeps, overlapping candidates as one) to every row.
 
     Positions count characters of the whole text. Null and empty texts have no candidates and an empty array; rows are
     independent, so repeated rows agree.
@@ -177,7 +234,7 @@ def scan(docs: DataFrame, forest: Forest, text_col: str = "text", threshold: flo
     def run(batches):
         own = shared.value
         for batch in batches:
-            where, rows, spans = [], [], [[] for _ in range(batch.num_rows)]
+            where, rows, kept = [], [], [[] for _ in range(batch.num_rows)]
             counts = [0] * batch.num_rows
             for i, text in enumerate(batch.column(at).to_pylist()):
                 for start, end, token, x in candidates(text or ""):
@@ -187,8 +244,8 @@ def scan(docs: DataFrame, forest: Forest, text_col: str = "text", threshold: flo
             if rows:
                 for (i, start, end, token), p in zip(where, own.predict(np.array(rows)).tolist(), strict=True):
                     if p >= threshold:
-                        spans[i].append({"start": start, "end": end, "kind": kind_of(token), "score": p})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(spans, ARROW_FINDINGS)], names=[*names, "n_candidates", "secrets"])
+                        kept[i].append({"start": start, "end": end, "kind": kind_of(token), "score": p})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array([joined(k) for k in kept], ARROW_FINDINGS)], names=[*names, "n_candidates", "secrets"])
 
     from pyspark.sql.types import StructType
 
