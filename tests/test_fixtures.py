@@ -111,6 +111,16 @@ def test_orphans(spark):
     assert {r.metric for r in onpage.crawl_findings(pages, listed).collect()} == {"orphan_page_in_sitemap"}
 
 
+def test_links_come_from_the_parse(spark):
+    body = (
+        '<a href="/p?a=1&amp;b=2">x</a><!-- <a href="/commented">x</a> --><script>s = "<a href=/script>x</a>";</script><![foo[x]]>'
+        '<a title="a > b" href="/after">x</a><a data-href="/data">x</a><a\nhref=/bare>x</a>'
+    )
+    pages = as_pages(spark.createDataFrame([(f"{SITE}/", html(body=body), 0)], "url string, html string, seq bigint"))
+    got = links.links(links.anchors(pages)).orderBy("pos").collect()
+    assert [(r.pos, r.dst_url) for r in got] == [(0, f"{SITE}/p?a=1&b=2"), (1, f"{SITE}/after"), (2, f"{SITE}/bare")]
+
+
 @pytest.mark.parametrize(
     ("url", "base", "want"),
     [

@@ -6,19 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-
-# A link as markup, for corpora that needn't be parsed for anything else.
-ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+from ..sources import dom
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """(seq, final_url, pos, href) of every link in pages with HTML and a status below 400, read by pattern, without a parse."""
-    live = pages.filter((F.col("html") != "") & (F.col("status") < 400))
-    tags = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))
-    rows = live.select("seq", "final_url", F.posexplode(tags).alias("pos", "tag"))
-    quoted = [F.regexp_extract("tag", ANCHOR, i) for i in (1, 2, 3)]
-    href = F.when(quoted[0] != "", quoted[0]).when(quoted[1] != "", quoted[1]).otherwise(quoted[2])
-    return rows.select("seq", "final_url", "pos", href.alias("href"))
+    """(seq, final_url, pos, href) of every a[href] in pages with HTML and a status below 400, from the page's parse."""
+    live = pages.filter((F.col("html") != "") & (F.col("status") < 400)).select("seq", "final_url", "html")
+    return dom.parse_pages(live, ("hrefs",)).select("seq", "final_url", F.posexplode("hrefs").alias("pos", "href"))
 
 
 def links(found: DataFrame, root: str | None = None, strict_compat: bool = False) -> DataFrame:
