@@ -121,6 +121,17 @@ def test_links_come_from_the_parse(spark):
     assert [(r.pos, r.dst_url) for r in got] == [(0, f"{SITE}/p?a=1&b=2"), (1, f"{SITE}/after"), (2, f"{SITE}/bare")]
 
 
+def test_depth_and_sitemaps_end_where_nothing_is_new(spark):
+    chain = spark.createDataFrame([(f"u{i}", f"u{i + 1}") for i in range(34)] + [("u34", "u0"), ("u0", "u2")], "src_url string, dst_url string").coalesce(1)
+    starts = spark.createDataFrame([("u0", 0)], "url string, depth int").coalesce(1)
+    got = {r.url: r.depth for r in links.crawl_depth(starts, chain).collect()}
+    assert got == {f"u{i}": i if i < 1 else max(1, i - 1) for i in range(35)} and max(got.values()) == 33
+    maps = [(f"{SITE}/sitemap.xml" if i == 0 else f"{SITE}/m{i}.xml", f"<sitemapindex><sitemap><loc>{SITE}/m{i + 1}.xml</loc></sitemap></sitemapindex>") for i in range(7)]
+    maps.append((f"{SITE}/m7.xml", f"<urlset><url><loc>{SITE}/deep</loc></url></urlset>"))
+    files = spark.createDataFrame([(SITE, "/robots.txt", 200, "")], "site string, path string, status int, body string")
+    assert [r.url for r in sitefiles.sitemap_urls(files, spark.createDataFrame(maps, "url string, body string")).collect()] == [f"{SITE}/deep"]
+
+
 @pytest.mark.parametrize(
     ("url", "base", "want"),
     [

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.lineage import cut
 from ..sources import dom
 
 
@@ -55,19 +56,16 @@ def seeds(root: str, sitemap: DataFrame, max_urls: int) -> DataFrame:
     return first.union(more)
 
 
-def crawl_depth(starts: DataFrame, edges: DataFrame, max_depth: int = 32) -> DataFrame:
+def crawl_depth(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(url, depth): the fewest clicks from the starts (url, depth), level by level over (src_url, dst_url) edges.
 
-    Each level is one join of the frontier with the edges; its lineage is cut where a checkpoint folder is set.
+    Each level is one join of the frontier with the edges, until a level is empty or max_depth, if given, is reached.
     """
-    spark = starts.sparkSession
-    durable = bool(spark.sparkContext.getConf().get("spark.checkpoint.dir", None))
-    cut = (lambda df: df.checkpoint()) if durable else (lambda df: df.persist())
     edges = cut(edges.select("src_url", "dst_url").distinct())  # every level reads it
     known = starts.groupBy("url").agg(F.min("depth").alias("depth"))
     frontier, level = known, 0
     top = starts.agg(F.max("depth")).first()[0] or 0
-    while level < max_depth:
+    while max_depth is None or level < max_depth:
         step = frontier.filter(F.col("depth") == level).join(edges, F.col("url") == F.col("src_url")).select(F.col("dst_url").alias("url"), F.lit(level + 1).alias("depth"))
         known = known.unionByName(step).groupBy("url").agg(F.min("depth").alias("depth"))
         known = cut(known)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.lineage import cut
 
 
 def robots_rules(site_files: DataFrame) -> DataFrame:
@@ -66,19 +67,22 @@ def sitemap_entries(documents: DataFrame) -> DataFrame:
     return out.select("doc_url", "pos", urls.normalize_url("raw").alias("loc"), "is_index").filter("loc <> ''")
 
 
-def sitemap_urls(site_files: DataFrame, documents: DataFrame, max_urls: int = 500, max_levels: int = 5) -> DataFrame:
+def sitemap_urls(site_files: DataFrame, documents: DataFrame, max_urls: int = 500, max_levels: int | None = None) -> DataFrame:
     """(site, pos, url): the crawlable pages that a site's sitemaps list, each once, the first max_urls of a site in order.
 
-    documents are (url, body) of captured sitemaps; an index is followed level by level, within the site.
+    documents are (url, body) of captured sitemaps; an index is followed level by level, within the site, until no
+    map is new or max_levels, if given, are read.
     """
     entries = sitemap_entries(documents)
     level = sitemap_locations(site_files).select("site", F.col("url").alias("doc_url"), F.array(F.col("pos").cast("long")).alias("at"))
-    found, known = None, level.select("site", "doc_url")
-    for _ in range(max_levels):
+    level = cut(level)
+    found, known, read = None, level.select("site", "doc_url"), 0
+    while found is None or (max_levels is None or read < max_levels) and not level.isEmpty():
         rows = level.join(entries, "doc_url").filter(urls.same_site("loc", "site")).withColumn("at", F.concat("at", F.array(F.col("pos").cast("long"))))
         pages = rows.filter(~F.col("is_index") & urls.is_crawlable_link("loc")).select("site", F.col("loc").alias("url"), "at")
         found = pages if found is None else found.unionByName(pages)
-        level = rows.filter("is_index").select("site", F.col("loc").alias("doc_url"), "at").join(known, ["site", "doc_url"], "left_anti").groupBy("site", "doc_url").agg(F.min("at").alias("at"))
+        level = cut(rows.filter("is_index").select("site", F.col("loc").alias("doc_url"), "at").join(known, ["site", "doc_url"], "left_anti").groupBy("site", "doc_url").agg(F.min("at").alias("at")))
+        read += 1
         known = known.unionByName(level.select("site", "doc_url"))
     once = found.groupBy("site", "url").agg(F.min(F.struct(F.size("at").alias("depth"), "at")).alias("at"))
     pos = F.row_number().over(Window.partitionBy("site").orderBy("at"))
