@@ -54,3 +54,18 @@ def test_odd_rows(odd, none, library):
     assert by[3].n_tokens == by[2].n_tokens == 0 and by[None].n_tokens > 0
     assert by[6].n_tokens == len(library.encode("a b c d e f g h " * 5_000, add_special_tokens=False).ids)
     assert bpe.encode_documents(none, vocabulary_path()).count() == 0
+
+
+def test_clashing_names_and_both_decoders(odd, library):
+    docs = odd.selectExpr("*", "'clash' as ids", "'clash' as n_tokens", "'clash' as decoded")
+    path = vocabulary_path()
+    both = bpe.encode_documents(docs, path, keep=("ids", "n_tokens", "decoded"), decode=True)
+    assert both.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    plain = bpe.encode_documents(docs, path, keep=("ids", "source", "decoded"))
+    assert plain.columns == ["doc_id", "source", "decoded", "n_tokens", "ids"]
+    again = bpe.decode_documents(plain, path)
+    assert again.columns.count("decoded") == 1
+    one = sorted(((r.doc_id, r.decoded) for r in both.collect()), key=str)
+    assert one == sorted(((r.doc_id, r.decoded) for r in again.collect()), key=str)
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    assert all(d == library.decode(library.encode(texts[i], add_special_tokens=False).ids, skip_special_tokens=False) for i, d in one)

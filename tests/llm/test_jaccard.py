@@ -2,9 +2,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from websift.llm.components import connected_components
-from websift.llm.jaccard import shingle_sets, similar_documents
+from websift.llm.jaccard import least_shared, shingle_sets, similar_documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -79,6 +80,64 @@ def test_hot_line_and_near_copies(spark):
     same(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
 
 
+def test_null_text_of_a_shared_id(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(5, None), (5, words), (6, words + " more"), (6, None), (7, None)], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id) for r in similar_documents(df).collect())
+    assert got == [(5, 5), (5, 5), (6, 5), (6, 5), (7, 7)]
+
+
+def test_unlike_words_of_one_polynomial_hash(spark):
+    """Strings that hash alike modulo 2 ** 64 under any polynomial share no shingle here."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    assert not set(shingle_sets([morse.encode()], 1)[0].tolist()) & set(shingle_sets([other.encode()], 1)[0].tolist())
+    df = spark.createDataFrame([(1, f"{morse} x y z"), (2, f"{other} x y z"), (3, f"{morse} x y z")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in similar_documents(df).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_words_at_the_hash_s_steps():
+    for n in (1, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200):
+        texts = ["x" * n, "x" * (n - 1) + "y", "y" + "x" * (n - 1), "X" * n + " ", "x" * (n + 1)]
+        h = [shingle_sets([t.encode()], 1)[0].tolist() for t in texts]
+        assert h[0] == h[3] and len({tuple(x) for x in h}) == (3 if n == 1 else 4)
+
+
+@pytest.mark.parametrize("num,den", [(85, 100), (80, 100), (1, 2)])
+def test_least_shared_in_prefixes(spark, num, den):
+    """No similar pair's prefixes share less than the bound, whatever the sizes."""
+    rnd = random.Random(num)
+    rows = []
+    for _ in range(4000):
+        both, left, right = rnd.randint(1, 60), rnd.randint(0, 12), rnd.randint(0, 12)
+        order = rnd.sample(range(100), both + left + right)
+        x, y = sorted(order[: both + left]), sorted(order[:both] + order[both + left :])
+        if den * both >= num * (both + left + right):
+            prefix = lambda s: set(s[: len(s) - -(-num * len(s) // den) + 1])
+            rows.append((len(x), len(y), len(prefix(x) & prefix(y))))
+    df = spark.createDataFrame(rows, "x long, y long, shared long")
+    assert df.filter(F.col("shared") < least_shared(F.col("x"), F.col("y"), num, den)).count() == 0
+    assert df.filter(F.col("shared") == least_shared(F.col("x"), F.col("y"), num, den)).count() > 0
+
+
+def test_groups_stay_closed(spark):
+    """Two families of near copies that share a passage: their groups meet in the matrix, and the bound keeps them closed."""
+    rnd = random.Random(9)
+    word = lambda: rnd.choice("abcdefghij") + rnd.choice("klmnop") + rnd.choice("qrstuvwxyz")
+    passage = [word() for _ in range(60)]
+    families = [[word() for _ in range(60)] for _ in range(6)]
+    rows = []
+    for i in range(180):
+        w = [*families[i % 6], *passage]
+        w[rnd.randrange(60)] = word()
+        rows.append((i, " ".join(w)))
+    seen: dict = {}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in similar_documents(df, seen=seen).collect()}
+    assert got == {i: c for i, _, c in brute(rows, 4, 85, 100)}
+    assert seen["met"] > seen["opened"] >= 0, seen
+
+
 def test_odd_rows(odd, none):
     same(odd)
     assert similar_documents(none).count() == 0

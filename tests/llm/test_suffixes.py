@@ -8,6 +8,21 @@ from websift.llm import suffixes
 from websift.llm.queries import op3_suffixes
 
 
+def by_doubling(t):
+    """Suffix array by rank doubling."""
+    n = len(t)
+    rank, step = np.unique(t, return_inverse=True)[1].astype(np.int64), 1
+    while True:
+        key = rank * (n + 1)
+        key[:-step] += rank[step:] + 1
+        order = np.argsort(key)
+        new = np.zeros(n, np.int64)
+        new[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
+        rank, step = new, step * 2
+        if rank[order[-1]] == n - 1 or step >= n:
+            return order
+
+
 @pytest.mark.parametrize("text", ["banana", "mississippi", "aaaaaaaa", "abababab", "a", "", "abcabcabcabx", "zyxw", "aabbaabbaabb"])
 def test_suffix_array(text):
     t = np.array([ord(c) for c in text] + [0])
@@ -30,7 +45,31 @@ def test_random_suffix_arrays(sigma):
         t = np.append(rng.integers(1, sigma + 1, n), 0)
         assert suffixes.suffix_array(t).tolist() == sorted(range(n + 1), key=lambda i: t[i:].tolist())
         r = np.append(np.tile(rng.integers(1, sigma + 1, 7), n // 3), 0)
-        assert suffixes.suffix_array(r).tolist() == suffixes.by_doubling(r).tolist()
+        assert suffixes.suffix_array(r).tolist() == by_doubling(r).tolist()
+
+
+def test_every_level_is_induced():
+    """2 MB of prose: the reduced strings, of tens of thousands of names, are sorted by induction too."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    text = " ".join(rnd.choices(words, k=400_000))[: 2 << 20]
+    t, levels = np.append(np.frombuffer(text.encode(), np.uint8).astype(np.int64), 0), []
+    assert (suffixes.suffix_array(t, levels) == by_doubling(t)).all()
+    assert len(levels) >= 3 and levels[1] > 500_000 and all(b <= a // 2 for a, b in zip(levels, levels[1:], strict=False))
+
+
+def test_unlike_strings_of_one_hash_keep_their_names():
+    """A Thue-Morse string and its complement hash alike modulo 2 ** 64; names come from the bytes."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    t = np.array([ord(c) for c in "c" + morse + "c" + other + "c" + morse] + [0])
+    assert suffixes.suffix_array(t).tolist() == by_doubling(t).tolist()
+
+
+def test_stretches_hold_every_window_once():
+    texts = [b"abcdefghijklmnopqrstuvwxyz", b"", b"abc", bytes(range(97, 107)), b"y" * 31]
+    got = [(i, at + s) for rows, offsets, parts in suffixes.stretches(texts, 4, 10) for i, at, p in zip(rows, offsets, parts, strict=True) for s in range(len(p) - 3)]
+    assert got == [(i, s) for i, t in enumerate(texts) for s in range(len(t) - 3)]
 
 
 def brute(rows, length):
@@ -68,6 +107,15 @@ def test_small_windows(spark, crowd):
     assert got == brute(rows, 12)
 
 
+def test_texts_longer_than_a_block(spark):
+    rnd = random.Random(6)
+    body = "".join(rnd.choice("abcdefgh") for _ in range(1_300_000))
+    rows = [(1, body), (2, "start " + body[1_040_000:1_060_000] + " end"), (3, body[:500] + "z" + body[500:900])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffixes.remove_repeats(df, 40).collect()}
+    assert got == brute(rows, 40)
+
+
 def test_odd_rows(odd, none):
     got = suffixes.remove_repeats(odd).collect()
     assert len(got) == odd.count()

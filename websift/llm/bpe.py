@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import widened
+from .common import slices, widened, without
 
 #: Fixed values of the vocabulary's file format: pieces that its pre-tokenizer keeps, and the bytes that its byte-level
 #: alphabet shows as themselves (the others follow from U+0100 on).
@@ -28,7 +28,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+"  # of a run
 ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"  # of a run without white space
 SHOWN = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
 #: A worker remembers chunks and pieces in two generations of at most this many each.
-MEMO = 100_000
+MEMO = 1 << 15
 NONE = 1 << 40
 
 
@@ -59,18 +59,31 @@ class Memo:
         return value
 
 
-class Tokenizer:
+class Decoder:
+    """The tokens of one vocabulary file, and nothing that only encoding needs."""
+
+    def __init__(self, file: bytes | dict):
+        spec = json.loads(file) if isinstance(file, bytes) else file
+        named = [*spec["model"]["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]
+        self.tokens = [""] * (max(i for _, i in named) + 1)
+        for token, i in named:
+            self.tokens[i] = token
+
+    def decode(self, packed: bytes) -> str:
+        """The file has no decoder: the tokens as they are written, joined by spaces."""
+        return " ".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+
+class Tokenizer(Decoder):
     """The encoder and decoder of one vocabulary file (lower-casing, NFC, word ends marked)."""
 
     def __init__(self, file: bytes):
         spec = json.loads(file)
+        super().__init__(spec)
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
-        vocab = dict(model["vocab"])
+        vocab = model["vocab"]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = [""] * (max([*vocab.values(), *added.values()]) + 1)
-        for token, i in [*vocab.items(), *added.items()]:
-            self.tokens[i] = token
         self.rank: dict[int, int] = {}  # of a pair of ids, packed
         self.made: list[int] = []  # the id that the merge of a rank gives
         for rank, merge in enumerate(model["merges"]):
@@ -172,56 +185,68 @@ class Tokenizer:
             at = m.end()
         return b"".join([*out, self.plain(text[at:])])
 
-    def decode(self, packed: bytes) -> str:
-        """The file has no decoder: the tokens as they are written, joined by spaces."""
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-
 
 #: Information separators are white space to str.split, but not to the tokenizer.
 CONTROL = re.compile("[\x1c-\x1f]")
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def tokenizer(file: bytes) -> Tokenizer:
     return Tokenizer(file)
 
 
+@lru_cache(maxsize=1)
+def decoder(file: bytes) -> Decoder:
+    return Decoder(file)
+
+
 def shipped(df: DataFrame, path: str):
     """The vocabulary file's bytes (1.7 MB, whatever the input) as a broadcast, so that executors need no such file."""
     with open(path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decode: bool = False) -> DataFrame:
     """Encode every whole text: id, the kept columns, n_tokens, ids (packed little-endian unsigned 32-bit integers).
 
-    Null texts are empty ones and give no tokens; rows are independent, so repeated rows and null ids just stay.
+    Null texts are empty ones and give no tokens; rows are independent, so repeated rows and null ids just stay; an empty
+    table gives no rows. Texts are taken about a megabyte at a time, a longer one by itself. A kept column of the name of
+    a result gives way to the result; other columns are not read. With `decode`, decoded (the text of the ids) is added
+    by the same worker, which saves a second one.
     """
     file = shipped(docs, path)
-    rows = docs.select(id_col, *keep, F.col(text_col).alias("_text"))
-    names = rows.columns[:-1]
+    made = {"n_tokens": "long", "ids": "binary"} | ({"decoded": "string"} if decode else {})
+    kept = [c for c in dict.fromkeys((id_col, *keep)) if c.lower() not in made]
+    rows = docs.select(*kept, F.col(text_col).alias("_text"))
 
     def run(batches):
         own = tokenizer(file.value)
-        for batch in batches:
-            packed = [own.encode(t) if t else b"" for t in batch.column("_text").to_pylist()]
-            kept = [batch.column(c) for c in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())], names=[*names, "n_tokens", "ids"])
+        for batch in (part for b in batches for part in slices(b, b.num_columns - 1)):
+            packed = [own.encode(t) if t else b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            cols = [*batch.columns[:-1], pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
+            if decode:
+                cols.append(pa.array([own.decode(p) for p in packed], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, *made])
 
-    return rows.mapInArrow(run, widened(rows.drop("_text").schema, n_tokens="long", ids="binary"))
+    return rows.mapInArrow(run, widened(rows.drop("_text").schema, **made))
 
 
 def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """Add decoded: the text of the packed ids (null where they are null)."""
+    """Add decoded: the text of the packed ids (null where they are null).
+
+    Rows are independent, repeated ones agree, and an empty table gives no rows; ids are taken about a megabyte at a
+    time, those of a longer text by themselves. A column named decoded is replaced.
+    """
     file = shipped(encoded, path)
-    names = encoded.columns
+    rows = without(encoded, "decoded")
+    names = rows.columns
     at = names.index(ids_col)
 
     def run(batches):
-        own = tokenizer(file.value)
-        for batch in batches:
+        own = decoder(file.value)
+        for batch in (part for b in batches for part in slices(b, at)):
             texts = [None if p is None else own.decode(p) for p in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-    return encoded.mapInArrow(run, widened(encoded.schema, decoded="string"))
+    return rows.mapInArrow(run, widened(rows.schema, decoded="string"))

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: White space that separates words, in every word-based contract here: space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Workers turn about so many bytes of text into Python or numpy objects at a time (one row at least), whatever a batch holds.
+BLOCK = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that driver and executors share, spark.checkpoint.dir; where that is unset, one of our own in local mode only."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("websift.shared.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="websift-shared-")
         spark.conf.set("websift.shared.dir", conf)
     return conf.rstrip("/")
@@ -37,12 +45,33 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files behind a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete the files behind materialized tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def finished(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+    """df as a written table, after which the tables it was made from are deleted; for results of a few numbers a row."""
+    out = materialize(df, name)
+    drop_table(*used)
+    return out
+
+
+def slices(batch: pa.RecordBatch, *columns: int, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch whose given text or binary columns hold about `size` bytes together, one row at least."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        total += np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), np.int64)
+    ends = np.cumsum(total)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -60,3 +89,10 @@ def widened(schema: StructType, **columns: str) -> StructType:
     for name, kind in columns.items():
         out.add(name, kind)
     return out
+
+
+def without(df: DataFrame, *added: str) -> DataFrame:
+    """df less the columns that an operator is about to add: a column of such a name is replaced, as withColumn does."""
+    names = {a.lower() for a in added}
+    clash = [c for c in df.columns if c.lower() in names]
+    return df.drop(*clash) if clash else df

@@ -1,12 +1,15 @@
 """Exact n-gram Jaccard self-join by a token-group matrix.
 
 Documents with equal shingle sets collapse to one representative. A representative is indexed by its prefix: the first
-|X| - ceil(t |X|) + 1 shingles in one global order (commonest shingles last, else by hash), as two sets with a Jaccard
-similarity of t or more must share one of those. Similar documents are then partitioned into groups: each representative
-is checked against the leaders (smallest and largest id) of its prefix shingles' lists, and what links forms a group.
-The token-group matrix holds each group's union of prefix shingles. A query document's overlap with a group is bounded
-by its prefix shingles found in the union: no such shingle, no link. Only groups that qualify, and to which the query
-does not belong already, are opened, and their members sharing the shingle are checked exactly.
+|X| - ceil(t |X|) + 1 shingles in one global order (commonest shingles last, else by hash). Two sets of sizes x and y
+with a Jaccard similarity of t or more share at least ceil(t (x + y) / (1 + t)) shingles, of which `least_shared` lie in
+both prefixes: what the smaller prefix does not cover is too little for the rest.
+
+Similar documents are partitioned into groups: each representative is checked against the leaders (smallest and largest
+id) of its prefix shingles' lists, and what links forms a group. The token-group matrix stores each group's union of
+prefix shingles, with the range of sizes that hold each. A query document's overlap with a group is at most the number
+of its prefix shingles in the union; where that is less than the least that any member of a fitting size would need, the
+group stays closed. Of the groups that qualify, members that reach the same bound themselves are checked on their texts.
 """
 
 from __future__ import annotations
@@ -15,73 +18,64 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, shuffle_partitions
+from .common import BLOCK, drop_table, finished, materialize, slices
 from .components import connected_components
 
-BLOCK = 4 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: The value of each byte in a word's hash: any fixed odd-looking 64-bit numbers do.
-VALUE = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), np.uint64)
+#: Words of up to so many bytes are hashed 8 bytes at a time over all words at once, longer ones one by one.
+SHORT = 64
+MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers in which every bit depends on every other."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
 
 
-class Powers:
-    """Powers of BASE and of its inverse modulo 2 ** 64, as far as asked."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def __call__(self, n: int):
-        if n > len(self.up):
-            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x)])) for x in (BASE, inverse))
-        return self.up, self.down
-
-
-POWERS = Powers()
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lower-cased), and how many each text has."""
-    joined = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    space = SPACE[joined]
+    low = LOWER[np.frombuffer(b" " + b" ".join(texts) + b" " + bytes(8), np.uint8)]
+    space = SPACE[low[:-8]]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    start, stop = edge[::2], edge[1::2]
-    up, down = POWERS(len(joined) + 1)
-    total = np.cumsum(VALUE[LOWER[joined]] * up[: len(joined)])
-    words = mix((total[stop - 1] - total[start - 1]) * down[start])
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))  # the 8 bytes from each place on
+    words = mix(length.astype(np.uint64) + np.uint64((seed << 32) + 1))
+    for at in range(0, SHORT, 8):
+        own = np.flatnonzero(length > at) if at else slice(None)
+        if at and not len(own):
+            break
+        part = eight[start[own] + at] & MASK[np.minimum(length[own] - at, 8)]
+        words[own] = mix(words[own] ^ part)
+    for i in np.flatnonzero(length > SHORT).tolist():
+        raw = low[start[i] : start[i] + length[i]].tobytes()
+        words[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
     ends = np.cumsum([len(t) + 1 for t in texts])
     return words, np.diff(np.searchsorted(start, ends, "right"), prepend=0)
 
 
-def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], k: int, seed: int = 0) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's k-word shingles; fewer words: the whole sequence as one; none: empty."""
-    words, counts = word_hashes(texts)
+    words, counts = word_hashes(texts, seed)
     n = max(0, len(words) - k + 1)
-    rolled = np.zeros(n, np.uint64)
-    for i in range(k):
-        rolled = rolled * BASE + words[i : n + i]
-    rolled = mix(rolled)
+    rolled = mix(words[:n])
+    for i in range(1, k):
+        rolled = mix(rolled + words[i : n + i])
     out, at = [], 0
     for c in counts.tolist():
         if c >= k:
             out.append(np.unique(rolled[at : at + c - k + 1]))
         elif c:
-            h = np.full(1, c, np.uint64)
+            h = mix(np.full(1, c, np.uint64))
             for w in words[at : at + c]:
-                h = mix(h * BASE + w)
+                h = mix(h + w)
             out.append(h)
         else:
             out.append(np.zeros(0, np.uint64))
@@ -89,17 +83,8 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def blocks(column, size: int = BLOCK):
-    """Lists of UTF-8 texts (null: empty) of about `size` bytes, with the first one's position."""
-    first, held, total = 0, [], 0
-    for i, t in enumerate(column.to_pylist()):
-        held.append((t or "").encode())
-        total += len(held[-1])
-        if total >= size:
-            yield first, held
-            first, held, total = i + 1, [], 0
-    if held:
-        yield first, held
+def encoded(column: pa.Array) -> list[bytes]:
+    return [t.encode() for t in column.to_pylist()]
 
 
 def common_shingles(texts: DataFrame, k: int, most: int, least: int = 2) -> np.ndarray:
@@ -110,8 +95,11 @@ def common_shingles(texts: DataFrame, k: int, most: int, least: int = 2) -> np.n
 
     def count(batches):
         for batch in batches:
-            for _, block in blocks(batch.column(0)):
-                h, n = np.unique(np.concatenate(shingle_sets(list(dict.fromkeys(block)), k)), return_counts=True)
+            for part in slices(batch, 0, size=4 * BLOCK):  # the wider the stretch, the more shingles show that they repeat
+                sets = []
+                for piece in slices(part, 0):
+                    sets += shingle_sets(list(dict.fromkeys(encoded(piece.column(0)))), k)
+                h, n = np.unique(np.concatenate(sets), return_counts=True)
                 h, n = h[n >= least], n[n >= least]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
@@ -126,9 +114,9 @@ def describe(docs: DataFrame, k: int, num: int, den: int, hot) -> DataFrame:
     def run(batches):
         last = hot.value
         for batch in batches:
-            for first, block in blocks(batch.column(1), BLOCK):
+            for part in slices(batch, 1):
                 n, digest, prefix = [], [], []
-                for s in shingle_sets(block, k):
+                for s in shingle_sets(encoded(part.column(1)), k):
                     n.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
@@ -137,135 +125,154 @@ def describe(docs: DataFrame, k: int, num: int, den: int, hot) -> DataFrame:
                         common = last[at] == s
                         s = np.concatenate([s[~common], s[common]])
                     prefix.append(s[:p].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(block)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary())], names=["id", "n", "digest", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary())], names=["id", "n", "digest", "prefix"])
 
     return docs.mapInArrow(run, "id long, n long, digest binary, prefix binary")
 
 
-RECORD = np.dtype([("token", "<u8"), ("id", "<i8"), ("n", "<u4"), ("pos", "<u4")])
-LISTED = "token long, id long, n long, pos long, low long, low_n long, high long, high_n long"
+def postings(reps: DataFrame) -> DataFrame:
+    """(token, id, n) of every prefix shingle of (id, n, prefix) rows."""
 
-
-def shared_postings(reps: DataFrame, buckets: int) -> DataFrame:
-    """(token, id, n, pos) of every prefix shingle that two representatives or more list, with the list's leaders.
-
-    Postings travel as packed blocks, one per batch and bucket, so that the shuffle moves 24 bytes a posting and few rows.
-    """
-
-    def deal(batches):
+    def run(batches):
         for batch in batches:
-            prefixes = [np.frombuffer(p, "<u8") for p in batch.column(2).to_pylist()]
-            lens = np.array([len(p) for p in prefixes])
-            if not lens.sum():
-                continue
-            rows = np.zeros(lens.sum(), RECORD)
-            rows["token"] = np.concatenate(prefixes)
-            rows["id"] = np.repeat(batch.column(0).to_numpy(), lens)
-            rows["n"] = np.repeat(batch.column(1).to_numpy(), lens)
-            rows["pos"] = np.arange(len(rows)) - np.repeat(np.cumsum(lens) - lens, lens)
-            to = (mix(rows["token"]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            rows, to = rows[order], to[order]
-            cuts = np.flatnonzero(np.diff(to, prepend=-1))
-            yield pa.RecordBatch.from_arrays([pa.array(to[cuts]), pa.array([r.tobytes() for r in np.split(rows, cuts[1:])], pa.binary())], names=["bucket", "rows"])
-
-    def lists(batches):
-        held = [np.frombuffer(r, RECORD) for batch in batches for r in batch.column(1).to_pylist()]
-        if not held:
-            return
-        rows = np.concatenate(held)
-        del held
-        rows = rows[np.lexsort((rows["id"], rows["token"]))]
-        first = np.flatnonzero(np.diff(rows["token"], prepend=rows["token"][0] + np.uint64(1)))
-        size = np.diff(first, append=len(rows))
-        low, high = np.repeat(first, size), np.repeat(first + size - 1, size)
-        keep = rows["id"][low] != rows["id"][high]
-        rows, low, high = rows[keep], rows[low[keep]], rows[high[keep]]
-        for i in range(0, len(rows), 100_000):
-            r, a, b = rows[i : i + 100_000], low[i : i + 100_000], high[i : i + 100_000]
-            cols = [r["token"], r["id"], r["n"], r["pos"], a["id"], a["n"], b["id"], b["n"]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in cols], names=[x.split()[0] for x in LISTED.split(", ")])
-
-    parts = shuffle_partitions(reps.sparkSession)
-    return reps.select("id", "n", "prefix").mapInArrow(deal, "bucket long, rows binary").repartition(parts, "bucket").mapInArrow(lists, LISTED)
+            for part in slices(batch, 2):
+                packed = part.column(2).to_pylist()
+                lens = np.array([len(p) // 8 for p in packed])
+                token = np.frombuffer(b"".join(packed), "<i8")
+                cols = [token, np.repeat(part.column(0).to_numpy(), lens), np.repeat(part.column(1).to_numpy(), lens)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "id", "n"])
+
+    return reps.select("id", "n", "prefix").mapInArrow(run, "token long, id long, n long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The (a, b) pairs whose shingle sets reach the similarity, checked on the whole texts."""
+    """The (a, b) pairs whose shingle sets reach the similarity, checked on the whole texts with hashes of another seed."""
     side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
-                known: dict[str, np.ndarray] = {}
+            for part in slices(batch, 2, 3):
+                left, right = encoded(part.column(2)), encoded(part.column(3))
                 new = list(dict.fromkeys([*left, *right]))
-                for first in range(0, len(new), 200):
-                    known |= zip(new[first : first + 200], shingle_sets([t.encode() for t in new[first : first + 200]], k), strict=True)
+                known = dict(zip(new, shingle_sets(new, k, seed=1), strict=True))
                 keep = []
                 for i, (x, y) in enumerate(zip(left, right, strict=True)):
                     x, y = known[x], known[y]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if both and den * both >= num * (len(x) + len(y) - both):
                         keep.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", leaders: int = 3, common: int = 1 << 18) -> DataFrame:
+def up(a: Column, b: int) -> Column:
+    """a / b rounded up; exact for numbers of shingles, far below 2 ** 53."""
+    return F.ceil(a / b)
+
+
+def least_shared(x: Column, y: Column, num: int, den: int) -> Column:
+    """How many shingles the prefixes of sets of x and y shingles share at least, if the sets' similarity is num / den or more."""
+    whole = up((x + y) * num, num + den)
+    return whole - F.greatest(up(x * num, den), up(y * num, den)) + 1
+
+
+def fits(x: Column, y: Column, num: int, den: int) -> Column:
+    """Whether sets of x and y shingles can be that similar."""
+    return F.least(x, y) * den >= F.greatest(x, y) * num
+
+
+def group_matrix(labelled: DataFrame) -> DataFrame:
+    """(token, group, low, high): every group's union of prefix shingles, with the sizes of its members that hold each."""
+    return labelled.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+
+
+def qualifying(labelled: DataFrame, matrix: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, n, group) of every group, of a smaller number than the query's own, whose union holds enough of the query's prefix.
+
+    The least that a member needs is smallest at an end of the fitting sizes: it grows with a member's size up to the
+    query's and falls beyond it.
+    """
+    q = labelled.select("token", "id", "n", F.col("group").alias("own"))
+    n, low, high = F.col("n"), F.col("low"), F.col("high")
+    met = q.join(matrix, "token").filter((F.col("own") > F.col("group")) & (high * den >= n * num) & (n * den >= low * num))
+    seen = met.groupBy("id", "n", "group").agg(F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
+    smallest, largest = F.greatest(low, up(n * num, den)), F.least(high, F.floor(n * den / num))
+    needed = F.least(least_shared(n, smallest, num, den), least_shared(n, largest, num, den))
+    return seen.filter(F.col("shared") >= needed).select("id", "n", "group")
+
+
+def opened_pairs(labelled: DataFrame, qualified: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of queries and members of their qualifying groups whose prefixes share as many shingles as their sizes ask for."""
+    q = labelled.select("token", "id", "n").join(qualified, ["id", "n"]).select("token", "group", F.col("id").alias("x"), F.col("n").alias("nx"))
+    m = labelled.select("token", "group", F.col("id").alias("y"), F.col("n").alias("ny"))
+    met = q.join(m, ["token", "group"]).filter(fits(F.col("nx"), F.col("ny"), num, den))
+    shared = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared"))
+    enough = shared.filter(F.col("shared") >= least_shared(F.col("nx"), F.col("ny"), num, den))
+    return enough.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
+
+
+def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", leaders: int = 3, common: int = 1 << 18, seen: dict | None = None) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links of similarity num / den or more).
 
     A document without words has no shingles, links with nothing and is its own component; a null text is an empty one.
     Rows that share an id are one document here, linked where any of their texts is. Rows with a null id come back with
-    a null component and link with nothing. An empty table gives no rows. `leaders` and `common` only set how much is
-    grouped before the exact pass, never what is found.
+    a null component and link with nothing. An empty table gives no rows. Very long texts are read whole, about a
+    megabyte of texts at a time. `docs` may hold further columns of any name; they are not read. `leaders` and `common`
+    only set how much is grouped before the exact pass, never what is found. `seen`, if given, gets the numbers of
+    query-group pairs met and opened.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hot = spark.sparkContext.broadcast(common_shingles(rows.select("text"), k, common))  # at most `common` numbers
     described = materialize(describe(rows, k, num, den, hot), "jaccard-described")
     reps = described.filter("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n", "prefix")).alias("r"))
-    reps = reps.select("digest", "r.*")
-    listed = materialize(shared_postings(reps, 4 * shuffle_partitions(spark)), "jaccard-postings")
+    reps = materialize(reps.select("digest", "r.*"), "jaccard-reps")
+    posted = materialize(postings(reps), "jaccard-postings")
+    lists = posted.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
+    listed = materialize(posted.join(lists, "token"), "jaccard-listed")
+    drop_table(posted)
     texts = materialize(rows.join(listed.select("id").distinct(), "id"), "jaccard-texts")
 
     # 1. partition similar documents into groups, by their lists' leaders
-    fits = lambda x, y: (F.least(x, y) * den >= F.greatest(x, y) * num)
-    star = listed.filter((F.col("id") != F.col("low")) & fits(F.col("n"), F.col("low_n"))).select("id", F.col("low").alias("leader")).union(
-        listed.filter((F.col("id") != F.col("high")) & fits(F.col("n"), F.col("high_n"))).select("id", F.col("high").alias("leader"))
-    )
-    best = star.groupBy("id", "leader").agg(F.count("*").alias("c")).groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "leader")), asc=False), 1, leaders).alias("best"))
+    sizes = reps.select(F.col("id").alias("leader"), F.col("n").alias("leader_n"))
+    star = listed.select("id", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("leader")).filter("id <> leader")
+    star = star.groupBy("id", "n", "leader").agg(F.count("*").alias("c")).join(sizes, "leader").filter(fits(F.col("n"), F.col("leader_n"), num, den))
+    best = star.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "leader")), asc=False), 1, leaders).alias("best"))  # a document's own lists
     pairs = best.select("id", F.explode("best.leader").alias("leader")).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     tried = materialize(pairs, "jaccard-pairs")
     links = materialize(verified(tried, texts, k, num, den), "jaccard-links")
     groups = connected_components(links)
 
-    # 2. token-group matrix: shingles with one group only can open nothing
-    labelled = listed.select("token", "id", "n", "pos").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
-    matrix = labelled.groupBy("token").agg(F.min("group").alias("one"), F.max("group").alias("two")).filter("one <> two").select("token")
-    open_ = materialize(labelled.join(matrix, "token"), "jaccard-open")
-
-    # 3. open the groups that qualify: members sharing the shingle, of a size that fits, not in the query's own group
-    q = open_.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("group").alias("ga"))
-    m = open_.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("group").alias("gb"))
-    # at the first shared shingle, what is left of either prefix's set bounds the overlap; later ones only bound it lower
-    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (num + den) >= (F.col("na") + F.col("nb")) * num
-    opened = q.join(m, "token").filter("a < b and ga <> gb").filter(reach).select("a", "b").distinct()
-    new = materialize(opened.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-    for used in (listed, open_, tried):
-        drop_table(used)
+    # 2. token-group matrix: shingles of one group only can open nothing
+    labelled = listed.select("token", "id", "n").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+    labelled = materialize(labelled, "jaccard-labelled")
+    matrix = materialize(group_matrix(labelled), "jaccard-matrix")
+    several = matrix.groupBy("token").agg(F.min("group").alias("one"), F.max("group").alias("two")).filter("one <> two").select("token")
+    queries = materialize(labelled.join(several, "token"), "jaccard-queries")
+    drop_table(listed, labelled)
+    qualified = materialize(qualifying(queries, matrix, num, den), "jaccard-qualified")
+
+    # 3. open the groups that qualify
+    new = materialize(opened_pairs(queries, qualified, num, den).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    if seen is not None:
+        met = queries.alias("q").join(matrix.alias("m"), "token").filter("q.group > m.group").select("id", "m.group").distinct().count()
+        seen.update(met=met, opened=qualified.count(), pairs=new.count(), tried=tried.count())
+    drop_table(matrix, queries, qualified, tried)
     more = materialize(verified(new, texts, k, num, den), "jaccard-links")
-    for used in (texts, new):
-        drop_table(used)
-    parts = connected_components(links.union(more))
+    drop_table(texts, new)
+    # rows that share an id tie their sets' representatives together
+    named = described.filter("id is not null").select("id", "digest", F.xxhash64("digest").alias("h"))
+    shared = materialize(named.groupBy("id").agg(F.min("h").alias("one"), F.max("h").alias("two")).filter("one <> two").select("id"), "jaccard-shared-ids")
+    tied = named.join(shared, "id").join(reps.select("digest", F.col("id").alias("rep")), "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    parts = connected_components(links.union(more).union(tied))
 
     # representatives carry their component to all documents with the same set
-    found = materialize(reps.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")), "jaccard-found")
-    return described.join(found, "digest", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))).alias("component_id"),
+    found = materialize(reps.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("by_set")), "jaccard-found")
+    ids = shared.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("by_id"))
+    result = described.join(found, "digest", "left").join(ids, "id", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("by_id", "by_set", "id")).alias("component_id")
     )
+    return finished(result, "jaccard-result", described, reps, links, more, groups, shared, parts, found)

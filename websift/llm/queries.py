@@ -28,9 +28,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document and decode its ids again, as digests."""
-    path = vocabulary_path()
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path)
-    return bpe.decode_documents(encoded, path).select(
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path(), decode=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
