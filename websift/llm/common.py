@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 WORD = r"[^\x20\x09-\x0D]+"
 #: Workers turn about so many bytes of text into Python or numpy objects at a time (one row at least), whatever a batch holds.
 BLOCK = 1 << 20
+#: A written table's files hold about so many bytes where it is small.
+FILE = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +40,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and gives the planner real sizes."""
+def plan_bytes(df: DataFrame) -> int:
+    """The planner's size of a frame: for a written table the bytes of its files, at most its columns' part of them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def sized(df: DataFrame, *sources: DataFrame) -> DataFrame:
+    """df in as many partitions as its sources' bytes ask for (two a core at least), where a shuffle has left it in more.
+
+    A shuffle's number of partitions is a setting and not a size; written as they are, small tables would become many
+    tiny files. Larger tables keep their partitions.
+    """
+    least = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(least, -(-sum(map(plan_bytes, sources)) // FILE)))
+
+
+def materialize(df: DataFrame, name: str, *sources: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and gives the planner real sizes.
+
+    With the written tables that df was made from, the number of files follows their size.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    (sized(df, *sources) if sources else df).write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -56,7 +76,7 @@ def drop_table(*tables: DataFrame) -> None:
 
 def finished(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
     """df as a written table, after which the tables it was made from are deleted; for results of a few numbers a row."""
-    out = materialize(df, name)
+    out = materialize(df, name, *used)
     drop_table(*used)
     return out
 

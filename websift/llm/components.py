@@ -42,26 +42,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
     parents. Every round's tables are written, so that hot parents meet plain joins that the planner can split.
     Loops, repeated and reversed edges don't matter; an empty table gives no rows.
     """
-    edges = materialize(edges.select("a", "b").filter("a <> b").mapInArrow(_thin, "a long, b long").distinct(), "cc-edges")
+    given = edges.select("a", "b")
+    edges = materialize(given.filter("a <> b").mapInArrow(_thin, "a long, b long").distinct(), "cc-edges", given)
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooked = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")), "cc-hooked")
+        hooked = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")), "cc-hooked", edges)
         for _ in range(2):
             up = hooked.select(F.col("id").alias("component"), F.col("component").alias("upper"))
-            before, hooked = hooked, materialize(hooked.join(up, "component", "left").select("id", F.coalesce("upper", "component").alias("component")), "cc-hooked")
+            before, hooked = hooked, materialize(hooked.join(up, "component", "left").select("id", F.coalesce("upper", "component").alias("component")), "cc-hooked", hooked)
             drop_table(before)
         step = hooked.select(F.col("id").alias("component"), F.col("component").alias("upper"))
         if labels is None:
             labels = hooked
         else:
-            before, labels = labels, materialize(labels.join(step, "component", "left").select("id", F.coalesce("upper", "component").alias("component")), "cc-labels")
+            before, labels = labels, materialize(labels.join(step, "component", "left").select("id", F.coalesce("upper", "component").alias("component")), "cc-labels", labels)
             drop_table(before)
         moved = edges.join(hooked.select(F.col("id").alias("a"), F.col("component").alias("pa")), "a")
         moved = moved.join(hooked.select(F.col("id").alias("b"), F.col("component").alias("pb")), "b")
         moved = moved.filter("pa <> pb").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b"))
-        before, edges = edges, materialize(moved.mapInArrow(_thin, "a long, b long").distinct(), "cc-edges")
+        before, edges = edges, materialize(moved.mapInArrow(_thin, "a long, b long").distinct(), "cc-edges", edges)
         drop_table(before)
         if labels is not hooked:
             drop_table(hooked)
-    return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    if labels is not None:
+        drop_table(edges)
+        return labels
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -229,12 +229,12 @@ def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100
     hot = spark.sparkContext.broadcast(common_shingles(rows.select("text"), k, common))  # at most `common` numbers
     described = materialize(describe(rows, k, num, den, hot), "jaccard-described")
     reps = described.filter("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n", "prefix")).alias("r"))
-    reps = materialize(reps.select("digest", "r.*"), "jaccard-reps")
+    reps = materialize(reps.select("digest", "r.*"), "jaccard-reps", described)
     posted = materialize(postings(reps), "jaccard-postings")
     lists = posted.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
-    listed = materialize(posted.join(lists, "token"), "jaccard-listed")
+    listed = materialize(posted.join(lists, "token"), "jaccard-listed", posted)
     drop_table(posted)
-    texts = materialize(rows.join(listed.select("id").distinct(), "id"), "jaccard-texts")
+    texts = materialize(rows.join(listed.select("id").distinct(), "id"), "jaccard-texts", rows)
 
     # 1. partition similar documents into groups, by their lists' leaders
     sizes = reps.select(F.col("id").alias("leader"), F.col("n").alias("leader_n"))
@@ -242,37 +242,38 @@ def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100
     star = star.groupBy("id", "n", "leader").agg(F.count("*").alias("c")).join(sizes, "leader").filter(fits(F.col("n"), F.col("leader_n"), num, den))
     best = star.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "leader")), asc=False), 1, leaders).alias("best"))  # a document's own lists
     pairs = best.select("id", F.explode("best.leader").alias("leader")).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    tried = materialize(pairs, "jaccard-pairs")
-    links = materialize(verified(tried, texts, k, num, den), "jaccard-links")
+    tried = materialize(pairs, "jaccard-pairs", listed)
+    links = materialize(verified(tried, texts, k, num, den), "jaccard-links", tried, texts)
     groups = connected_components(links)
 
     # 2. token-group matrix: shingles of one group only can open nothing
     labelled = listed.select("token", "id", "n").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
-    labelled = materialize(labelled, "jaccard-labelled")
-    matrix = materialize(group_matrix(labelled), "jaccard-matrix")
+    labelled = materialize(labelled, "jaccard-labelled", listed)
+    matrix = materialize(group_matrix(labelled), "jaccard-matrix", labelled)
     several = matrix.groupBy("token").agg(F.min("group").alias("one"), F.max("group").alias("two")).filter("one <> two").select("token")
-    queries = materialize(labelled.join(several, "token"), "jaccard-queries")
+    queries = materialize(labelled.join(several, "token"), "jaccard-queries", labelled)
     drop_table(listed, labelled)
-    qualified = materialize(qualifying(queries, matrix, num, den), "jaccard-qualified")
+    qualified = materialize(qualifying(queries, matrix, num, den), "jaccard-qualified", queries, matrix)
 
     # 3. open the groups that qualify
-    new = materialize(opened_pairs(queries, qualified, num, den).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    new = materialize(opened_pairs(queries, qualified, num, den).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs", queries, qualified)
     if seen is not None:
         met = queries.alias("q").join(matrix.alias("m"), "token").filter("q.group > m.group").select("id", "m.group").distinct().count()
         seen.update(met=met, opened=qualified.count(), pairs=new.count(), tried=tried.count())
     drop_table(matrix, queries, qualified, tried)
-    more = materialize(verified(new, texts, k, num, den), "jaccard-links")
+    more = materialize(verified(new, texts, k, num, den), "jaccard-links", new, texts)
     drop_table(texts, new)
     # rows that share an id tie their sets' representatives together
     named = described.filter("id is not null").select("id", "digest", F.xxhash64("digest").alias("h"))
-    shared = materialize(named.groupBy("id").agg(F.min("h").alias("one"), F.max("h").alias("two")).filter("one <> two").select("id"), "jaccard-shared-ids")
+    shared = materialize(named.groupBy("id").agg(F.min("h").alias("one"), F.max("h").alias("two")).filter("one <> two").select("id"), "jaccard-shared-ids", described)
     tied = named.join(shared, "id").join(reps.select("digest", F.col("id").alias("rep")), "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    tied = materialize(tied, "jaccard-tied", shared, reps)
     parts = connected_components(links.union(more).union(tied))
 
     # representatives carry their component to all documents with the same set
-    found = materialize(reps.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("by_set")), "jaccard-found")
+    found = materialize(reps.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("by_set")), "jaccard-found", reps)
     ids = shared.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("by_id"))
     result = described.join(found, "digest", "left").join(ids, "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("by_id", "by_set", "id")).alias("component_id")
     )
-    return finished(result, "jaccard-result", described, reps, links, more, groups, shared, parts, found)
+    return finished(result, "jaccard-result", described, reps, links, more, tied, groups, shared, parts, found)

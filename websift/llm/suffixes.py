@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, as_bytes, drop_table, materialize, shuffle_partitions, slices
+from .common import BLOCK, as_bytes, drop_table, materialize, shuffle_partitions, sized, slices
 from .jaccard import mix
 
 SHARD = 1 << 20
@@ -528,16 +528,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("data"))
     named = rows.filter("id is not null")
     whole = materialize(named.filter(F.length("data") >= length).select("id", F.unhex(F.md5("data")).alias("key"), F.length("data").alias("size")), "suffix-keys")
-    first = materialize(whole.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "suffix-first")
-    copies = materialize(whole.join(first, "key").filter("id > first").select("id", F.lit(0).cast("long").alias("start"), (F.col("size") - length + 1).cast("long").alias("n")), "suffix-copies")
+    first = materialize(whole.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "suffix-first", whole)
+    copies = materialize(whole.join(first, "key").filter("id > first").select("id", F.lit(0).cast("long").alias("start"), (F.col("size") - length + 1).cast("long").alias("n")), "suffix-copies", whole)
 
     tagged = repeated_tags(named, length, k, buckets, crowd).distinct()
     tagged = tagged.groupBy("id").agg(F.collect_list("tag").alias("tags"), F.array_compact(F.collect_list(F.when(F.col("crowded"), F.col("tag")))).alias("crowded"))  # a document's own runs
-    tagged = materialize(tagged.join(copies.select("id").distinct(), "id", "left_anti"), "suffix-tags")
-    pieces = materialize(cut_pieces(named.join(tagged, "id").select("id", "data", "tags", "crowded"), length, k, buckets), "suffix-pieces")
+    tagged = materialize(tagged.join(copies.select("id").distinct(), "id", "left_anti"), "suffix-tags", named)
+    pieces = materialize(cut_pieces(named.join(tagged, "id").select("id", "data", "tags", "crowded"), length, k, buckets), "suffix-pieces", named)
     spans = pieces.filter("content is null").select("id", "start", "n").union(solve_shards(pieces.filter("content is not null"), length)).union(copies)
     spans = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans"))  # a document's own spans
-    spans = materialize(spans, "suffix-spans")
+    spans = materialize(spans, "suffix-spans", pieces)
     drop_table(whole, first, copies, tagged, pieces)
 
     def cut(batches):
@@ -561,4 +561,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in data], pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     whole = rows.join(spans, "id", "left").select("id", "data", "spans")
-    return whole.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+    return sized(whole, rows).mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
