@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -36,6 +37,61 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def plain_grams(text):
+    """Runs of 4 characters around whole words, one bordering space at most."""
+    out = Counter()
+    for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" "):
+        spaced = f" {word} "
+        for i in range(len(spaced) - 3):
+            out[spaced[i : i + 4]] += 1
+    return out
+
+
+def test_against_sets(spark):
+    """The filters hold what plain sets hold, and predict as exact counts do wherever those differ clearly."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    counts = defaultdict(Counter)
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts[r.lang].update(plain_grams(r.text))
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    top = Counter()
+    for x, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top[g], n / total[x])
+    known = {x: {g for g, n in c.items() if n / total[x] >= 0.3 * top[g]} for x, c in counts.items()}
+    train = docs.filter(~langid.held_out())
+    table = langid.known_grams(langid.gram_counts(train, 4000)[0], 0.3).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in table} == {x: len(g) for x, g in known.items()}
+    clear = 0
+    for r, p in zip(rows, langid.identify(docs, langid.learn(train)).collect(), strict=True):
+        assert r.doc_id == p.doc_id
+        own = plain_grams(r.text)
+        n, hits = sum(own.values()), {x: sum(k for g, k in own.items() if g in known[x]) for x in known}
+        best = sorted(hits, key=lambda x: (-hits[x], x))
+        if n and hits[best[0]] - hits[best[1]] > 0.03 * n + 2:
+            clear += 1
+            assert p.lang_pred == best[0]
+            assert abs(p.coverage - hits[best[0]] / n) < 0.03
+    assert clear > 0.9 * len(rows)
+
+
+def test_rule_does_not_depend_on_size(spark):
+    """Doubling the table leaves every language's n-grams as they are, rare ones included."""
+    docs = spark.createDataFrame([(1, "hello there", "en"), (2, "bonjour la", "fr")], "doc_id long, text string, lang string")
+    many = docs.crossJoin(spark.range(3000)).selectExpr("doc_id * 10000 + id as doc_id", "text", "lang")
+    sets = [{(r.lang, r.code) for r in langid.known_grams(langid.gram_counts(d, 10_000)[0], 0.3).collect()} for d in (docs, many)]
+    assert sets[0] == sets[1] and len(sets[0]) > 10
+
+
+def test_ties_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "same words here", "b"), (2, "same words here", "a")], "doc_id long, text string, lang string").selectExpr("*", "'x' as lang_pred", "1 as score", "2 as Coverage")
+    got = langid.identify(docs, langid.learn(docs))
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score", "coverage"]
+    assert [(r.lang_pred, r.score) for r in got.collect()] == [("a", 0.5), ("a", 0.5)]
+
+
 def test_odd_rows(spark, odd, none):
     model = langid.learn(odd)
     got = langid.identify(odd, model).collect()

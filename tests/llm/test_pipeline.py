@@ -51,7 +51,7 @@ def test_language(stages):
     for x, c in counts.items():
         for g, n in c.items():
             top[g] = max(top[g], n / total[x])
-    known = {x: {g for g, n in c.items() if n / total[x] >= 0.3 * top[g] and (n >= 2 or total[x] < 10_000)} for x, c in counts.items()}
+    known = {x: {g for g, n in c.items() if n / total[x] >= 0.3 * top[g]} for x, c in counts.items()}
     kept = {r.doc_id for r in after}
     for r in before:
         found = letter_grams(r.text or "")

@@ -15,10 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import widened
+from .common import slices, widened, without
 
 N, HASHES = 4, 3
-BLOCK = 1 << 20
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 UNKNOWN = "und"
 
@@ -29,18 +28,6 @@ def letters() -> np.ndarray:
     return np.array([unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)])
 
 
-def blocks(texts: list[str | None], size: int = BLOCK):
-    """(first, last + 1) runs of texts of about `size` characters, so that memory follows the block and not the batch."""
-    first, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= size:
-            yield first, i + 1
-            first, held = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """n-gram codes of lower-cased words (one bordering space at most), the text of each, and which texts have a letter."""
     parts = [f" {t.lower() if t else ''} ".encode("utf-32-le") for t in texts]
@@ -115,66 +102,71 @@ class Filters:
         return lang, share.tolist(), cover.tolist()
 
 
-def learn(labelled: DataFrame, rows_per_lang: int = 4000, max_grams: int = 50_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
-    """Fit the filters on about rows_per_lang rows of each language, picked by the hash of the id; null languages and texts teach nothing.
-
-    An n-gram belongs to a language where it was met twice (once if the language has under 10,000 n-grams) and at no less
-    than 0.3 times the rate of the language that uses it most; each language keeps its max_grams commonest. The number of
-    languages is taken to be small enough for the driver, as each is a bit of every mask.
-    """
+def gram_counts(labelled: DataFrame, rows_per_lang: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame | None, dict[str, int]]:
+    """(lang, code, n) of the n-grams in about rows_per_lang rows of each language, picked by the hash of the id; and the languages' rows."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    prior = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    prior = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not prior:
-        return Filters({}, {})
+        return None, prior
     cut = F.create_map(*(x for lang, n in prior.items() for x in (F.lit(lang), F.lit(min(1.0, rows_per_lang / n)))))
     picked = rows.filter(F.pmod(F.xxhash64("i", F.lit("lang")), F.lit(1 << 30)) < cut[F.col("lang")] * (1 << 30))
 
     def count(batches):
-        for batch in batches:
-            texts, langs = batch.column(2).to_pylist(), batch.column(1).to_pylist()
+        for batch in (part for b in batches for part in slices(b, 2)):
+            langs = batch.column(1).to_pylist()
             names = sorted(set(langs))
-            for first, last in blocks(texts, 4 * BLOCK):
-                codes, doc, _ = grams(texts[first:last])
-                own = np.array([names.index(x) for x in langs[first:last]])[doc] if len(doc) else doc
-                for k, name in enumerate(names):
-                    code, n = np.unique(codes[own == k], return_counts=True)
-                    if len(code):
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(code)), pa.array(code.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
-
-    counted = picked.mapInArrow(count, "lang string, code long, n long").groupBy("code", "lang").agg(F.sum("n").alias("n"))
+            codes, doc, _ = grams(batch.column(2).to_pylist())
+            own = np.array([names.index(x) for x in langs])[doc] if len(doc) else doc
+            for k, name in enumerate(names):
+                code, n = np.unique(codes[own == k], return_counts=True)
+                if len(code):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(code)), pa.array(code.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
+
+    return picked.mapInArrow(count, "lang string, code long, n long").groupBy("code", "lang").agg(F.sum("n").alias("n")), prior
+
+
+def known_grams(counted: DataFrame, least_rate: float) -> DataFrame:
+    """(lang, code): an n-gram belongs to every language that uses it at no less than least_rate times the rate of the one that uses it most."""
     total = counted.groupBy("lang").agg(F.sum("n").alias("all"))
     rated = counted.join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("all"))  # one row per language
-    known = (
-        rated.withColumn("top", F.max("rate").over(Window.partitionBy("code")))
-        .filter((F.col("rate") >= 0.3 * F.col("top")) & ((F.col("n") >= 2) | (F.col("all") < 10_000)))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "code")))
-        .filter(F.col("rank") <= max_grams)
-        .select("lang", "code")
-    )
-    table = known.toArrow()  # at most max_grams rows a language
+    top = F.max("rate").over(Window.partitionBy("code"))
+    return rated.withColumn("top", top).filter(F.col("rate") >= least_rate * F.col("top")).select("lang", "code")
+
+
+def learn(labelled: DataFrame, rows_per_lang: int = 4000, least_rate: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
+    """Fit the filters on about rows_per_lang rows of each language; null languages and texts teach nothing.
+
+    The one rule for n-grams (`known_grams`) holds at every size, and the filters are as large as what it keeps: their
+    bound is the n-grams of rows_per_lang texts a language. The number of languages is taken to be small enough for the
+    driver, as each is a bit of every mask. Without a labelled row there are no filters, and every text is `und`.
+    """
+    counted, prior = gram_counts(labelled, rows_per_lang, id_col, text_col, lang_col)
+    if counted is None:
+        return Filters({}, {})
+    table = known_grams(counted, least_rate).toArrow()  # bounded by the sample
     langs, codes = np.array(table["lang"].to_pylist(), object), table["code"].to_numpy().view(np.uint64)
     return Filters({lang: codes[langs == lang] for lang in prior}, prior)
 
 
 def identify(docs: DataFrame, model: Filters, text_col: str = "text") -> DataFrame:
-    """Add lang_pred, score and coverage to every row, from its whole text alone.
+    """Add lang_pred, score and coverage to every row, from its whole text alone; columns of these names are replaced.
 
     Null texts and texts without a letter are `und` with score 0; a text with letters but without any known n-gram gets
-    the language met most often in training, with score 0. An empty table gives no rows; repeated rows agree.
+    the language met most often in training, with score 0; of languages with equal counts the first by name is taken. An
+    empty table gives no rows; repeated rows agree. Texts are taken about a megabyte at a time, longer ones by themselves.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # size bound: 16 * max_grams slots a mask word
-    names = docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 16 slots an n-gram of the sample
+    rows = without(docs, "lang_pred", "score", "coverage")
+    names = rows.columns
     at = names.index(text_col)
 
     def run(batches):
         own = shared.value
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            found = [own.predict(texts[a:b]) for a, b in blocks(texts)]
-            cols = [[x for f in found for x in f[i]] for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], names=[*names, "lang_pred", "score", "coverage"])
+        for batch in (part for b in batches for part in slices(b, at)):
+            lang, score, coverage = own.predict(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(coverage, pa.float64())], names=[*names, "lang_pred", "score", "coverage"])
 
-    return docs.mapInArrow(run, widened(docs.schema, lang_pred="string", score="double", coverage="double"))
+    return rows.mapInArrow(run, widened(rows.schema, lang_pred="string", score="double", coverage="double"))
 
 
 def held_out(id_col: str = "doc_id"):
