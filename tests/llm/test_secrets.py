@@ -28,6 +28,67 @@ def test_planted(spark):
     assert {i: n for i, n in got.items() if n} == want
 
 
+def test_documents_that_taught_nothing(spark):
+    """On the documents that neither the generator made nor the sample holds, all planted secrets are found and nothing else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    forest = secrets.fit_corpus(docs)
+    out = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+    planted = F.regexp_count("text", F.lit(r'(?i)token = "[0-9a-f]{40}"')).cast("long")
+    got = secrets.scan(out, forest).select(F.size("secrets").cast("long").alias("found"), planted.alias("planted"), "n_candidates").agg(
+        F.sum("found").alias("found"), F.sum("planted").alias("planted"), F.sum(F.least("found", "planted")).alias("hit"), F.sum("n_candidates").alias("n")).first()
+    print("held-out documents:", got)
+    assert got.planted > 20 and got.n > got.planted
+    assert got.hit >= 0.99 * got.planted and got.found <= 1.02 * got.planted
+
+
+def brute_spans(text):
+    """Candidates by plain scanning: runs of credential characters, announced values in quotes, and what tells itself."""
+    run, out = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", set()
+    at = 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in run:
+            end += 1
+        if end - at >= 16:
+            pad = end
+            while pad < len(text) and text[pad] == "=" and pad - end < 2:
+                pad += 1
+            out.add((at, pad if pad == len(text) or text[pad] not in run else end))
+        at = max(end, at + 1)
+    return out
+
+
+def test_runs_against_a_plain_scan(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    met = 0
+    for r in rows:
+        want = brute_spans(r.text or "")
+        got = set(secrets.spans(r.text or ""))
+        assert want <= got
+        announced = any(w in (r.text or "").lower() for w in secrets.SECRET_WORDS)
+        assert announced or got == want
+        met += len(want)
+    assert met > 10
+
+
+def test_long_texts_ties_and_clashing_names(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    text = "lorem ipsum " * 200_000 + f'token = "{key}"' + " dolor" * 1000
+    forest = secrets.fit(secrets.sample_findings())
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").selectExpr("*", "'x' as secrets", "1 as N_Candidates")
+    got = secrets.scan(df, forest)
+    assert got.columns == ["doc_id", "text", "n_candidates", "secrets"]
+    (a,), (b,) = (r.secrets for r in got.select("secrets").collect())
+    assert a == b and text[a.start : a.end] == key
+    assert secrets.scan(df, forest, threshold=a.score).filter("size(secrets) = 1").count() == 2
+    assert secrets.scan(df, forest, threshold=a.score + 1e-9).filter("size(secrets) = 0").count() == 2
+
+
+def test_lexicon():
+    words = secrets.Lexicon(frozenset(("static", "assets", "page")))
+    assert words.coverage("staticpage") == 1.0 and words.coverage("xxpagexx") == 0.5 and secrets.Lexicon(frozenset()).coverage("abc") == 0.0
+
+
 def test_redact(spark, odd, none):
     key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     text = f'é🙂 token = "{key}" und password = "{key}" end'

@@ -78,7 +78,8 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of candidate secrets, and those that the forest keeps."""
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), secrets.fit(secrets.sample_findings()))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit_corpus(docs))
     return found.select(
         "doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"),
         F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["start"], s["end"], s["kind"])), " ").alias("spans"),

@@ -1,6 +1,9 @@
 """Secret scans: candidate tokens, and a random forest over their features that removes false positives.
 
-The forest is grown here, in numpy, from labelled findings (bounded), and ships to the executors as plain arrays.
+The forest is grown here, in numpy, from labelled findings (bounded), and ships to the executors as plain arrays. Reviewed
+findings may be given; where there are none, `fit_corpus` takes made-up findings of the known formats together with what
+a bounded sample of the documents holds: candidates that neither an announcing word nor a format gives away are labelled
+as harmless, and the sample's words are the dictionary that tokens are measured against.
 """
 
 from __future__ import annotations
@@ -9,11 +12,16 @@ import math
 import random
 import re
 import string
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .common import slices, without
 
 #: Runs that could be a credential: 16 or more of the usual alphabet, of any length and with or without digits.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_\-]))?")
@@ -31,26 +39,51 @@ FOLLOWING = re.compile(rf"(?ia){_WORD}\s++(?=([^\s\"'`:=]\S*+))")
 #: What ends a sentence or a bracket around a value without quotes, not the value.
 CLOSING = ".,;:!?)]}>\"'`"
 PLAIN_WORDS = ("sha", "md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "etag", "card", "phone", "isbn", "version", "build", "img", "src", "href", "http")
-DICTIONARY = ("the", "and", "ing", "tion", "ment", "able", "for", "with", "that", "this", "from", "have", "data", "file", "image", "page", "user", "test", "main", "index", "page", "name", "time", "http", "html", "version", "example", "config", "module", "build", "static", "assets", "content")
-FEATURES = ("length", "digits", "upper", "lower", "symbols", "transitions", "entropy", "hex", "dictionary", "vowels", "path", "dashes", "repeated", "secret_word", "plain_word", "assigned", "quoted", "telling")
+#: A dictionary for where no documents are at hand.
+DICTIONARY = ("the", "and", "ing", "tion", "ment", "able", "for", "with", "that", "this", "from", "have", "data", "file", "image", "user", "test", "main", "index", "page", "name", "time", "http", "html", "version", "example", "config", "module", "build", "static", "assets", "content")
+FEATURES = ("length", "digits", "upper", "lower", "symbols", "transitions", "entropy", "hex", "dictionary", "vowels", "slashes", "path", "dashes", "repeated", "secret_word", "plain_word", "assigned", "quoted", "telling")
 AROUND = 48
 
 
-def features(token: str, before: str, after: str) -> list[float]:
+@dataclass(frozen=True)
+class Lexicon:
+    """Words that harmless tokens are made of; the longest match is taken at every place."""
+
+    words: frozenset[str] = frozenset(DICTIONARY)
+
+    def coverage(self, low: str) -> float:
+        """The share of a lower-cased token that its words cover."""
+        longest, words, at, covered = self.longest, self.words, 0, 0
+        while at < len(low):
+            n = next((n for n in range(min(longest, len(low) - at), 2, -1) if low[at : at + n] in words), 0)
+            covered += n
+            at += n or 1
+        return covered / len(low)
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.words), default=0)
+
+
+PLAIN = Lexicon()
+
+
+def features(token: str, before: str, after: str, lexicon: Lexicon = PLAIN) -> list[float]:
     """Length, character classes and the rate of changes between them, entropy, dictionary coverage, path, neighbouring words."""
     n = len(token)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in token]
     low = token.lower()
     counts = {c: token.count(c) for c in set(token)}
-    covered = sum(len(w) for w in DICTIONARY if w in low)
     near = before.lower()
     tail = near.rstrip(" \"'`")
+    parts = [p for p in re.split(r"[/\\.]", low) if p]
+    wordy = sum(p.isalpha() and lexicon.coverage(p) > 0.5 for p in parts) / len(parts) if len(parts) > 1 else 0.0
     return [
         float(n), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("s") / n,
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
         -sum(k / n * math.log2(k / n) for k in counts.values()),
-        float(all(c in "0123456789abcdefABCDEF" for c in token)), min(1.0, covered / n), sum(c in "aeiou" for c in low) / n,
-        token.count("/") / n + float(before.endswith((".", "/", "\\", ":/")) or after[:1] in (".", "/")), token.count("-") / n,
+        float(all(c in "0123456789abcdefABCDEF" for c in token)), lexicon.coverage(low), sum(c in "aeiou" for c in low) / n,
+        token.count("/") / n, wordy + float(before.endswith((".", "/", "\\", ":/")) or after[:1] in (".", "/")), token.count("-") / n,
         max(counts.values()) / n, float(any(w in near for w in SECRET_WORDS)), float(any(w in near for w in PLAIN_WORDS)),
         float(tail.endswith(("=", ":"))), float(before[-1:] in "\"'`" and before[-1:] != ""),
         float(kind_of(token) in ("aws_key", "github_token")),
@@ -60,7 +93,8 @@ def features(token: str, before: str, after: str) -> list[float]:
 class Forest:
     """Binary classification trees on bootstrap samples, split by Gini on random features; predicts the mean leaf share."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 8, least: int = 3, seed: int = 5):
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 8, least: int = 3, seed: int = 5, lexicon: Lexicon = PLAIN):
+        self.lexicon = lexicon
         rng = np.random.default_rng(seed)
         self.trees = []
         for _ in range(trees):
@@ -173,10 +207,49 @@ def sample_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str,
     return out
 
 
-def fit(findings: list[tuple[str, str, str, bool]], max_findings: int = 5000, **grow) -> Forest:
+def fit(findings: list[tuple[str, str, str, bool]], max_findings: int = 10_000, lexicon: Lexicon = PLAIN, **grow) -> Forest:
     """Grow the forest from labelled findings, the first max_findings of them."""
     findings = findings[:max_findings]
-    return Forest(np.array([features(t, b, a) for t, b, a, _ in findings]), np.array([float(s) for *_, s in findings]), **grow)
+    return Forest(np.array([features(t, b, a, lexicon) for t, b, a, _ in findings]), np.array([float(s) for *_, s in findings]), lexicon=lexicon, **grow)
+
+
+def corpus_sample(docs: DataFrame, max_rows: int = 2000, max_findings: int = 2000, max_words: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, str, str, bool]], Lexicon]:
+    """Harmless findings and the words of about max_rows documents, picked by the hash of the id; held-out ones (crc32 mod 4 is 2) are never among them.
+
+    A finding is harmless here if no announcing word stands before it and no format gives it away. A word counts from
+    three sampled documents on. Both are a classifier's sample, bounded by the parameters whatever the table's size.
+    """
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).filter("i is not null and text is not null")
+    rows = rows.filter(F.crc32(F.col("i").cast("string").cast("binary")) % 4 != 2)
+    share = min(1.0, max_rows / max(1, rows.select("i").count()))
+    picked = rows.filter(F.pmod(F.xxhash64("i", F.lit("secrets")), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def run(batches):
+        for batch in (part for b in batches for part in slices(b, 1)):
+            out, counts = [], {}
+            for text in batch.column(1).to_pylist():
+                for start, end in spans(text):
+                    before = text[max(0, start - AROUND) : start]
+                    if not any(w in before.lower() for w in SECRET_WORDS) and kind_of(text[start:end]) not in ("aws_key", "github_token"):
+                        out.append((text[start:end], before, text[end : end + 8], 1))
+                for w in set(re.findall(r"[a-z]{3,}", text.lower())):
+                    counts[w] = counts.get(w, 0) + 1
+            out += [(w, None, None, n) for w, n in counts.items()]
+            cols = [*zip(*out, strict=True)] or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["token", "before", "after", "n"])
+
+    met = picked.mapInArrow(run, "token string, before string, after string, n long").groupBy("token", "before", "after").agg(F.sum("n").alias("n"))
+    met = met.withColumn("word", F.col("before").isNull())
+    kept = met.filter("not word").orderBy(F.xxhash64("token", "before", "after"), "token", "before", "after").limit(max_findings).unionByName(
+        met.filter("word and n >= 3").orderBy(F.col("n").desc(), "token").limit(max_words)
+    ).collect()  # at most max_findings + max_words rows
+    return [(r.token, r.before, r.after, False) for r in kept if not r.word], Lexicon(frozenset([*DICTIONARY, *(r.token for r in kept if r.word)]))
+
+
+def fit_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> Forest:
+    """The forest for a table without reviewed findings: made-up ones of the known formats, and the table's own harmless ones and words."""
+    harmless, lexicon = corpus_sample(docs, id_col=id_col, text_col=text_col, **bounds)
+    return fit(sample_findings() + harmless, lexicon=lexicon)
 
 
 def kind_of(token: str) -> str:
@@ -198,10 +271,10 @@ def spans(text: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def candidates(text: str):
+def candidates(text: str, lexicon: Lexicon = PLAIN):
     """(start, end, token, features) of every candidate, in characters of the whole text; candidates may overlap."""
     for start, end in spans(text):
-        yield start, end, text[start:end], features(text[start:end], text[max(0, start - AROUND) : start], text[end : end + 8])
+        yield start, end, text[start:end], features(text[start:end], text[max(0, start - AROUND) : start], text[end : end + 8], lexicon)
 
 
 def joined(kept: list[dict]) -> list[dict]:
@@ -225,32 +298,32 @@ def scan(docs: DataFrame, forest: Forest, text_col: str = "text", threshold: flo
     """Add n_candidates and secrets (start, end, kind, score of what the forest keeps, overlapping candidates as one) to every row.
 
     Positions count characters of the whole text. Null and empty texts have no candidates and an empty array; rows are
-    independent, so repeated rows agree.
+    independent, so repeated rows agree; an empty table gives no rows. A candidate at the threshold itself is kept.
+    Texts are taken about a megabyte at a time, longer ones by themselves. Columns of the added names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(forest)  # 40 small trees
-    names = docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(forest)  # 40 small trees and max_words words
+    rows = without(docs, "n_candidates", "secrets")
+    names = rows.columns
     at = names.index(text_col)
 
     def run(batches):
         own = shared.value
-        for batch in batches:
-            where, rows, kept = [], [], [[] for _ in range(batch.num_rows)]
+        for batch in (part for b in batches for part in slices(b, at)):
+            where, found, kept = [], [], [[] for _ in range(batch.num_rows)]
             counts = [0] * batch.num_rows
             for i, text in enumerate(batch.column(at).to_pylist()):
-                for start, end, token, x in candidates(text or ""):
+                for start, end, token, x in candidates(text or "", own.lexicon):
                     counts[i] += 1
                     where.append((i, start, end, token))
-                    rows.append(x)
-            if rows:
-                for (i, start, end, token), p in zip(where, own.predict(np.array(rows)).tolist(), strict=True):
+                    found.append(x)
+            if found:
+                for (i, start, end, token), p in zip(where, own.predict(np.array(found)).tolist(), strict=True):
                     if p >= threshold:
                         kept[i].append({"start": start, "end": end, "kind": kind_of(token), "score": p})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array([joined(k) for k in kept], ARROW_FINDINGS)], names=[*names, "n_candidates", "secrets"])
 
-    from pyspark.sql.types import StructType
-
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"n_candidates long, secrets {FINDINGS}").fields])
-    return docs.mapInArrow(run, schema)
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"n_candidates long, secrets {FINDINGS}").fields])
+    return rows.mapInArrow(run, schema)
 
 
 def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
