@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from websift.llm import media
 from websift.llm.queries import op8_media
@@ -63,3 +64,32 @@ def test_odd_rows(spark, odd, none):
     assert media.media_features(media.text_media(none)).count() == 0
     bad = media.media_features(spark.createDataFrame([(1, b"P5 nonsense"), (2, None)], "k int, media binary")).collect()
     assert bad[0].samples is None and bad[0].media_error and bad[1].media_error is None
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (3, 200), (500, 2), (100, 64)])
+def test_resize_to_more_and_fewer(shape):
+    p = np.random.default_rng(2).integers(0, 256, shape).astype(np.uint8)
+    for to in ((1, 1), (8, 9), (32, 32)):
+        assert np.allclose(media.area_resize(p, *to), brute_resize(p.astype(float), *to))
+
+
+def test_tiles_are_written_and_read_back(odd, none):
+    features = media.media_features(media.text_media(odd)).withColumn("file", F.lit("clash"))
+    want = {(r.doc_id, r.dhash, bytes(r.tile)) for r in features.collect()}
+    index = media.write_tiles(features)
+    got = set()
+    for r in index.collect():
+        with open(r.file.removeprefix("file://"), "rb") as f:
+            f.seek(r.offset)
+            raw = f.read(r.length)
+        assert np.load(io.BytesIO(raw)).shape == (32, 32)
+        got.add((r.doc_id, r.dhash, raw))
+    assert got == want and index.count() == odd.count()
+    assert media.write_tiles(media.media_features(media.text_media(none))).count() == 0
+
+
+def test_clashing_names(odd):
+    rows = media.text_media(odd).selectExpr("*", "'x' as tile", "1 as samples", "2 as Height", "3 as width", "4 as dhash", "5 as media_error")
+    got = media.media_features(rows)
+    assert got.columns == ["doc_id", "n_bytes", "media", "samples", "height", "width", "tile", "dhash", "media_error"]
+    assert got.filter("media_error is null and dhash is not null").count() == odd.count()

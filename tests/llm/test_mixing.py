@@ -78,3 +78,14 @@ def test_hot_source(spark):
     rows = [(i, "w " * (i % 50), "hot" if i % 3 else f"s{i % 7}") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     check(docs.collect(), mix_sources(docs, rows_per_shard=100).collect())
+    check(docs.collect(), mix_sources(docs, rows_per_shard=20, shards_per_range=8).collect())
+    by = {}
+    for r in mix_sources(docs, rows_per_shard=100, block=50).collect():
+        by.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert all(abs(t - n) <= 25 + 50 for t, n in by.values())
+
+
+def test_rows_without_an_id_are_spread(spark):
+    docs = spark.createDataFrame([(None, f"w{i} " * (i % 9), "s") for i in range(2000)], "doc_id long, text string, source string")
+    got = mix_sources(docs, rows_per_shard=10).collect()
+    assert len(got) == 2000 and sum(r.taken for r in got) == got[0].target == sum(i % 9 for i in range(2000))

@@ -1,3 +1,6 @@
+import hashlib
+import heapq
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -28,6 +31,27 @@ def test_documents(spark):
     assert max(sizes.values()) <= 1.1 * min(sizes.values())
 
 
+def test_against_a_plain_heap(spark):
+    """Every group goes where a heap over all groups puts it, sorted by size and then by key."""
+    rnd = random.Random(2)
+    texts = ["t%d " % i + "x" * int(rnd.paretovariate(1.1) * 20) for i in range(700)]
+    docs = spark.createDataFrame([(i, rnd.choice(texts)) for i in range(3000)], "doc_id long, text string")
+    rows = docs.collect()
+    size = Counter()
+    for r in rows:
+        size[r.text] += len(r.text.encode()) + 1
+    heap, want = [(0, s) for s in range(16)], {}
+    for text in sorted(size, key=lambda t: (-size[t], hashlib.md5(t.encode()).digest())):
+        load, shard = heapq.heappop(heap)
+        want[text] = shard
+        heapq.heappush(heap, (load + size[text], shard))
+    got = shard_documents(docs, 16)
+    assert {r.doc_id: r.shard for r in got.collect()} == {r.doc_id: want[r.text] for r in rows}
+    loads = check(rows, got.collect(), 16)
+    pooled = check(rows, shard_documents(docs, 16, units_per_shard=8, parcels=64).collect(), 16)
+    assert max(loads.values()) - min(loads.values()) <= max(size.values()) and sum(pooled.values()) == sum(loads.values())
+
+
 def test_hot_group(spark):
     docs = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"text {i}") for i in range(6000)], "doc_id long, text string")
     check(docs.collect(), shard_documents(docs, 4).collect(), 4)

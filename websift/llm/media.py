@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, widened
+from .common import as_bytes, fresh_path, materialize, slices, widened, without
 
 HASH_ROWS, HASH_COLS = 8, 9
 
@@ -87,23 +90,27 @@ def grey(pixels: np.ndarray) -> np.ndarray:
 
 
 def area_resize(pixels: np.ndarray, rows: int, cols: int) -> np.ndarray:
-    """Means over the exact (fractional) areas, from a summed-area table read at interpolated corners; 0 for an empty image."""
+    """Means over the exact (fractional) areas, from a summed-area table read at interpolated corners; 0 for an empty image.
+
+    The table is piecewise bilinear, so reads between its entries are exact. Only its rows at the corners are made, which
+    keeps memory at a few rows whatever the height.
+    """
     h, w = pixels.shape
     if not h or not w:
         return np.zeros((rows, cols))
-    table = np.zeros((h + 1, w + 1))
-    table[1:, 1:] = pixels
-    np.cumsum(table, 0, out=table)
-    # columns first at the corners only: the table is piecewise bilinear, so corner reads interpolate exactly
+
     def at(n, parts):
         x = np.arange(parts + 1) * (n / parts)
         low = np.minimum(x.astype(np.int64), n - 1)
         return low, x - low
 
     (r, fr), (c, fc) = at(h, rows), at(w, cols)
-    strips = table[r] + (table[r + 1] - table[r]) * fr[:, None]
-    strips = np.cumsum(strips, 1)
-    corners = strips[:, c] + (strips[:, c + 1] - strips[:, c]) * fc
+    starts = np.unique(r)  # the first is 0
+    sums = np.add.reduceat(pixels, starts, axis=0, dtype=np.float64)
+    above = np.concatenate([np.zeros((1, w)), np.cumsum(sums, 0)])[np.searchsorted(starts, r)]
+    strips = above + pixels[r] * fr[:, None]
+    table = np.concatenate([np.zeros((rows + 1, 1)), np.cumsum(strips, 1)], 1)
+    corners = table[:, c] + strips[:, c] * fc
     return np.diff(np.diff(corners, axis=0), axis=1) / ((h / rows) * (w / cols))
 
 
@@ -120,11 +127,15 @@ def npy(tile: np.ndarray) -> bytes:
 
 
 def store_payloads(rows: DataFrame, payload_col: str, width: int = 64) -> DataFrame:
-    """Replace a binary column whose lengths are multiples of `width` by media: the payload as the samples of a PGM."""
+    """Replace a binary column whose lengths are multiples of `width` by media: the payload as the samples of a PGM (null stays).
+
+    A column named media is replaced. Payloads are taken about a megabyte at a time, longer ones by themselves.
+    """
+    rows = rows if payload_col.lower() == "media" else without(rows, "media")
     at, names = rows.columns.index(payload_col), [c for c in rows.columns if c != payload_col]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, at)):
             media = [None if p is None else encode_pgm(np.frombuffer(p, np.uint8).reshape(-1, width)) for p in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(media, pa.binary())], names=[*names, "media"])
 
@@ -134,8 +145,11 @@ def store_payloads(rows: DataFrame, payload_col: str, width: int = 64) -> DataFr
 def media_features(rows: DataFrame, media_col: str = "media", tile: int = 32, keep_samples: bool = True) -> DataFrame:
     """Decode media and add samples (the decoded 8-bit samples, in order), height, width, tile (an NPY of tile x tile grey bytes) and dhash.
 
-    Null media give nulls; media that can't be decoded give nulls and the reason in media_error.
+    Null media give nulls; media that can't be decoded give nulls and the reason in media_error. Rows are independent,
+    so repeated ones agree; an empty table gives no rows. Columns of the added names are replaced. Media are taken about a
+    megabyte at a time, a larger one by itself.
     """
+    rows = without(rows, "samples", "height", "width", "tile", "dhash", "media_error")
     names = rows.columns
     at = names.index(media_col)
     fields = [("samples", pa.binary()), ("height", pa.int32()), ("width", pa.int32()), ("tile", pa.binary()), ("dhash", pa.string()), ("media_error", pa.string())]
@@ -152,8 +166,7 @@ def media_features(rows: DataFrame, media_col: str = "media", tile: int = 32, ke
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for part in slices(batch, at):
                 cols = list(zip(*map(one, part.column(at).to_pylist()), strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True))], names=[*names, *(n for n, _ in fields)])
 
@@ -161,10 +174,40 @@ def media_features(rows: DataFrame, media_col: str = "media", tile: int = 32, ke
     return rows.mapInArrow(run, schema)
 
 
+def write_tiles(rows: DataFrame, folder: str | None = None, id_col: str = "doc_id", tile_col: str = "tile", hash_col: str = "dhash") -> DataFrame:
+    """Write every row's tile to NPY archives, a file for each task, and return the index: id, hash, file, offset, length.
+
+    A tile is read back by `np.load` on its bytes of the file. The index is committed by Spark as a table and names the
+    file of the attempt that succeeded. Rows without a tile are left out; an empty table writes nothing.
+    """
+    folder = folder or fresh_path(rows.sparkSession, "tiles")
+    picked = rows.select(F.col(id_col).alias("id"), F.col(hash_col).alias("dhash"), F.col(tile_col).alias("tile")).filter("tile is not null")
+
+    def run(batches):
+        store, root = pafs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name, sink, at = f"part-{uuid.uuid4().hex}.npy", None, 0
+        for batch in batches:
+            sink = sink or store.open_output_stream(f"{root}/{name}", compression=None)
+            sizes = np.asarray(pc.binary_length(batch.column(2)), np.int64)
+            for tile in batch.column(2).to_pylist():
+                sink.write(tile)
+            offsets = at + np.cumsum(sizes) - sizes
+            at += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([name] * len(sizes)), pa.array(offsets), pa.array(sizes)], names=["id", "dhash", "file", "offset", "length"])
+        if sink:
+            sink.close()
+
+    kind = picked.schema["id"].dataType.simpleString()
+    index = materialize(picked.mapInArrow(run, f"id {kind}, dhash string, file string, offset long, length long"), "tile-index")
+    return index.select(F.col("id").alias(id_col), "dhash", F.concat(F.lit(f"{folder}/"), "file").alias("file"), "offset", "length")
+
+
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64) -> DataFrame:
     """Every whole text as a stored picture: id, n_bytes, media. Null is empty; zero bytes fill up to a positive multiple of `width`.
 
-    The media are written to the shared folder and read back; repeated rows, null ids and empty texts are rows like any other.
+    The media are written to the shared folder and read back; repeated rows, null ids and empty texts are rows like any
+    other, and an empty table gives no rows. Other columns are not read, whatever their names.
     """
     text = as_bytes(text_col)
     n = F.octet_length(text)

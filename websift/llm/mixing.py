@@ -2,7 +2,8 @@
 
 Sources' targets come from weighted shares of all words with a ceiling per source (water filling in closed form over
 the sorted ratios ceiling / weight). Sainte-Lague then turns targets into whole numbers of equal-token blocks: first
-blocks per source, then each source's blocks per shard. Within a shard the documents stand in a seeded order, their
+blocks per source, then each source's blocks per range of shards, then each range's blocks per shard, so that no task
+sees more of a hot source than a table of ranges or the shards of one range. Within a shard the documents stand in a seeded order, their
 words laid end to end and cut into blocks; the first blocks are taken, as many as the shard's quota, going round again
 when the quota is more than the shard holds.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, finished, materialize
 
 
 def sainte_lague(df: DataFrame, group: list[str], key: list[str], votes: str, seats: str, out: str) -> DataFrame:
@@ -63,14 +64,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceili
     ).select("key", "source", "source_size", "n_rows", "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3, seed: int = 7, rows_per_shard: int = 512, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling: int = 3, seed: int = 7, block: int = 1, rows_per_shard: int = 512, shards_per_range: int = 1024,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
     """How many words the mix takes of every document: id, source, size, source_size, target, taken.
 
     size is the number of words (null text: 0); taken is at most ceiling * size, repeats counted, and may end inside
-    one document of a shard. A source's taken words are its block quota, within half a block of its target. A block is
-    between 1 and 64 words, at least 4096 of them to a source on average, so that small inputs are mixed by the word.
-    A null source is a source; sources without words take none; equal rows are interchangeable; an empty table gives
-    no rows. The same rows and seed give the same mix, whatever their order and partitioning.
+    one document of a shard. A source's taken words are its quota of blocks of `block` words, within half a block of its
+    target; the work does not depend on the number of blocks. A null source is a source; sources without words take
+    none; equal rows are interchangeable; an empty table gives no rows. Other columns are not read, whatever their
+    names. The same rows and seed give the same mix, whatever their order and partitioning. Sources themselves, one row
+    each, are ranked in one task.
     """
     sized = materialize(
         docs.select(
@@ -78,31 +83,30 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling:
             F.col(source_col).alias("source"),
             F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("key"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("place"),
         ),
         "mix-sizes",
     )
     sizes = sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    one = Window.partitionBy(F.lit(0))
     targets = source_targets(sizes, weights, ceiling)
-    total, n = F.sum("source_size").over(one), F.count("*").over(one)
-    block = F.greatest(F.lit(1), F.least(F.lit(64), F.floor(total / (4096 * n)))).cast("long")
-    targets = targets.withColumn("block", block).withColumn("all_seats", F.round(total / F.col("block")).cast("long"))
-    sources = materialize(
-        sainte_lague(targets, [], ["key"], "target", "all_seats", "seats").withColumn("shards", F.ceil(F.col("n_rows") / rows_per_shard)).drop("source", "all_seats"),
-        "mix-sources",
-    )
-    order = F.xxhash64(F.lit(seed), "id")
-    rows = sized.join(sources, "key").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("shards")))
-    shards = rows.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"), F.first("block").alias("block"))
+    targets = targets.withColumn("all_seats", F.round(F.sum("source_size").over(Window.partitionBy(F.lit(0))) / block).cast("long"))
+    sources = sainte_lague(targets, [], ["key"], "target", "all_seats", "seats").drop("source", "all_seats")
+    sources = materialize(sources.withColumn("shards", F.ceil(F.col("n_rows") / rows_per_shard)), "mix-sources", sized)
+    rows = sized.join(sources, "key").withColumn("shard", F.pmod(F.xxhash64("place"), F.col("shards"))).withColumn("range", F.floor(F.col("shard") / shards_per_range))
+    shards = materialize(rows.groupBy("key", "range", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("all_seats")), "mix-shards", sized)
+    ranges = shards.groupBy("key", "range").agg(F.sum("words").cast("double").alias("votes"), F.first("all_seats").alias("all_seats"))
+    ranges = materialize(sainte_lague(ranges, ["key"], ["range"], "votes", "all_seats", "seats").select("key", "range", "seats"), "mix-ranges", shards)
+    voted = shards.drop("all_seats").join(ranges, ["key", "range"]).withColumn("votes", F.col("words").cast("double"))
     quotas = (
-        sainte_lague(shards.withColumn("words_d", F.col("words").cast("double")), ["key"], ["shard"], "words_d", "seats", "quota")
-        .withColumn("take", F.least(F.col("quota") * F.col("block"), F.lit(ceiling) * F.col("words")))
+        sainte_lague(voted, ["key", "range"], ["shard"], "votes", "seats", "quota")
+        .withColumn("take", F.least(F.col("quota") * block, F.lit(ceiling) * F.col("words")))
         .select("key", "shard", "words", "take")
     )
-    laid = Window.partitionBy("key", "shard").orderBy(order, "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    quotas = materialize(quotas, "mix-quotas", shards)
+    laid = Window.partitionBy("key", "shard").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rounds = F.when(F.col("words") > 0, F.floor(F.col("take") / F.col("words"))).otherwise(F.lit(0))
     rest = F.col("take") - F.col("rounds") * F.col("words") - F.coalesce(F.sum("size").over(laid), F.lit(0))
-    return (
+    taken = (
         rows.join(quotas, ["key", "shard"])
         .withColumn("rounds", rounds)
         .withColumn("rest", rest)
@@ -111,3 +115,4 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ceiling:
             (F.col("rounds") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest")))).cast("long").alias("taken"),
         )
     )
+    return finished(taken, "mix-taken", sized, sources, shards, ranges, quotas)
