@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from websift.llm.vectors import near_vectors
+from websift.llm.vectors import index_plan, near_vectors, same_cell
 
 
 
@@ -28,17 +28,49 @@ def brute(rows, least=0.9):
     return {i: (links[i], find(i)) for i, _ in rows}, pairs
 
 
-def test_recall(spark):
+def test_given_table(spark):
+    """No two of the given vectors reach 0.9: nothing links."""
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in table.select("vec_id", "embedding").collect()]
     want, pairs = brute(rows)
-    got = {r.vec_id: r for r in near_vectors(table).collect()}
-    assert len(got) == len(rows)
-    found = sum(r.n_links for r in got.values()) // 2
-    assert all(got[i].n_links <= n for i, (n, _) in want.items())
-    assert found >= 0.95 * pairs, (found, pairs)
-    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
-    print("links", found, "of", pairs)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(table).collect()}
+    assert got == want and pairs == 0
+
+
+@pytest.mark.parametrize("dim", [8, 64])
+@pytest.mark.parametrize("cosine,least_found", [(0.901, 0.95), (0.92, 0.96), (0.95, 0.99)])
+def test_recall(spark, dim, cosine, least_found):
+    """Pairs planted at a cosine, among as many strangers: found as often as calculated."""
+    rng = np.random.default_rng(dim)
+    n = 4000
+    a = rng.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((n, dim))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * b])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want, pairs = brute(rows)
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    found = sum(got.values()) // 2
+    assert pairs >= n and all(k <= want[i][0] for i, k in got.items())
+    print("dimension", dim, "cosine", cosine, "found", found, "of", pairs)
+    assert found >= least_found * pairs
+
+
+def test_plan_follows_the_number_of_vectors():
+    assert same_cell(1.0, 1.6) > 0.999 and abs(same_cell(0.9, 1.6) - 0.777) < 0.001
+    plans = [index_plan(n, 0.9, 0.968, 1.6) for n in (0, 1000, 50_000, 10**6, 10**9)]
+    assert plans[0] == plans[1] and all(x < y for x, y in zip(plans[1:], plans[2:], strict=False))
+    for (tables, width), n in zip(plans[2:], (50_000, 10**6, 10**9), strict=True):
+        assert n * same_cell(0.0, 1.6) ** width <= 32 and 1 - (1 - same_cell(0.9, 1.6) ** width) ** tables >= 0.968
+
+
+def test_repeated_ids(spark):
+    """Rows of one id are one vertex: their links add up, and they tie their components together."""
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.01]), (4, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 1.0])]
+    got = sorted((r.vec_id, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
 
 
 def test_chunks_count_alike(spark):

@@ -4,21 +4,38 @@ A table's key is a few Gaussian projections of the normalised vector, shifted an
 that share a key in any table are compared exactly. A pair is counted in the first table where its keys meet, so links
 are counted inside the buckets and no pair leaves them. Large buckets are cut into chunks and compared chunk by chunk,
 each pair of chunks in a task of its own; equal vectors are compared once, with their number as a weight.
+
+The more vectors there are, the more projections a key has, so that a bucket's number of strangers stays the same, and
+the more tables there are, so that a pair at the least cosine is found with the same probability.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, shuffle_partitions
+from .common import finished, materialize, shuffle_partitions
 from .components import connected_components
 
 SIGNED = "id long, weight long, vector binary, sig binary, keys array<long>"
 
 
+def same_cell(cosine: float, cell: float) -> float:
+    """The probability that one shifted Gaussian projection puts two unit vectors at this cosine into one cell (Datar et al., 2004)."""
+    r = cell / math.sqrt(max(1e-12, 2 - 2 * cosine))
+    return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def index_plan(n: int, least: float, recall: float, cell: float, strangers: int = 32) -> tuple[int, int]:
+    """Tables and projections a key: about `strangers` unrelated vectors of n share a key, and a pair at `least` is found with probability `recall`."""
+    width = max(8, math.ceil(math.log(max(1, n / strangers)) / -math.log(same_cell(0.0, cell))))
+    return math.ceil(math.log(1 - recall) / math.log(1 - same_cell(least, cell) ** width)), width
+
+
 def keys_of(x: np.ndarray, tables: int, width: int, cell: float, seed: int) -> np.ndarray:
     """(n, tables) 64-bit keys of the rows of x (normalised, double)."""
     rng = np.random.default_rng([seed, x.shape[1]])
@@ -81,13 +98,14 @@ def block_links(left, right, table: int, least: float):
     return counts_a, counts_b, edges
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 24, width: int = 8, cell: float = 1.6, chunk: int = 1024, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, recall: float = 0.968, cell: float = 1.6, chunk: int = 1024, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per input row: id, n_links, component_id, kept (whether it is its component's smallest id).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors of
     different lengths with each other; rows with a null id come back with a null component and no links. Rows that share
-    an id are one vertex: their links add up. All rows are indexed; at the default tables, width and cell a pair at
-    cosine 0.9 is found with probability 0.968, one at 0.95 with 0.999. Pairs below `least` never link.
+    an id are one vertex: their links add up. All rows are indexed; a pair at cosine `least` is found with probability
+    `recall`, one further above it with more, and pairs below `least` never link. An empty table gives no rows. Other
+    columns are not read, whatever their names.
     """
     spark = vectors.sparkSession
     stored = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"  # floats travel as they came
@@ -96,6 +114,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 24, width
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     rows = rows.withColumn("good", good & F.col("id").isNotNull())
     unique = materialize(rows.filter("good").groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "vector-unique")
+    tables, width = index_plan(unique.count(), least, recall, cell)
 
     def sign(batches):
         for batch in batches:
@@ -107,7 +126,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 24, width
                 v = np.stack([flat[ends[i] - dim : ends[i]] for i in at])
                 keys = keys_of(unit(v), tables, width, cell, seed)
                 raw = [r.tobytes() for r in v.astype(stored)]
-                sig = [r.tobytes() for r in (keys >> np.uint64(32)).astype("<u4")]
+                sig = [r.tobytes() for r in keys.astype("<u8")]
                 ids, weights = batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at))
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * tables), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([ids, weights, pa.array(raw, pa.binary()), pa.array(sig, pa.binary()), listed], names=["id", "weight", "vector", "sig", "keys"])
@@ -115,7 +134,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 24, width
     signed = materialize(unique.select("x", "id", "weight").mapInArrow(sign, SIGNED), "vector-signed")
     dealt = signed.select("id", F.posexplode("keys").alias("table", "key"))
     sizes = dealt.groupBy("table", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = materialize(sizes.select("table", "key", F.ceil(F.col("n") / chunk).alias("chunks")), "vector-buckets")
+    sizes = materialize(sizes.select("table", "key", F.ceil(F.col("n") / chunk).alias("chunks")), "vector-buckets", signed)
     mine = F.pmod(F.xxhash64("id"), F.col("chunks"))
     members = (
         dealt.join(sizes, ["table", "key"]).join(signed.select("id", "weight", "vector", "sig"), "id").withColumn("mine", mine)
@@ -126,7 +145,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 24, width
     def compare(batches):
         def side(part):
             x = np.stack([np.frombuffer(r[2], stored) for r in part]).astype(np.float64)
-            return np.array([r[0] for r in part]), np.array([r[1] for r in part]), unit(x), np.stack([np.frombuffer(r[3], "<u4") for r in part])
+            return np.array([r[0] for r in part]), np.array([r[1] for r in part]), unit(x), np.stack([np.frombuffer(r[3], "<u8") for r in part])
 
         def solve(head, parts):
             (table, _, c1, c2), first, second = head, parts[0], parts[1]
@@ -177,10 +196,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 24, width
     whole = materialize(
         unique.join(links, "id", "left").join(parts, "id", "left")
         .select("x", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("component")),
-        "vector-found",
+        "vector-found", unique,
     )
-    for used in (unique, signed, sizes, found):
-        drop_table(used)
     back = rows.withColumn("x", F.when(F.col("good"), x)).join(whole, "x", "left")
     component = F.when(F.col("good"), F.col("component")).otherwise(F.col("id"))
-    return back.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    result = back.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return finished(result, "vector-result", unique, signed, sizes, found, parts, whole)

@@ -18,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fresh_path, materialize
+from .common import as_bytes, fresh_path, materialize, slices
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, record_type string"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -71,16 +71,17 @@ def parse(raw: bytes) -> dict:
 def revisits(pages: DataFrame, least: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """id, url, payload, digest and refers_to (null for a response): of equal payloads of `least` bytes, all but the largest id revisit it.
 
-    Only digests that occur twice go into the join, as a written table, so that the planner knows their size and can
-    split a hot digest's side.
+    Payloads are equal where their digest, length and a second hash are, as SHA-1 alone can be made to collide. Only
+    those that occur twice go into the join, as a written table, so that the planner knows their size and can split a hot
+    payload's side.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), as_bytes(html_col).alias("payload")).withColumn("digest", F.sha1("payload"))
     large = F.length("payload") >= least
-    twice = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    twice = materialize(twice, "warc-digests")
-    key = F.when(large, F.col("digest"))
+    rows = rows.withColumn("key", F.when(large, F.concat_ws(":", "digest", F.length("payload"), F.xxhash64("payload"))))
+    twice = rows.filter("key is not null").groupBy("key").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    twice = materialize(twice, "warc-digests", pages)
     return (
-        rows.withColumn("key", key).join(twice.withColumnRenamed("digest", "key"), "key", "left")
+        rows.join(twice, "key", "left")
         .withColumn("refers_to", F.when(~F.coalesce(F.col("page_id") == F.col("response"), F.lit(False)), F.col("response")))
         .select("page_id", "url", "payload", "digest", "refers_to")
     )
@@ -91,7 +92,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
 
     Null payloads and urls are empty; rows with the same id are records of their own (of equal large payloads, every row
     with the largest id is a response); null ids revisit the largest id, and respond where all ids are null. An empty
-    table writes nothing.
+    table writes nothing. Other columns are not read, whatever their names. Very long payloads are records like any other.
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
 
@@ -100,7 +101,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
         store.create_dir(root, recursive=True)
         name = f"part-{uuid.uuid4().hex}.warc.gz"
         sink, at = None, 0
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 2)):
             out = []
             for r in batch.to_pylist():
                 data = gzip.compress(record(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"]), level, mtime=0)
