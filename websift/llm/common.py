@@ -52,7 +52,7 @@ def sized(df: DataFrame, *sources: DataFrame) -> DataFrame:
     tiny files. Larger tables keep their partitions.
     """
     least = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(least, -(-sum(map(plan_bytes, sources)) // FILE)))
+    return df.coalesce(min((1 << 31) - 1, max(least, -(-sum(map(plan_bytes, sources)) // FILE))))
 
 
 def materialize(df: DataFrame, name: str, *sources: DataFrame, codec: str = "zstd") -> DataFrame:
