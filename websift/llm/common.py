@@ -17,8 +17,8 @@ from pyspark.sql.types import StructType
 WORD = r"[^\x20\x09-\x0D]+"
 #: Workers turn about so many bytes of text into Python or numpy objects at a time (one row at least), whatever a batch holds.
 BLOCK = 1 << 20
-#: A written table's files hold about so many bytes where it is small.
-FILE = 8 << 20
+#: A written table's files hold about so many bytes: the smaller until every core has two files, the larger from there on.
+SMALL_FILE, FILE = 256 << 10, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,13 +46,14 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def sized(df: DataFrame, *sources: DataFrame) -> DataFrame:
-    """df in as many partitions as its sources' bytes ask for (two a core at least), where a shuffle has left it in more.
+    """df in as many partitions as its sources' bytes ask for, where a shuffle has left it in more.
 
     A shuffle's number of partitions is a setting and not a size; written as they are, small tables would become many
-    tiny files. Larger tables keep their partitions.
+    tiny files, each of which costs several calls of the file system. Larger tables keep their partitions.
     """
-    least = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(min((1 << 31) - 1, max(least, -(-sum(map(plan_bytes, sources)) // FILE))))
+    size = sum(map(plan_bytes, sources))
+    busy = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(min((1 << 31) - 1, max(1, -(-size // FILE), min(busy, -(-size // SMALL_FILE)))))
 
 
 def materialize(df: DataFrame, name: str, *sources: DataFrame, codec: str = "zstd") -> DataFrame:

@@ -48,10 +48,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooked = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")), "cc-hooked", edges)
+        before = upper = hooked
         for _ in range(2):
-            up = hooked.select(F.col("id").alias("component"), F.col("component").alias("upper"))
-            before, hooked = hooked, materialize(hooked.join(up, "component", "left").select("id", F.coalesce("upper", "component").alias("component")), "cc-hooked", hooked)
-            drop_table(before)
+            up = upper.select(F.col("id").alias("component"), F.col("component").alias("upper"))
+            upper = upper.join(up, "component", "left").select("id", F.coalesce("upper", "component").alias("component"))
+        hooked = materialize(upper, "cc-hooked", before)
+        drop_table(before)
         step = hooked.select(F.col("id").alias("component"), F.col("component").alias("upper"))
         if labels is None:
             labels = hooked

@@ -227,13 +227,12 @@ def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hot = spark.sparkContext.broadcast(common_shingles(rows.select("text"), k, common))  # at most `common` numbers
-    described = materialize(describe(rows, k, num, den, hot), "jaccard-described")
+    described = materialize(describe(rows, k, num, den, hot), "jaccard-described", rows)
     reps = described.filter("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n", "prefix")).alias("r"))
     reps = materialize(reps.select("digest", "r.*"), "jaccard-reps", described)
-    posted = materialize(postings(reps), "jaccard-postings")
+    posted = postings(reps)
     lists = posted.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
-    listed = materialize(posted.join(lists, "token"), "jaccard-listed", posted)
-    drop_table(posted)
+    listed = materialize(posted.join(lists, "token"), "jaccard-listed", reps)
     texts = materialize(rows.join(listed.select("id").distinct(), "id"), "jaccard-texts", rows)
 
     # 1. partition similar documents into groups, by their lists' leaders
@@ -248,19 +247,18 @@ def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100
 
     # 2. token-group matrix: shingles of one group only can open nothing
     labelled = listed.select("token", "id", "n").join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
-    labelled = materialize(labelled, "jaccard-labelled", listed)
-    matrix = materialize(group_matrix(labelled), "jaccard-matrix", labelled)
+    matrix = materialize(group_matrix(labelled), "jaccard-matrix", listed)
     several = matrix.groupBy("token").agg(F.min("group").alias("one"), F.max("group").alias("two")).filter("one <> two").select("token")
-    queries = materialize(labelled.join(several, "token"), "jaccard-queries", labelled)
-    drop_table(listed, labelled)
-    qualified = materialize(qualifying(queries, matrix, num, den), "jaccard-qualified", queries, matrix)
+    queries = materialize(labelled.join(several, "token"), "jaccard-queries", listed)
+    drop_table(listed)
+    qualified = qualifying(queries, matrix, num, den)
 
     # 3. open the groups that qualify
-    new = materialize(opened_pairs(queries, qualified, num, den).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs", queries, qualified)
+    new = materialize(opened_pairs(queries, qualified, num, den).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs", queries, matrix)
     if seen is not None:
         met = queries.alias("q").join(matrix.alias("m"), "token").filter("q.group > m.group").select("id", "m.group").distinct().count()
         seen.update(met=met, opened=qualified.count(), pairs=new.count(), tried=tried.count())
-    drop_table(matrix, queries, qualified, tried)
+    drop_table(matrix, queries, tried)
     more = materialize(verified(new, texts, k, num, den), "jaccard-links", new, texts)
     drop_table(texts, new)
     # rows that share an id tie their sets' representatives together
@@ -271,9 +269,9 @@ def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100
     parts = connected_components(links.union(more).union(tied))
 
     # representatives carry their component to all documents with the same set
-    found = materialize(reps.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("by_set")), "jaccard-found", reps)
+    found = reps.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("by_set"))
     ids = shared.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("by_id"))
     result = described.join(found, "digest", "left").join(ids, "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("by_id", "by_set", "id")).alias("component_id")
     )
-    return finished(result, "jaccard-result", described, reps, links, more, tied, groups, shared, parts, found)
+    return finished(result, "jaccard-result", described, reps, links, more, tied, groups, shared, parts)

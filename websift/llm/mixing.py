@@ -85,7 +85,7 @@ def mix_sources(
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("place"),
         ),
-        "mix-sizes",
+        "mix-sizes", docs,
     )
     sizes = sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     targets = source_targets(sizes, weights, ceiling)
@@ -95,7 +95,7 @@ def mix_sources(
     rows = sized.join(sources, "key").withColumn("shard", F.pmod(F.xxhash64("place"), F.col("shards"))).withColumn("range", F.floor(F.col("shard") / shards_per_range))
     shards = materialize(rows.groupBy("key", "range", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("all_seats")), "mix-shards", sized)
     ranges = shards.groupBy("key", "range").agg(F.sum("words").cast("double").alias("votes"), F.first("all_seats").alias("all_seats"))
-    ranges = materialize(sainte_lague(ranges, ["key"], ["range"], "votes", "all_seats", "seats").select("key", "range", "seats"), "mix-ranges", shards)
+    ranges = sainte_lague(ranges, ["key"], ["range"], "votes", "all_seats", "seats").select("key", "range", "seats")
     voted = shards.drop("all_seats").join(ranges, ["key", "range"]).withColumn("votes", F.col("words").cast("double"))
     quotas = (
         sainte_lague(voted, ["key", "range"], ["shard"], "votes", "seats", "quota")
@@ -115,4 +115,4 @@ def mix_sources(
             (F.col("rounds") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest")))).cast("long").alias("taken"),
         )
     )
-    return finished(taken, "mix-taken", sized, sources, shards, ranges, quotas)
+    return finished(taken, "mix-taken", sized, sources, shards, quotas)
