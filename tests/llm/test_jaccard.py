@@ -1,11 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from websift.llm.components import connected_components
-from websift.llm.jaccard import least_shared, shingle_sets, similar_documents
+from websift.llm.jaccard import least_shared, needed, opened_pairs, shingle_sets, similar_documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -120,6 +121,26 @@ def test_least_shared_in_prefixes(spark, num, den):
     assert df.filter(F.col("shared") == least_shared(F.col("x"), F.col("y"), num, den)).count() > 0
 
 
+def test_bounds_agree(spark):
+    df = spark.range(1, 300).selectExpr("id as x", "cast(id * 0.9 as long) + 1 as y").withColumn("least", least_shared(F.col("x"), F.col("y"), 85, 100))
+    assert all(r.least == needed(np.int64(r.x), np.int64(r.y), 85, 100) for r in df.collect())
+
+
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_opened_pairs(spark, chunk):
+    """Members that share enough of a query's shingles, whatever the chunks their group is cut into."""
+    rnd = random.Random(chunk)
+    held = {i: set(rnd.sample(range(40), 20)) for i in range(60)}
+    rows = [(t, i, 100, 0 if i < 50 else i) for i, s in held.items() for t in s]
+    labelled = spark.createDataFrame(rows, "token long, id long, n long, group long")
+    qualified = spark.createDataFrame([(i, 100, 0) for i in range(50, 60)], "id long, n long, group long")
+    groups = spark.createDataFrame([(i, 0) for i in range(50)], "id long, component long")
+    least = needed(np.int64(100), np.int64(100), 85, 100)
+    want = {(j, i) for i in range(50, 60) for j in range(50) if len(held[i] & held[j]) >= least}
+    got = opened_pairs(labelled, qualified, groups, 85, 100, chunk).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and 0 < len(want) < 500
+
+
 def test_groups_stay_closed(spark):
     """Two families of near copies that share a passage: their groups meet in the matrix, and the bound keeps them closed."""
     rnd = random.Random(9)

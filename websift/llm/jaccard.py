@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, drop_table, finished, materialize, slices
+from .common import BLOCK, drop_table, finished, materialize, shuffle_partitions, slices
 from .components import connected_components
 
 SPACE = np.zeros(256, bool)
@@ -130,19 +130,80 @@ def describe(docs: DataFrame, k: int, num: int, den: int, hot) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, digest binary, prefix binary")
 
 
-def postings(reps: DataFrame) -> DataFrame:
-    """(token, id, n) of every prefix shingle of (id, n, prefix) rows."""
+POSTING = "token long, id long, n long"
 
-    def run(batches):
+
+def shared_postings(reps: DataFrame, hot, buckets: int) -> DataFrame:
+    """(token, id, n) of the prefix shingles that two representatives or more hold; a token is a shingle's bucket and 32-bit tag.
+
+    Most shingles stand in one prefix only and need not travel: postings go to their bucket as about 6 bytes in packed
+    blocks, are counted there bucket by bucket, and only repeated ones come out as rows. The commonest shingles (`hot`)
+    are known to repeat and aren't counted, so that a bucket holds no long list; their blocks are dealt by chance.
+    Shingles that share a token cost a look and change nothing.
+    """
+
+    def block(bucket, who, ids, sizes, tokens, kind):
+        own, short = np.unique(who, return_inverse=True)
+        return bucket, ids[own].astype("<i8").tobytes(), sizes[own].astype("<i8").tobytes(), short.astype("<u4").tobytes(), tokens.astype(kind).tobytes()
+
+    def deal(batches):
+        last = hot.value
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, size=4 * BLOCK):
                 packed = part.column(2).to_pylist()
-                lens = np.array([len(p) // 8 for p in packed])
-                token = np.frombuffer(b"".join(packed), "<i8")
-                cols = [token, np.repeat(part.column(0).to_numpy(), lens), np.repeat(part.column(1).to_numpy(), lens)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "id", "n"])
-
-    return reps.select("id", "n", "prefix").mapInArrow(run, "token long, id long, n long")
+                token = np.frombuffer(b"".join(packed), "<u8")
+                if not len(token):
+                    continue
+                who = np.repeat(np.arange(len(packed)), [len(p) // 8 for p in packed])
+                ids, sizes = part.column(0).to_numpy(), part.column(1).to_numpy()
+                known = last[np.minimum(np.searchsorted(last, token), len(last) - 1)] == token if len(last) else np.zeros(len(token), bool)
+                m = mix(token)
+                bucket, tag = ((m & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64), (m >> np.uint64(32)).astype(np.int64)
+                out = []
+                if known.any():
+                    out.append(block(-1 - int(ids[0]) % buckets, who[known], ids, sizes, (bucket << 32 | tag)[known], "<i8"))
+                rare = np.flatnonzero(~known)
+                rare = rare[np.argsort(bucket[rare], kind="stable")]
+                cuts = np.flatnonzero(np.diff(bucket[rare], prepend=-1))
+                for x, y in zip(cuts, np.append(cuts[1:], len(rare)), strict=True):
+                    at = rare[x:y]
+                    out.append(block(int(bucket[at[0]]), who[at], ids, sizes, tag[at], "<u4"))
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "ids", "sizes", "docs", "tokens"])
+
+    def rows(token, ids, sizes):
+        for i in range(0, len(token), 100_000):
+            cols = (token[i : i + 100_000], ids[i : i + 100_000], sizes[i : i + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "id", "n"])
+
+    def counted(bucket, parts):
+        tag, ids, sizes = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(tag, kind="stable")
+        tag = tag[order]
+        same = np.zeros(len(tag) + 1, bool)
+        same[1:-1] = tag[1:] == tag[:-1]
+        kept = same[1:] | same[:-1]
+        yield from rows(np.int64(bucket) << 32 | tag[kept].astype(np.int64), ids[order[kept]], sizes[order[kept]])
+
+    def lists(batches):
+        now, parts = None, []
+        for batch in batches:
+            for bucket, ids, sizes, docs, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                docs = np.frombuffer(docs, "<u4")
+                ids, sizes = np.frombuffer(ids, "<i8")[docs], np.frombuffer(sizes, "<i8")[docs]
+                if bucket < 0:
+                    yield from rows(np.frombuffer(tokens, "<i8"), ids, sizes)
+                    continue
+                if bucket != now and parts:
+                    yield from counted(now, parts)
+                    parts = []
+                now = bucket
+                parts.append((np.frombuffer(tokens, "<u4"), ids, sizes))
+        if parts:
+            yield from counted(now, parts)
+
+    dealt = reps.select("id", "n", "prefix").mapInArrow(deal, "bucket long, ids binary, sizes binary, docs binary, tokens binary")
+    return dealt.repartition(shuffle_partitions(reps.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(lists, POSTING)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -204,14 +265,60 @@ def qualifying(labelled: DataFrame, matrix: DataFrame, num: int, den: int) -> Da
     return seen.filter(F.col("shared") >= needed).select("id", "n", "group")
 
 
-def opened_pairs(labelled: DataFrame, qualified: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of queries and members of their qualifying groups whose prefixes share as many shingles as their sizes ask for."""
-    q = labelled.select("token", "id", "n").join(qualified, ["id", "n"]).select("token", "group", F.col("id").alias("x"), F.col("n").alias("nx"))
-    m = labelled.select("token", "group", F.col("id").alias("y"), F.col("n").alias("ny"))
-    met = q.join(m, ["token", "group"]).filter(fits(F.col("nx"), F.col("ny"), num, den))
-    shared = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared"))
-    enough = shared.filter(F.col("shared") >= least_shared(F.col("nx"), F.col("ny"), num, den))
-    return enough.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
+def needed(x, y, num: int, den: int):
+    """`least_shared` on numbers."""
+    up = lambda a, b: -(-a // b)
+    return up((x + y) * num, num + den) - np.maximum(up(x * num, den), up(y * num, den)) + 1
+
+
+def opened_pairs(labelled: DataFrame, qualified: DataFrame, groups: DataFrame, num: int, den: int, chunk: int = 4096) -> DataFrame:
+    """(a, b) of queries and members of their qualifying groups whose prefixes share as many shingles as their sizes ask for.
+
+    Of the groups to open, every shingle's members are packed into a row for each `chunk` of the group, so that a query
+    meets as many rows as it has shingles there and not as many as they have members; a task adds up one query against
+    one chunk at a time.
+    """
+    chunks = groups.groupBy(F.col("component").alias("group")).agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    members = labelled.join(qualified.select("group").distinct(), "group").join(chunks, "group", "left")
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))))
+    packed = members.groupBy("token", "group", "chunk").agg(F.collect_list("id").alias("ids"), F.collect_list("n").alias("sizes"))  # about `chunk` members
+    q = labelled.select("token", "id", "n").join(qualified, ["id", "n"])
+    met = q.join(packed, ["token", "group"]).select("id", "n", "group", "chunk", "ids", "sizes")
+
+    def run(batches):
+        head, found, held = None, [], 0
+
+        def added():
+            """Members met so far, each once with its size and how often."""
+            rows, counts = np.concatenate([f[0] for f in found], 1), np.concatenate([f[1] for f in found])
+            (pair, at) = np.unique(rows, axis=1, return_inverse=True)
+            return pair, np.bincount(at.ravel(), counts).astype(np.int64)
+
+        def close():
+            (id_, n, _, _), ((ids, sizes), counts) = head, added()
+            ok = (np.minimum(n, sizes) * den >= np.maximum(n, sizes) * num) & (counts >= needed(n, sizes, num, den)) & (ids != id_)
+            ids = ids[ok]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, id_)), pa.array(np.maximum(ids, id_))], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)
+            for i, key in enumerate(keys):
+                if key != head:
+                    if head:
+                        yield close()
+                    head, found, held = key, [], 0
+                own = np.stack([batch.column(c)[i].values.to_numpy() for c in (4, 5)])
+                found.append((own, np.ones(own.shape[1], np.int64)))
+                held += own.shape[1]
+                if held > 1 << 20:
+                    found = [added()]
+                    held = 0
+        if head:
+            yield close()
+
+    key = ["id", "n", "group", "chunk"]
+    dealt = met.repartition(shuffle_partitions(labelled.sparkSession), *key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", leaders: int = 3, common: int = 1 << 18, seen: dict | None = None) -> DataFrame:
@@ -230,9 +337,10 @@ def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100
     described = materialize(describe(rows, k, num, den, hot), "jaccard-described", rows)
     reps = described.filter("n > 0 and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n", "prefix")).alias("r"))
     reps = materialize(reps.select("digest", "r.*"), "jaccard-reps", described)
-    posted = postings(reps)
+    posted = materialize(shared_postings(reps, hot, 4 * shuffle_partitions(spark)), "jaccard-postings", reps)
     lists = posted.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
-    listed = materialize(posted.join(lists, "token"), "jaccard-listed", reps)
+    listed = materialize(posted.join(lists, "token"), "jaccard-listed", posted)
+    drop_table(posted)
     texts = materialize(rows.join(listed.select("id").distinct(), "id"), "jaccard-texts", rows)
 
     # 1. partition similar documents into groups, by their lists' leaders
@@ -254,7 +362,7 @@ def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100
     qualified = qualifying(queries, matrix, num, den)
 
     # 3. open the groups that qualify
-    new = materialize(opened_pairs(queries, qualified, num, den).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs", queries, matrix)
+    new = materialize(opened_pairs(queries, qualified, groups, num, den).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs", queries, matrix)
     if seen is not None:
         met = queries.alias("q").join(matrix.alias("m"), "token").filter("q.group > m.group").select("id", "m.group").distinct().count()
         seen.update(met=met, opened=qualified.count(), pairs=new.count(), tried=tried.count())
