@@ -1,12 +1,11 @@
 import random
 import re
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from websift.llm.components import connected_components
-from websift.llm.jaccard import least_shared, needed, opened_pairs, shingle_sets, similar_documents
+from websift.llm.jaccard import group_matrix, least_shared, opened_pairs, qualifying, shingle_sets, similar_documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -123,7 +122,7 @@ def test_least_shared_in_prefixes(spark, num, den):
 
 def test_bounds_agree(spark):
     df = spark.range(1, 300).selectExpr("id as x", "cast(id * 0.9 as long) + 1 as y").withColumn("least", least_shared(F.col("x"), F.col("y"), 85, 100))
-    assert all(r.least == needed(np.int64(r.x), np.int64(r.y), 85, 100) for r in df.collect())
+    assert all(r.least == least_shared(r.x, r.y, 85, 100) for r in df.collect())
 
 
 @pytest.mark.parametrize("chunk", [4096, 7])
@@ -135,12 +134,31 @@ def test_opened_pairs(spark, chunk):
     labelled = spark.createDataFrame(rows, "token long, id long, n long, group long")
     qualified = spark.createDataFrame([(i, 100, 0) for i in range(50, 60)], "id long, n long, group long")
     groups = spark.createDataFrame([(i, 0) for i in range(50)], "id long, component long")
-    least = needed(np.int64(100), np.int64(100), 85, 100)
+    least = least_shared(100, 100, 85, 100)
     want = {(j, i) for i in range(50, 60) for j in range(50) if len(held[i] & held[j]) >= least}
     got = opened_pairs(labelled, qualified, groups, 85, 100, chunk).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and 0 < len(want) < 500
 
 
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_qualifying_groups(spark, chunk):
+    """Groups whose union holds enough of a query's shingles, against plain sets, whatever parts the lists are cut into."""
+    rnd = random.Random(chunk)
+    sizes = {i: rnd.randint(80, 130) for i in range(40)}
+    group = {i: i - i % 4 for i in sizes}
+    held = {i: set(rnd.sample(range(60), 18)) for i in sizes}
+    labelled = spark.createDataFrame([(t, i, sizes[i], group[i]) for i, s in held.items() for t in s], "token long, id long, n long, group long")
+    want = set()
+    for q in sizes:
+        for g in set(group.values()):
+            rows = [(t, sizes[m]) for m in sizes if group[m] == g for t in held[m] & held[q]]
+            low, high = max(min((n for _, n in rows), default=10**9), -(-sizes[q] * 85 // 100)), min(max((n for _, n in rows), default=0), sizes[q] * 100 // 85)
+            if g < group[q] and low <= high and len({t for t, _ in rows}) >= min(least_shared(sizes[q], low, 85, 100), least_shared(sizes[q], high, 85, 100)):
+                want.add((q, g))
+    got = qualifying(labelled, group_matrix(labelled), 85, 100, chunk).collect()
+    assert {(r.id, r.group) for r in got} == want and len(got) == len(want) and len(want) > 20
+
+
 def test_groups_stay_closed(spark):
     """Two families of near copies that share a passage: their groups meet in the matrix, and the bound keeps them closed."""
     rnd = random.Random(9)

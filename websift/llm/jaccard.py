@@ -229,15 +229,15 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return rows.mapInArrow(run, "a long, b long")
 
 
-def up(a: Column, b: int) -> Column:
-    """a / b rounded up; exact for numbers of shingles, far below 2 ** 53."""
-    return F.ceil(a / b)
+def up(a, b: int):
+    """a / b rounded up, of columns (exact for numbers of shingles, far below 2 ** 53) or of numbers."""
+    return F.ceil(a / b) if isinstance(a, Column) else -(-a // b)
 
 
-def least_shared(x: Column, y: Column, num: int, den: int) -> Column:
+def least_shared(x, y, num: int, den: int):
     """How many shingles the prefixes of sets of x and y shingles share at least, if the sets' similarity is num / den or more."""
-    whole = up((x + y) * num, num + den)
-    return whole - F.greatest(up(x * num, den), up(y * num, den)) + 1
+    greatest = F.greatest if isinstance(x, Column) else np.maximum
+    return up((x + y) * num, num + den) - greatest(up(x * num, den), up(y * num, den)) + 1
 
 
 def fits(x: Column, y: Column, num: int, den: int) -> Column:
@@ -250,75 +250,81 @@ def group_matrix(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
 
 
-def qualifying(labelled: DataFrame, matrix: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, n, group) of every group, of a smaller number than the query's own, whose union holds enough of the query's prefix.
+def reached(queries: DataFrame, unions: DataFrame, on: list[str], part: Column, num: int, den: int, below: bool) -> DataFrame:
+    """(id, n, target) of every query and target that share enough shingles.
 
-    The least that a member needs is smallest at an end of the fitting sizes: it grows with a member's size up to the
-    query's and falls beyond it.
-    """
-    q = labelled.select("token", "id", "n", F.col("group").alias("own"))
-    n, low, high = F.col("n"), F.col("low"), F.col("high")
-    met = q.join(matrix, "token").filter((F.col("own") > F.col("group")) & (high * den >= n * num) & (n * den >= low * num))
-    seen = met.groupBy("id", "n", "group").agg(F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
-    smallest, largest = F.greatest(low, up(n * num, den)), F.least(high, F.floor(n * den / num))
-    needed = F.least(least_shared(n, smallest, num, den), least_shared(n, largest, num, den))
-    return seen.filter(F.col("shared") >= needed).select("id", "n", "group")
-
-
-def needed(x, y, num: int, den: int):
-    """`least_shared` on numbers."""
-    up = lambda a, b: -(-a // b)
-    return up((x + y) * num, num + den) - np.maximum(up(x * num, den), up(y * num, den)) + 1
+    Queries are (on, id, n, own) rows, a row for each shingle, and unions (on, target, low, high) rows: the sizes of what
+    holds the shingle there. A target is reached if the query shares as many shingles with it as the least that any set
+    of a fitting size in its range would need; the least is smallest at an end of the fitting sizes, as it grows with a
+    set's size up to the query's and falls beyond it. With `below`, targets are smaller numbers than the query's own.
 
-
-def opened_pairs(labelled: DataFrame, qualified: DataFrame, groups: DataFrame, num: int, den: int, chunk: int = 4096) -> DataFrame:
-    """(a, b) of queries and members of their qualifying groups whose prefixes share as many shingles as their sizes ask for.
-
-    Of the groups to open, every shingle's members are packed into a row for each `chunk` of the group, so that a query
-    meets as many rows as it has shingles there and not as many as they have members; a task adds up one query against
-    one chunk at a time.
+    A shingle's targets travel packed, one row for each value of `part`, so that a query meets rows by its shingles and
+    not by their holders; a task adds up one query against one part at a time.
     """
-    chunks = groups.groupBy(F.col("component").alias("group")).agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    members = labelled.join(qualified.select("group").distinct(), "group").join(chunks, "group", "left")
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))))
-    packed = members.groupBy("token", "group", "chunk").agg(F.collect_list("id").alias("ids"), F.collect_list("n").alias("sizes"))  # about `chunk` members
-    q = labelled.select("token", "id", "n").join(qualified, ["id", "n"])
-    met = q.join(packed, ["token", "group"]).select("id", "n", "group", "chunk", "ids", "sizes")
+    packed = unions.withColumn("part", part).groupBy(*on, "part").agg(*(F.collect_list(c).alias(c) for c in ("target", "low", "high")))
+    met = queries.select(*on, "id", "n", "own").join(packed, on).select("id", "n", "own", "part", "target", "low", "high")
+
+    def added(found):
+        """What was met, each target once: how often, and its range of sizes."""
+        target, low, high, count = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(target, kind="stable")
+        target = target[order]
+        first = np.flatnonzero(np.diff(target, prepend=target[0] - 1))
+        return target[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.add.reduceat(count[order], first)
+
+    def enough(head, found):
+        id_, n, own, _ = head
+        target, low, high, count = added(found)
+        low, high = np.maximum(low, up(n * num, den)), np.minimum(high, n * den // num)
+        ok = (low <= high) & (count >= np.minimum(least_shared(n, low, num, den), least_shared(n, high, num, den)))
+        ok &= target < own if below else target != id_
+        return [np.full(int(ok.sum()), id_), np.full(int(ok.sum()), n), target[ok]]
 
     def run(batches):
-        head, found, held = None, [], 0
-
-        def added():
-            """Members met so far, each once with its size and how often."""
-            rows, counts = np.concatenate([f[0] for f in found], 1), np.concatenate([f[1] for f in found])
-            (pair, at) = np.unique(rows, axis=1, return_inverse=True)
-            return pair, np.bincount(at.ravel(), counts).astype(np.int64)
-
-        def close():
-            (id_, n, _, _), ((ids, sizes), counts) = head, added()
-            ok = (np.minimum(n, sizes) * den >= np.maximum(n, sizes) * num) & (counts >= needed(n, sizes, num, den)) & (ids != id_)
-            ids = ids[ok]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, id_)), pa.array(np.maximum(ids, id_))], names=["a", "b"])
-
+        head, found, held, out, size = None, [], 0, [], 0
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)
-            for i, key in enumerate(keys):
+            ends = [batch.column(c).offsets.to_numpy() for c in (4, 5, 6)]
+            values = [batch.column(c).values.to_numpy() for c in (4, 5, 6)]
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
                 if key != head:
                     if head:
-                        yield close()
+                        out.append(enough(head, found))
+                        size += len(out[-1][0])
                     head, found, held = key, [], 0
-                own = np.stack([batch.column(c)[i].values.to_numpy() for c in (4, 5)])
-                found.append((own, np.ones(own.shape[1], np.int64)))
-                held += own.shape[1]
+                own = [v[e[i] : e[i + 1]] for v, e in zip(values, ends, strict=True)]
+                found.append((*own, np.ones(len(own[0]), np.int64)))
+                held += len(own[0])
                 if held > 1 << 20:
-                    found = [added()]
-                    held = 0
+                    found, held = [added(found)], 0
+                if size > 50_000 or len(out) > 5_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "n", "target"])
+                    out, size = [], 0
         if head:
-            yield close()
+            out.append(enough(head, found))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "n", "target"])
+
+    key = ["id", "n", "own", "part"]
+    dealt = met.repartition(shuffle_partitions(queries.sparkSession), *key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, "id long, n long, target long")
+
+
+def qualifying(queries: DataFrame, matrix: DataFrame, num: int, den: int, chunk: int = 4096) -> DataFrame:
+    """(id, n, group) of every group, of a smaller number than the query's own, whose union holds enough of the query's prefix."""
+    longest = matrix.groupBy("token").count().agg(F.max("count")).first()[0] or 1
+    part = F.pmod(F.xxhash64("target"), F.lit(-(-longest // chunk)))
+    own = queries.withColumn("own", F.col("group"))
+    return reached(own, matrix.withColumnRenamed("group", "target"), ["token"], part, num, den, True).withColumnRenamed("target", "group")
+
 
-    key = ["id", "n", "group", "chunk"]
-    dealt = met.repartition(shuffle_partitions(labelled.sparkSession), *key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def opened_pairs(queries: DataFrame, qualified: DataFrame, groups: DataFrame, num: int, den: int, chunk: int = 4096) -> DataFrame:
+    """(a, b) of queries and members of their qualifying groups whose prefixes share as many shingles as their sizes ask for."""
+    parts = groups.groupBy(F.col("component").alias("group")).agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    members = queries.join(qualified.select("group").distinct(), "group").join(parts, "group", "left")
+    members = members.select("token", "group", F.col("id").alias("target"), F.col("n").alias("low"), F.col("n").alias("high"), F.coalesce("parts", F.lit(1)).alias("parts"))
+    asking = queries.select("token", "id", "n").join(qualified, ["id", "n"]).withColumn("own", F.col("group"))
+    found = reached(asking, members, ["token", "group"], F.pmod(F.xxhash64("target"), F.col("parts")), num, den, False)
+    return found.select(F.least("id", "target").alias("a"), F.greatest("id", "target").alias("b")).distinct()
 
 
 def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", leaders: int = 3, common: int = 1 << 18, seen: dict | None = None) -> DataFrame:
@@ -359,14 +365,14 @@ def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100
     several = matrix.groupBy("token").agg(F.min("group").alias("one"), F.max("group").alias("two")).filter("one <> two").select("token")
     queries = materialize(labelled.join(several, "token"), "jaccard-queries", listed)
     drop_table(listed)
-    qualified = qualifying(queries, matrix, num, den)
+    qualified = materialize(qualifying(queries, matrix.join(several, "token"), num, den), "jaccard-qualified", queries, matrix)
 
     # 3. open the groups that qualify
-    new = materialize(opened_pairs(queries, qualified, groups, num, den).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs", queries, matrix)
+    new = materialize(opened_pairs(queries, qualified, groups, num, den).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs", queries, qualified)
     if seen is not None:
         met = queries.alias("q").join(matrix.alias("m"), "token").filter("q.group > m.group").select("id", "m.group").distinct().count()
         seen.update(met=met, opened=qualified.count(), pairs=new.count(), tried=tried.count())
-    drop_table(matrix, queries, tried)
+    drop_table(matrix, queries, qualified, tried)
     more = materialize(verified(new, texts, k, num, den), "jaccard-links", new, texts)
     drop_table(texts, new)
     # rows that share an id tie their sets' representatives together
