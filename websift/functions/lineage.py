@@ -1,11 +1,26 @@
-"""Plans of loops, kept short."""
+"""Plans of loops and of tables that several branches read, kept short."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame computed once and without its history, in the checkpoint folder where one is set."""
-    durable = bool(df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None))
-    return df.checkpoint() if durable else df.localCheckpoint()
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """The frame written once and read back, without its history and with its real size.
+
+    The table goes to spark.checkpoint.dir, which driver and executors share; in local mode alone, a temporary folder
+    stands in where that is unset.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("websift.cut.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="websift-cut-")
+        spark.conf.set("websift.cut.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that a query is stripped of.
@@ -39,20 +39,43 @@ def is_stopword(token: Column) -> Column:
     return token.isin(*STOPWORDS)
 
 
-def stem(token) -> Column:
-    """Plural, then one ending, then a final e; words of up to three letters stay."""
-    t = _col(token)
-    chop = lambda c, n: F.substring(c, F.lit(1), F.length(c) - n)
-    single = (
-        F.when(t.endswith("sses"), chop(t, 2))
-        .when(t.endswith("ies"), F.concat(chop(t, 3), F.lit("y")))
-        .when(t.endswith("s") & ~t.endswith("ss") & ~t.endswith("us") & ~t.endswith("is"), chop(t, 1))
+def _chop(c: Column, n: int) -> Column:
+    return F.substring(c, F.lit(1), F.length(c) - n)
+
+
+def _single(t: Column) -> Column:
+    """A plural as its singular."""
+    return (
+        F.when(t.endswith("sses"), _chop(t, 2))
+        .when(t.endswith("ies"), F.concat(_chop(t, 3), F.lit("y")))
+        .when(t.endswith("s") & ~t.endswith("ss") & ~t.endswith("us") & ~t.endswith("is"), _chop(t, 1))
         .otherwise(t)
     )
-    ordered = single
+
+
+def _bare(t: Column) -> Column:
+    """Without its ending, if that leaves three letters."""
+    out = t
     for e in reversed(ENDINGS):
-        ordered = F.when(single.endswith(e) & (F.length(single) - len(e) >= 3), chop(single, len(e))).otherwise(ordered)
-    return F.when(F.length(t) <= 3, t).otherwise(F.regexp_replace(ordered, "^(.{3,})e$", "$1"))
+        out = F.when(t.endswith(e) & (F.length(t) - len(e) >= 3), _chop(t, len(e))).otherwise(out)
+    return out
+
+
+def _closed(t: Column) -> Column:
+    """Without a final e after three letters or more."""
+    return F.regexp_replace(t, "^(.{3,})e$", "$1")
+
+
+def stem(token) -> Column:
+    """Plural, then one ending, then a final e; words of up to three letters stay."""
+    t = _col(token)
+    return F.when(F.length(t) <= 3, t).otherwise(_closed(_bare(_single(t))))
+
+
+def with_stem(words: DataFrame, word: str, out: str = "stem") -> DataFrame:
+    """The same as a column of many words: step by step, as nested cases would be computed again in every branch."""
+    steps = words.withColumn(out, _single(F.col(word))).withColumn(out, _bare(F.col(out))).withColumn(out, _closed(F.col(out)))
+    return steps.withColumn(out, F.when(F.length(word) <= 3, F.col(word)).otherwise(F.col(out)))
 
 
 def query_tokens(text) -> Column:
@@ -60,6 +83,6 @@ def query_tokens(text) -> Column:
     return F.filter(words(text), lambda w: ~is_stopword(w) & (F.length(w) > 1))
 
 
-def passage_stems(text) -> Column:
-    """What a passage is indexed by: the stems of its words without stop words; single characters stay."""
-    return F.transform(F.filter(words(text), lambda w: ~is_stopword(w)), stem)
+def content_words(listed: Column) -> Column:
+    """What a passage is indexed by, before stemming: its words without stop words; single characters stay."""
+    return F.filter(listed, lambda w: ~is_stopword(w))

@@ -19,10 +19,12 @@ SUMMARY = f"health_score int, overview string, priority_actions array<{ACTION}>"
 CITATION = "struct<source:string,url:string,name:string,address:string,phone:string,match_status:string,discrepancy_details:string>"
 OFFSITE = f"citation_health_score int, summary string, citations array<{CITATION}>, recommendations array<string>"
 # What is said where a model, or its search, comes back with nothing.
-NO_MODEL = "Active LLM API key required in .env to perform autonomous web citation searches."
-NO_MODEL_ADVICE = "Add GROQ_API_KEY or GEMINI_API_KEY in .env to enable autonomous off-site web citation checking."
+NO_MODEL = "A language model with web search is required to look for citations of this business."
+NO_MODEL_ADVICE = "Configure a model to enable off-site citation checking."
 NO_RESULTS = "No external web citations or directory listings found."
 DEFAULT_ADVICE = ("Ensure external directory listings match in-site canonical address exactly.", "Verify phone numbers across local citation aggregators.")
+LISTED, LISTED_ADDRESS, LISTED_PHONE, UNKNOWN = "Identified external citations for ", ". Listed address: ", ", phone: ", "N/A"
+NOT_LISTED, CLAIM = "No high-confidence external business citations or directory listings were discovered on the public web for ", "Claim and verify a Google Business Profile listing for "
 FALLBACK_ADVICE = ("Register consistent business citations on major local directories (Bing Places, Apple Maps, Yelp).", "Ensure the Name, Address, and Phone on external listings match the website markup exactly.")
 
 
@@ -108,9 +110,9 @@ def offsite_report(canonical: DataFrame, url: str, replies: DataFrame | None = N
     told = F.from_json("j", "summary struct<address:string,phone:string>")["summary"]
     good = F.col("r.citations").isNotNull() | F.col("r.summary").isNotNull()
     citations = F.coalesce("r.citations", no_citations)
-    summary = F.when(told.isNotNull(), F.concat(F.lit("Identified external citations for "), known, F.lit(". Listed address: "), F.coalesce(told["address"], F.lit("N/A")), F.lit(", phone: "), F.coalesce(told["phone"], F.lit("N/A")), F.lit("."))).otherwise(F.col("r.summary"))
-    nothing = F.concat(F.lit("No high-confidence external business citations or directory listings were discovered on the public web for "), known, F.lit(" ("), host("_url"), F.lit(")."))
-    claim = F.concat(F.lit("Claim and verify a Google Business Profile listing for "), known, F.lit("."))
+    summary = F.when(told.isNotNull(), F.concat(F.lit(LISTED), known, F.lit(LISTED_ADDRESS), F.coalesce(told["address"], F.lit(UNKNOWN)), F.lit(LISTED_PHONE), F.coalesce(told["phone"], F.lit(UNKNOWN)), F.lit("."))).otherwise(F.col("r.summary"))
+    nothing = F.concat(F.lit(NOT_LISTED), known, F.lit(" ("), host("_url"), F.lit(")."))
+    claim = F.concat(F.lit(CLAIM), known, F.lit("."))
     return rows.select(
         F.when(good, "success").otherwise("no_citations_found").alias("status"),
         F.when(good, F.coalesce("r.citation_health_score", F.when(F.size(citations) > 0, 85).otherwise(50))).otherwise(55).alias("citation_health_score"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
+from ..functions.lineage import cut
 from ..sources import dom
 
 # BM25, bonus and malus, and what an answer must reach.
@@ -29,19 +30,34 @@ def passages(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def indexed(docs: DataFrame) -> DataFrame:
-    """Add stems and length; passages without a stem are no documents."""
-    return docs.withColumn("stems", tokens.passage_stems("text")).withColumn("length", F.size("stems")).filter("length > 0")
+    """Add spoken (all words, joined by spaces), content (words without stop words) and length; passages without content are no documents."""
+    read = docs.withColumn("_w", tokens.words("text"))
+    return read.withColumn("spoken", F.array_join("_w", " ")).withColumn("content", tokens.content_words(F.col("_w"))).drop("_w").withColumn("length", F.size("content")).filter("length > 0")
+
+
+def vocabulary_of(docs: DataFrame) -> DataFrame:
+    """(word, stem) of every content word: the vocabulary is stemmed once, not the text."""
+    return tokens.with_stem(docs.select(F.explode("content").alias("word")).distinct(), "word")
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", vocabulary: DataFrame | None = None) -> DataFrame:
     """(doc, stem, tf, length), of the vocabulary's stems alone if one is given: others go before anything is counted."""
-    rows = docs.select(F.col(id_col).alias("doc"), "length", F.explode("stems").alias("stem"))
-    rows = rows if vocabulary is None else rows.join(vocabulary, "stem", "left_semi")
+    words = vocabulary_of(docs)
+    words = words if vocabulary is None else words.join(vocabulary, "stem", "left_semi")
+    rows = docs.select(F.col(id_col).alias("doc"), "length", F.explode("content").alias("word")).join(words, "word")
     return rows.groupBy("doc", "stem").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(F.array_distinct("stems")).alias("stem")).groupBy("stem").agg(F.count("*").alias("df"))
+def stem_counts(docs: DataFrame) -> DataFrame:
+    """(stem, n): occurrences over all documents. Words are counted first and the vocabulary is stemmed, not the text."""
+    counted = docs.select(F.explode("content").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return tokens.with_stem(counted, "word").groupBy("stem").agg(F.sum("n").alias("n"))
+
+
+def document_frequencies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(stem, df): the documents of every stem."""
+    rows = docs.select(id_col, F.explode(F.array_distinct("content")).alias("word")).join(vocabulary_of(docs), "word")
+    return rows.select(id_col, "stem").distinct().groupBy("stem").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -66,25 +82,30 @@ def bm25(tf: Column, length: Column, df: Column, n_docs: Column, avg_length: Col
 def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", url_col: str | None = None, least: float = LEAST_SCORE) -> DataFrame:
     """(query_id, doc, score, coverage, matched) of every document above the least score, for a batch of queries.
 
-    Only the batch's own vocabulary is counted: other stems go in a semi join as soon as they are exploded, and term
-    counts are combined before they are shuffled; document frequencies come from the same counts. Queries are the small side of
-    all joins and are left to the planner, which sees their size.
+    The documents are indexed once, into a written table. Only the batch's own vocabulary is counted: other stems go in
+    a semi join as soon as they are exploded, and term counts are combined before they are shuffled; document frequencies
+    come from the same counts. Words are looked at again for the phrase bonus only, where it can be had: a phrase that
+    stands in a text has all its words there but the first and the last, which may be the end and the start of others.
+    Queries are the small side of all joins and are left to the planner, which sees their size.
     """
-    docs, prepared = indexed(docs), prepared_queries(queries)
+    named = [F.col(id_col).alias("doc"), *([F.col(url_col).alias("url")] if url_col else [])]
+    docs, prepared = cut(indexed(docs).select(*named, "spoken", "content", "length"), "index"), prepared_queries(queries)
     stats = corpus_stats(docs)
     terms = prepared.select("query_id", F.explode("stems").alias("stem"))
     vocabulary = terms.select("stem").distinct()
-    hits = postings(docs, id_col, vocabulary)
+    hits = postings(docs, "doc", vocabulary)
     frequency = hits.groupBy("stem").agg(F.count("*").alias("df"))
     # one row of corpus figures
     weighted = hits.join(frequency, "stem").crossJoin(F.broadcast(stats)).withColumn("part", bm25(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("avg_length")))
     summed = weighted.join(terms, "stem").groupBy("query_id", "doc").agg(F.sum("part").alias("base"), F.count("*").alias("matched"))
-    own = docs.select(F.col(id_col).alias("doc"), "text", *([F.col(url_col).alias("url")] if url_col else []))
     asked = prepared.select("query_id", "phrase", "legal", F.size("tokens").alias("n_tokens"), F.size("stems").alias("n_stems"))
-    rows = summed.join(own, "doc").join(asked, "query_id")
-    spoken = F.array_join(tokens.words("text"), " ").contains(F.col("phrase"))
-    score = F.col("base") + F.when((F.col("n_tokens") >= 2) & spoken, PHRASE_BONUS).otherwise(0.0)
+    rows = cut(summed.join(asked, "query_id"), "matches")
+    may = rows.filter((F.col("n_tokens") >= 2) & (F.col("matched") >= F.col("n_stems") - 2)).select("query_id", "doc", "phrase")
+    said = may.join(docs.select("doc", "spoken"), "doc").filter(F.col("spoken").contains(F.col("phrase"))).select("query_id", "doc", F.lit(PHRASE_BONUS).alias("bonus"))
+    rows = rows.join(said, ["query_id", "doc"], "left")
+    score = F.col("base") + F.coalesce("bonus", F.lit(0.0))
     if url_col:
+        rows = rows.join(docs.select("doc", "url"), "doc")
         score = F.when(F.lower("url").rlike("|".join(LEGAL_URL)) & ~F.col("legal"), score * LEGAL_FACTOR).otherwise(score)
     out = rows.select("query_id", "doc", score.alias("score"), (F.col("matched") / F.greatest(F.lit(1), F.col("n_stems"))).alias("coverage"), "matched")
     return out.filter(F.col("score") > least)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import textnorm, urls
+from ..functions.lineage import cut
 from ..operators import links, nap, onpage, search
 from ..sources import dom, sitefiles
 from ..sources.pages import as_pages, read_pages, responses
@@ -138,13 +139,12 @@ def crawl_depth(spark, sf_dir):
 
 def token_stems(spark, sf_dir):
     """Occurrences of every stem over all documents."""
-    docs = search.indexed(_documents(spark, sf_dir))
-    return docs.select(F.explode("stems").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    return search.stem_counts(search.indexed(_documents(spark, sf_dir)))
 
 
 def document_frequencies(spark, sf_dir):
     """Documents per stem."""
-    return search.document_frequencies(search.indexed(_documents(spark, sf_dir)))
+    return search.document_frequencies(cut(search.indexed(_documents(spark, sf_dir)).select("doc_id", "content"), "content"))
 
 
 def corpus_stats(spark, sf_dir):
