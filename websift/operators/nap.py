@@ -38,12 +38,16 @@ def text_phones(rows: DataFrame, text_col: str = "text", page_col: str = "page",
     return normalized(found.select(F.lit("phone").alias("field"), "value", "page", F.lit("text").alias("source"), "seq", "pos"), ascii_only=True)
 
 
-def groups(candidates: DataFrame) -> DataFrame:
-    """One row per field and normal form: occurrences, the first value, its place, the distinct pages and sources."""
+def groups(candidates: DataFrame, listed: bool = False) -> DataFrame:
+    """One row per field and normal form: occurrences, the first value, its place, the distinct sources; with `listed` the distinct pages.
+
+    The pages of a value are as many as a corpus has, so they are listed for reports on one site only.
+    """
     at = F.struct("seq", "pos")
+    lists = [F.array_sort(F.collect_set("page")).alias("pages")] if listed else []
     return candidates.groupBy("field", "normalized").agg(
-        F.count("*").alias("occurrences"), F.min_by("value", at).alias("value"), F.min(at).alias("first"),
-        F.array_sort(F.collect_set("page")).alias("pages"), F.array_sort(F.collect_set("source")).alias("sources"),
+        F.count("*").alias("occurrences"), F.min_by("value", at).alias("value"), F.min(at).alias("first"), *lists,
+        F.array_sort(F.collect_set("source")).alias("sources"),  # a handful of kinds
     )
 
 
@@ -58,17 +62,17 @@ def verdicts(candidates: DataFrame) -> DataFrame:
     Candidates are reduced to groups first, and fields only see groups, so a hot value is counted where it stands.
     """
     spark = candidates.sparkSession
-    by_value = ranked(groups(candidates))
-    top = lambda i, c: F.max(F.when(F.col("rank") == i, F.col(c)))
-    per_field = by_value.groupBy("field").agg(
-        F.count("*").alias("n_values"), F.sum("occurrences").alias("n_candidates"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("n_sources"),
-        top(1, "value").alias("value"), top(1, "normalized").alias("one"), top(2, "normalized").alias("two"), F.max_by("sources", -F.col("rank")).alias("own_sources"),
+    found = groups(candidates)
+    order = F.struct((-F.col("occurrences")).alias("less"), "first")
+    per_field = found.groupBy("field").agg(
+        F.count("*").alias("n_values"), F.sum("occurrences").alias("n_candidates"), F.min_by(F.struct("normalized", "value", "sources"), order).alias("top"),
         F.bool_or(F.arrays_overlap("sources", F.array(*map(F.lit, STRUCTURED)))).alias("structured"),
     )
-    n_pages = candidates.select("field", "page").distinct().groupBy("field").agg(F.count("*").alias("n_pages"))
+    per_field = per_field.select("field", "n_values", "n_candidates", "structured", F.col("top.normalized").alias("one"), F.col("top.value").alias("value"), F.col("top.sources").alias("own_sources"))
+    second = found.join(per_field.select("field", "one"), "field").filter("normalized <> one").groupBy("field").agg(F.min_by("normalized", order).alias("two"))
+    count = lambda c: candidates.select("field", c).distinct().groupBy("field").agg(F.count("*").alias(f"n_{c}s"))
     fields = spark.createDataFrame([(i, f) for i, f in enumerate(FIELDS)], "field_no int, field string")
-    rows = fields.join(per_field, "field", "left").join(n_pages, "field", "left")
+    rows = fields.join(per_field, "field", "left").join(second, "field", "left").join(count("page"), "field", "left").join(count("source"), "field", "left")
     one_value = F.lit(0.80) + F.when(F.col("n_pages") >= 2, 0.10).otherwise(0.0) + F.when(F.col("structured"), 0.06).otherwise(0.0) + F.when(F.col("n_sources") >= 2, 0.03).otherwise(0.0)
     several = F.lit(0.70) + F.lit(0.08) * F.least("n_pages", F.lit(3))
     none, consistent = F.col("n_values").isNull(), F.col("n_values") == 1
@@ -87,7 +91,7 @@ def verdicts(candidates: DataFrame) -> DataFrame:
 
 def report(candidates: DataFrame) -> DataFrame:
     """The three field reports, nested, in field order; a report is per site, so its lists stay what a site has."""
-    found = ranked(groups(candidates))
+    found = ranked(groups(candidates, listed=True))
     item = F.struct("rank", F.struct("value", "normalized", "pages", "occurrences", "sources").alias("v"))
     listed = found.groupBy("field").agg(F.array_sort(F.collect_list(item)).alias("items"))
     listed = listed.select("field", F.transform("items", lambda i: i["v"]).alias("values"))

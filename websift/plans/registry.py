@@ -12,7 +12,7 @@ from ..functions.lineage import cut
 from ..operators import links, nap, onpage, search
 from ..sources import dom, sitefiles
 from ..sources.pages import as_pages, read_pages, responses
-from . import sql
+from . import madeup, sql
 
 TOP = 5  # passages per question in the top-k report
 
@@ -277,8 +277,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in (*ALL, *madeup.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.oracle_sql()
+    return sql.oracle_sql() | madeup.oracle_sql()
