@@ -72,7 +72,7 @@ RULE_CASES: tuple[tuple[str, str, float, str, tuple[tuple[str, str, str], ...]],
     (_add('<a href="javascript:void(0)">x</a>'), "/p", 0.5, "", (("javascript_link", "low", "Found 1 navigation link(s) using 'javascript:' protocol: ['javascript:void(0)']."),)),
     (_add('<a href="#">x</a><a href="">y</a>' * 2), "/p", 0.5, "", (("empty_href_links", "low", 'Found 4 anchor elements with empty href or href="#".'),)),
     (_add('<a href="http://b.example.com/">x</a>'), "/p", 0.5, "", (("mixed_content_link", "low", "HTTPS page contains 1 insecure HTTP link(s): ['http://b.example.com/']."),)),
-    (_swap(WORDS, "few words"), "/p", 0.5, "", (("thin_content_signal", "low", "Page contains approximately 4 visible words, which may signal thin content to search engines."),)),
+    (_swap(WORDS, "few words"), "/p", 0.5, "", (("thin_content_signal", "low", "Page contains approximately 10 visible words, which may signal thin content to search engines."),)),
     (_swap('<meta property="og:title" content="t">', ""), "/p", 0.5, "", (("open_graph_title_missing", "low", 'No Open Graph <meta property="og:title"> found.'),)),
     (_swap('<meta property="og:image" content="i">', ""), "/p", 0.5, "", (("open_graph_image_missing", "low", 'No Open Graph <meta property="og:image"> found.'),)),
     (SOUND, "/", 0.5, "", (("structured_data_missing", "low", "Homepage lacks Schema.org structured data (neither JSON-LD nor Microdata detected)."),)),
