@@ -206,10 +206,15 @@ def shared_postings(reps: DataFrame, hot, buckets: int) -> DataFrame:
     return dealt.repartition(shuffle_partitions(reps.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(lists, POSTING)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The (a, b) pairs whose shingle sets reach the similarity, checked on the whole texts with hashes of another seed."""
+def verified(pairs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The (a, b) pairs whose shingle sets reach the similarity, as a written table; checked on the whole texts with hashes of another seed.
+
+    Of the (id, text) rows only those of a pair travel any further than the one join that picks them.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = materialize(rows.join(ids, "id"), "jaccard-texts", rows)
     side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    both_texts = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
         for batch in batches:
@@ -226,7 +231,9 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
                 at = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    links = materialize(both_texts.mapInArrow(run, "a long, b long"), "jaccard-links", pairs, texts)
+    drop_table(texts)
+    return links
 
 
 def up(a, b: int):
@@ -245,6 +252,19 @@ def fits(x: Column, y: Column, num: int, den: int) -> Column:
     return F.least(x, y) * den >= F.greatest(x, y) * num
 
 
+def leader_pairs(listed: DataFrame, reps: DataFrame, leaders: int, num: int, den: int) -> DataFrame:
+    """(a, b) of representatives and the leaders that they meet most often, as far as their prefixes share enough shingles."""
+    sizes = reps.select(F.col("id").alias("leader"), F.col("n").alias("leader_n"))
+    star = listed.select("id", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("leader")).filter("id <> leader")
+    star = star.groupBy("id", "n", "leader").agg(F.count("*").alias("c")).join(sizes, "leader").filter(fits(F.col("n"), F.col("leader_n"), num, den))
+    best = star.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "leader")), asc=False), 1, leaders).alias("best"))  # a document's own lists
+    met = listed.select("token", "id", "n").join(best.select("id", F.explode("best.leader").alias("leader")), "id")
+    held = listed.select("token", F.col("id").alias("leader"), F.col("n").alias("leader_n"))
+    shared = met.join(held, ["token", "leader"]).groupBy("id", "n", "leader", "leader_n").agg(F.count("*").alias("shared"))
+    enough = shared.filter(F.col("shared") >= least_shared(F.col("n"), F.col("leader_n"), num, den))
+    return enough.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+
+
 def group_matrix(labelled: DataFrame) -> DataFrame:
     """(token, group, low, high): every group's union of prefix shingles, with the sizes of its members that hold each."""
     return labelled.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -347,16 +367,10 @@ def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100
     lists = posted.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
     listed = materialize(posted.join(lists, "token"), "jaccard-listed", posted)
     drop_table(posted)
-    texts = materialize(rows.join(listed.select("id").distinct(), "id"), "jaccard-texts", rows)
 
     # 1. partition similar documents into groups, by their lists' leaders
-    sizes = reps.select(F.col("id").alias("leader"), F.col("n").alias("leader_n"))
-    star = listed.select("id", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("leader")).filter("id <> leader")
-    star = star.groupBy("id", "n", "leader").agg(F.count("*").alias("c")).join(sizes, "leader").filter(fits(F.col("n"), F.col("leader_n"), num, den))
-    best = star.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "leader")), asc=False), 1, leaders).alias("best"))  # a document's own lists
-    pairs = best.select("id", F.explode("best.leader").alias("leader")).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    tried = materialize(pairs, "jaccard-pairs", listed)
-    links = materialize(verified(tried, texts, k, num, den), "jaccard-links", tried, texts)
+    tried = materialize(leader_pairs(listed, reps, leaders, num, den), "jaccard-pairs", listed)
+    links = verified(tried, rows, k, num, den)
     groups = connected_components(links)
 
     # 2. token-group matrix: shingles of one group only can open nothing
@@ -373,8 +387,8 @@ def similar_documents(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100
         met = queries.alias("q").join(matrix.alias("m"), "token").filter("q.group > m.group").select("id", "m.group").distinct().count()
         seen.update(met=met, opened=qualified.count(), pairs=new.count(), tried=tried.count())
     drop_table(matrix, queries, qualified, tried)
-    more = materialize(verified(new, texts, k, num, den), "jaccard-links", new, texts)
-    drop_table(texts, new)
+    more = verified(new, rows, k, num, den)
+    drop_table(new)
     # rows that share an id tie their sets' representatives together
     named = described.filter("id is not null").select("id", "digest", F.xxhash64("digest").alias("h"))
     shared = materialize(named.groupBy("id").agg(F.min("h").alias("one"), F.max("h").alias("two")).filter("one <> two").select("id"), "jaccard-shared-ids", described)
