@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, drop_table, finished, materialize, shuffle_partitions, slices
+from .common import BLOCK, drop_table, few, finished, materialize, shuffle_partitions, slices
 from .components import connected_components
 
 SPACE = np.zeros(256, bool)
@@ -211,8 +211,9 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> D
 
     Of the (id, text) rows only those of a pair travel any further than the one join that picks them.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(rows.join(ids, "id"), "jaccard-texts", rows)
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids", pairs)
+    texts = materialize(rows.join(few(ids), "id"), "jaccard-texts", rows)
+    drop_table(ids)
     side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
     both_texts = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
