@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 #: White space that separates words, in every word-based contract here: space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,7 +113,7 @@ def as_bytes(column) -> "F.Column":
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
 
 
-def widened(schema: StructType, **columns: str) -> StructType:
+def widened(schema: StructType, **columns: str | DataType) -> StructType:
     """A copy of a schema with columns added (StructType.add would change the frame's own)."""
     out = StructType(list(schema.fields))
     for name, kind in columns.items():

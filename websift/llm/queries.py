@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, media, mixing, secrets, sharding, suffixes, vectors, warc
+from . import alignment, bpe, codes, jaccard, langid, media, mixing, secrets, sharding, suffixes, topk, vectors, warc
 from .common import as_bytes, table
 
 #: The vocabulary that op2 and the pipeline encode with; a parameter of the operators.
 VOCABULARY = "word_bpe_49k.json"
+#: The two vocabularies that op12 aligns.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -93,10 +95,26 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.drop("lang"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "coverage")
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings by 8 codebooks of 16 entries, learned in 6 rounds, and their errors."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens that two vocabularies give every document."""
+    return alignment.align_documents(table(spark, sf_dir, "documents"), *map(vocabulary_path, ALIGNED))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 other embeddings of the highest inner product, for every id divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc, "op2_bpe": op2_bpe, "op3_suffixes": op3_suffixes, "op4_jaccard": op4_jaccard, "op5_vectors": op5_vectors, "op6_mixing": op6_mixing,
-        "op7_sharding": op7_sharding, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_langid": op10_langid,
+        "op7_sharding": op7_sharding, "op8_media": op8_media, "op9_secrets": op9_secrets, "op10_langid": op10_langid, "op11_codes": op11_codes, "op12_alignment": op12_alignment,
+        "op13_topk": op13_topk,
     }
 
 
