@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -106,10 +107,18 @@ def tokenize(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text")
     return rows.mapInArrow(run, widened(rows.drop("_text").schema, **TOKENS))
 
 
+def _bound(value: str | Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that a lambda holds: a column's array is then fetched from the row once, not for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _places(ends: str, merged: str) -> Column:
     """1-based places in `ends` of the cuts, given the cuts merged into it: an end that stands twice is a cut, and each cut before it moved it by one."""
-    twice = F.filter(F.sequence(F.lit(1), F.size(merged) - 1), lambda k: F.col(merged)[k] == F.col(merged)[k - 1])
-    return F.when(F.size(ends) > 0, F.transform(twice, lambda k, rank: k - rank)).otherwise(F.array().cast("array<int>"))
+    def among(m: Column) -> Column:
+        twice = F.filter(F.sequence(F.lit(1), F.size(m) - 1), lambda k: F.get(m, k) == F.get(m, k - 1))
+        return F.transform(twice, lambda k, rank: k - rank)
+
+    return F.when(F.size(ends) > 0, _bound(merged, among)).otherwise(F.array().cast("array<int>"))
 
 
 def align(tokens: DataFrame) -> DataFrame:
@@ -121,21 +130,27 @@ def align(tokens: DataFrame) -> DataFrame:
     cut = tokens.withColumn("_cuts", F.array_intersect("a_ends", "b_ends"))
     merged = cut.withColumns({f"_{x}": F.sort_array(F.concat(f"{x}_ends", "_cuts")) for x in "ab"}).drop("_cuts")
     placed = merged.withColumns({f"{x}_cuts": _places(f"{x}_ends", f"_{x}") for x in "ab"}).drop("_a", "_b")
-    pair = F.zip_with("a_cuts", "b_cuts", lambda i, j: F.shiftleft(F.get("a_ids", i - 1).cast("long"), 32) + F.get("b_ids", j - 1))
-    return placed.withColumn("links", pair)
+
+    def linked(a: Column, b: Column) -> Column:
+        return F.zip_with("a_cuts", "b_cuts", lambda i, j: F.shiftleft(F.get(a, i - 1).cast("long"), 32) + F.get(b, j - 1))
+
+    return placed.withColumn("links", _bound("a_ids", lambda a: _bound("b_ids", lambda b: linked(a, b))))
 
 
 def groups_text(aligned: DataFrame, name: str) -> DataFrame:
     """Add the groups of aligned rows as text under a name, `a1,a2|b1;a3|b2,b3`: ids of A and B in order; empty without tokens."""
     written = aligned.withColumns({f"_{x}": F.col(f"{x}_ids").cast("array<string>") for x in "ab"})
+    before = {f"_{x}_from": F.concat(F.array(F.lit(0)), F.slice(f"{x}_cuts", 1, F.greatest(F.size(f"{x}_cuts") - 1, F.lit(0)))) for x in "ab"}
+
+    def side(x: str) -> Column:
+        """A string for each group; a row without tokens gets one null, which array_join leaves out."""
+        def group(ids: Column, start: Column, stop: Column) -> Column:
+            return F.when(stop - start == 1, F.get(ids, start)).otherwise(F.array_join(F.slice(ids, start + 1, stop - start), ","))
 
-    def side(x: str, rank: Column) -> Column:
-        end = F.get(f"{x}_cuts", rank)
-        start = F.coalesce(F.get(f"{x}_cuts", rank - 1), F.lit(0))
-        return F.when(end - start == 1, F.get(f"_{x}", start)).otherwise(F.array_join(F.slice(f"_{x}", start + 1, end - start), ","))
+        return _bound(f"_{x}", lambda ids: F.zip_with(f"_{x}_from", f"{x}_cuts", lambda start, stop: group(ids, start, stop)))
 
-    groups = F.transform("a_cuts", lambda _, rank: F.concat(side("a", rank), F.lit("|"), side("b", rank)))
-    return written.withColumn(name, F.array_join(groups, ";")).drop("_a", "_b")
+    groups = F.zip_with(side("a"), side("b"), lambda a, b: F.concat(a, F.lit("|"), b))
+    return written.withColumns(before).withColumn(name, F.array_join(groups, ";")).drop("_a", "_b", *before)
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
