@@ -123,3 +123,33 @@ def test_odd_rows(odd, none):
     assert by[4].n_bytes == 120_000 and by[4].n_removed == 119_999 and by[4].n_spans == 1 and bytes(by[4].kept) == b"x"
     assert by[3].n_bytes == by[2].n_bytes == 0 and by[None].n_removed == 0
     assert suffixes.remove_repeats(none).count() == 0
+
+
+def brute_by_id(rows, length):
+    """The same where rows may share an id: they are one document, whose windows at one start don't remove each other."""
+    first = {}
+    for i, text in rows:
+        data = text.encode()
+        for s in range(len(data) - length + 1):
+            w = data[s : s + length]
+            first[w] = min(first.get(w, (i, s)), (i, s))
+    gone = {}
+    for i, text in rows:
+        data = text.encode()
+        for s in range(len(data) - length + 1):
+            if first[data[s : s + length]] < (i, s):
+                gone.setdefault(i, set()).update(range(s, s + length))
+    return sorted((i, bytes(b for k, b in enumerate(text.encode()) if k not in gone.get(i, ()))) for i, text in rows)
+
+
+def test_ids_with_a_copy_and_another_text(spark):
+    rnd = random.Random(9)
+    made = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    t, p, b = made(400), made(180), made(600)
+    rows = [(1, t), (2, made(50) + p + made(40)), (5, t), (5, b), (9, b[:150] + made(200)), (11, t), (11, t), (12, b), (12, p + made(30))]
+    want = brute_by_id(rows, 100)
+    assert dict(want)[9] != rows[4][1].encode()
+    for crowd in (1000, 2):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = sorted((r.doc_id, bytes(r.kept)) for r in suffixes.remove_repeats(df, 100, crowd=crowd).collect())
+        assert got == want

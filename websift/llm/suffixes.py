@@ -519,26 +519,29 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     all are judged on the input. Null texts are empty. Rows with the same id count as one document: what starts at
     the same place in both doesn't remove itself, and what goes from one goes from the other. Rows with a null id are
     left as they are and remove nothing. An empty table gives no rows. Very long texts are cut into overlapping
-    stretches of a megabyte that hold all their windows. Later copies of a whole text go at once, without being cut into
-    pieces. `docs` may hold further columns of any name; they are not read.
+    stretches of a megabyte that hold all their windows. Later copies of a whole text (equal in length and by two digests) go at
+    once, without being cut into pieces, where their id holds no other text. `docs` may hold further columns of any name; they are not read.
     """
     spark = docs.sparkSession
     k = max(1, length * 48 // 100)
     buckets = 8 * shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("data"))
     named = rows.filter("id is not null")
-    whole = materialize(named.filter(F.length("data") >= length).select("id", F.unhex(F.md5("data")).alias("key"), F.length("data").alias("size")), "suffix-keys")
-    first = materialize(whole.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "suffix-first", whole)
-    copies = materialize(whole.join(first, "key").filter("id > first").select("id", F.lit(0).cast("long").alias("start"), (F.col("size") - length + 1).cast("long").alias("n")), "suffix-copies", whole)
+    key = F.unhex(F.concat(F.md5("data"), F.sha1("data")))
+    whole = materialize(named.filter(F.length("data") >= length).select("id", key.alias("key"), F.length("data").alias("size")), "suffix-keys")
+    first = materialize(whole.groupBy("key", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "suffix-first", whole)
+    told = materialize(whole.join(first, ["key", "size"], "left").select("id", "size", F.coalesce(F.col("id") > F.col("first"), F.lit(False)).alias("copy")), "suffix-copies", whole)
+    copies = told.filter("copy").select("id", F.lit(0).cast("long").alias("start"), (F.col("size") - length + 1).cast("long").alias("n"))
+    only_copies = told.groupBy("id").agg(F.every("copy").alias("copy")).filter("copy").select("id")  # an id may hold a copy and another text
 
     tagged = repeated_tags(named, length, k, buckets, crowd).distinct()
     tagged = tagged.groupBy("id").agg(F.collect_list("tag").alias("tags"), F.array_compact(F.collect_list(F.when(F.col("crowded"), F.col("tag")))).alias("crowded"))  # a document's own runs
-    tagged = materialize(tagged.join(copies.select("id").distinct(), "id", "left_anti"), "suffix-tags", named)
+    tagged = materialize(tagged.join(only_copies, "id", "left_anti"), "suffix-tags", named)
     pieces = materialize(cut_pieces(named.join(tagged, "id").select("id", "data", "tags", "crowded"), length, k, buckets), "suffix-pieces", named)
     spans = pieces.filter("content is null").select("id", "start", "n").union(solve_shards(pieces.filter("content is not null"), length)).union(copies)
     spans = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans"))  # a document's own spans
     spans = materialize(spans, "suffix-spans", pieces)
-    drop_table(whole, first, copies, tagged, pieces)
+    drop_table(whole, first, told, tagged, pieces)
 
     def cut(batches):
         for batch in (part for b in batches for part in slices(b, 1)):
