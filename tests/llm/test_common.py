@@ -3,22 +3,6 @@ import pytest
 from websift.llm import common
 
 
-def test_few_ids_are_broadcast_and_many_are_not(spark, monkeypatch):
-    """Either way the same rows come out; only the plan differs."""
-    ids = common.materialize(spark.range(0, 1000, 7), "test-ids")
-    rows = spark.range(5000).withColumnRenamed("id", "n").selectExpr("n % 900 as id", "n")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        one = rows.join(common.few(ids), "id")
-        monkeypatch.setattr(common, "FEW_IDS", 10)
-        two = rows.join(common.few(ids), "id")
-        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in plan(one) and "BroadcastHashJoin" not in plan(two)
-        assert sorted(one.collect()) == sorted(two.collect())
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_slices_cover_every_row_once(spark):
     import pyarrow as pa
 

@@ -82,15 +82,6 @@ def finished(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
     return out
 
 
-#: A list of ids is broadcast up to so many rows (a few MB); a longer one is joined by a shuffle.
-FEW_IDS = 250_000
-
-
-def few(ids: DataFrame) -> DataFrame:
-    """A written table of ids, marked for broadcast where its counted rows are few; left to the planner beyond that."""
-    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-
-
 def slices(batch: pa.RecordBatch, *columns: int, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Stretches of a batch whose given text or binary columns hold about `size` bytes together, one row at least."""
     total = np.zeros(batch.num_rows, np.int64)
