@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from websift.functions import textnorm, tokens, urls
 from websift.operators import boundary, links, nap, onpage, reports, search
+from websift.plans import madeup
 from websift.sources import sitefiles
 from websift.sources.pages import PAGE, as_pages, request_bodies, responses
 from websift.streaming import ingest
@@ -220,6 +221,23 @@ def test_robots(spark):
     assert not ask("GPTBot/2")[f"{SITE}/x"] and ask("GPTBot/2")["https://open.example.com/x"]
 
 
+def test_robots_as_the_standard_library(spark):
+    """Drawn files of every kind of line; sites without a served or filled file allow everything."""
+    bodies = [madeup.robots_file(1000 + i) for i in range(1000)] + ["", " \n\t", "\x85\u2028", "User-agent: *\x0bDisallow: /"]
+    rows = [(f"https://s{i}.example.com", "/robots.txt", 200, b) for i, b in enumerate(bodies)] + [("https://gone.example.com", "/robots.txt", 404, "User-agent: *\nDisallow: /")]
+    files = spark.createDataFrame(rows, "site string, path string, status int, body string")
+    sites = [r[0] for r in rows] + ["https://none.example.com"]
+    asked = spark.createDataFrame([(s, s + p) for s in sites for p in madeup.ROBOTS_PATHS], "site string, url string")
+    rules = sitefiles.robots_rules(files)
+    want = {r[0]: r[3] for r in rows if r[2] == 200 and r[3].strip()}
+    for agent in ("GPTBot/1.0", "Mozilla/5.0 (compatible)", "SomeOtherBot"):
+        got = {r.url: r.allowed for r in sitefiles.allowed(asked, rules, agent).collect()}
+        assert len(got) == len(sites) * len(madeup.ROBOTS_PATHS) and len(set(got.values())) == 2
+        for s in sites:
+            answers = madeup.robots_verdicts(want[s], agent=agent) if s in want else [True] * len(madeup.ROBOTS_PATHS)
+            assert [got[s + p] for p in madeup.ROBOTS_PATHS] == answers, (agent, want.get(s))
+
+
 def test_site_rules(spark):
     rows = {(r.metric, r.page): r.evidence for r in onpage.site_findings(files(spark)).collect()}
     assert set(rows) == {("llms_txt_missing", f"{SITE}/llms.txt"), ("ai_crawler_blocked", f"{SITE}/robots.txt")}

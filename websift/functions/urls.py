@@ -156,3 +156,30 @@ def brand_hint(url) -> Column:
     """The host's first label, capitalized."""
     label = F.split(host(url), r"\.")[0]
     return F.concat(F.upper(F.substring(label, 1, 1)), F.lower(F.substring(label, 2, 1 << 30)))
+
+
+def unquote(text: str | Column) -> Column:
+    """Percent-escapes as the UTF-8 text that they stand for; what is no escape stays, and bytes that are no text are replaced."""
+    kept = F.regexp_replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
+    return F.try_url_decode(kept)
+
+
+def quote(text: str | Column) -> Column:
+    """Everything but letters, digits, `_.-~` and the slash percent-encoded."""
+    form = F.url_encode(text)
+    for plain, coded in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        form = F.replace(form, F.lit(plain), F.lit(coded))
+    return form
+
+
+def rejoined(text: Column) -> Column:
+    """A reference without the marks of empty parameters, an empty query and an empty fragment."""
+    for empty in (r"^([^?#]*/)?([^;/?#]*);(?=[?#]|$)", r"^([^?#]*)()\?(?=#|$)", r"^([^#]*)()#$"):
+        text = F.regexp_replace(text, empty, "$1$2")
+    return text
+
+
+def local_part(url: Column) -> Column:
+    """A URL from its path on; a path of two leading slashes is told from a host by two more."""
+    rest = rejoined(F.regexp_replace(url, "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?", ""))
+    return F.when(rest.startswith("//"), F.concat(F.lit("//"), rest)).otherwise(rest)

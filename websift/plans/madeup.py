@@ -6,10 +6,14 @@ side is the list of what the case's author expects, laid out by the same keys.
 
 from __future__ import annotations
 
+import random
+from urllib.robotparser import RobotFileParser
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import nap, onpage, search
+from ..sources import sitefiles
 from ..sources.pages import as_pages
 
 WORDS = " ".join(f"word{i}" for i in range(130))
@@ -23,6 +27,33 @@ SOUND = (
 )
 
 
+def robots_file(seed: int) -> str:
+    """A robots.txt of up to 14 lines drawn from everything that the format's readers tell apart."""
+    rnd = random.Random(seed)
+    agents = ("*", "GPTBot", "gptbot/2", "Other", "bot", "", "* ")
+    paths = ("/", "/private", "/open", "", "*", "/a%20b", "/a%2Fb", "/%7Eme", "/p?q=1", "/caf%C3%A9", "private", "/x;", "/+", "/%zz", "/open/")
+    lines = []
+    for _ in range(rnd.randint(1, 14)):
+        key = rnd.choice(("User-agent", "User-agent", "user-AGENT ", "Disallow", "Disallow", "Allow", "Crawl-delay", "Request-rate", "Sitemap", "Unknown", "empty", "empty", "spaces", "comment", "bare"))
+        value = {"user": rnd.choice(agents), "disa": rnd.choice(paths), "allo": rnd.choice(paths), "craw": rnd.choice(("10", "x")), "requ": rnd.choice(("1/5", "y")), "site": "https://r.example.com/map.xml"}.get(key[:4].lower(), "v")
+        lines.append({"empty": "", "spaces": "  \t", "comment": "# nothing", "bare": "Disallow"}.get(key) if key in ("empty", "spaces", "comment", "bare") else f"{rnd.choice(('', ' '))}{key}:{rnd.choice(('', ' '))}{value}{rnd.choice(('', '', ' ', ' # c'))}")
+    return rnd.choice(("\n", "\n", "\r\n", "\r")).join(lines) + rnd.choice(("", "\n"))
+
+
+ROBOTS_AGENT = "GPTBot/1.0 (+https://example.com)"
+ROBOTS_PATHS = ("/", "/private/x", "/open?q=1", "/a%20b", "/a/b", "/~me", "/caf\u00e9#top", "/p?q=1&r", "/x;y/+", "/%zz?#")
+#: Two groups of one agent; an empty line before the rules; a delay alone; a delay between two agents; then drawn ones.
+ROBOTS_FILES = (
+    "User-agent: GPTBot\nDisallow: /private\n\nUser-agent: GPTBot\nDisallow: /\n",
+    "User-agent: GPTBot\n\nDisallow: /\n",
+    "User-agent: GPTBot\nCrawl-delay: 5\n\nUser-agent: *\nDisallow: /\n",
+    "User-agent: GPTBot\nCrawl-delay: 5\nUser-agent: Other\nDisallow: /\n",
+    "User-agent: *\nDisallow: /private\nUser-agent: *\nDisallow: /\n",
+    "User-agent: *\nUser-agent: GPTBot\nDisallow: /open\n\nUser-agent: gpt\nAllow: /\n",
+    *map(robots_file, range(44)),
+)
+
+
 def _swap(old: str, new: str) -> str:
     assert old in SOUND
     return SOUND.replace(old, new)
@@ -185,10 +216,28 @@ def passage_cases(spark, sf_dir):
     return search.page_passages(as_pages(rows.withColumn("status", F.lit(200)))).select("seq", F.col("pos").cast("long").alias("pos"), "text")
 
 
-ALL = (rule_cases, sitemap_orphans, shared_descriptions, contact_cases, contact_verdicts, passage_cases)
+def robots_cases(spark, sf_dir):
+    """What a crawler may fetch of sites whose robots.txt uses every state of the format, delays, blank lines and escapes among them."""
+    k = F.col("s_suppkey")
+    site = F.concat(F.lit("https://r"), k.cast("string"), F.lit(".example.com"))
+    body = F.element_at(F.array(*map(F.lit, ROBOTS_FILES)), (k % len(ROBOTS_FILES) + 1).cast("int"))
+    files = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(site.alias("site"), F.lit("/robots.txt").alias("path"), F.lit(200).alias("status"), body.alias("body"))
+    asked = files.select("site", F.explode(F.array(*map(F.lit, ROBOTS_PATHS))).alias("path")).select("site", F.concat("site", "path").alias("url"))
+    return sitefiles.allowed(asked, sitefiles.robots_rules(files), ROBOTS_AGENT).select("url", "allowed")
+
+
+ALL = (rule_cases, sitemap_orphans, shared_descriptions, contact_cases, contact_verdicts, passage_cases, robots_cases)
+
+
+def robots_verdicts(body: str, paths: tuple[str, ...] = ROBOTS_PATHS, agent: str = ROBOTS_AGENT) -> list[bool]:
+    """The standard library's answer for each path of a site."""
+    parser = RobotFileParser()
+    parser.parse(body.splitlines())
+    return [parser.can_fetch(agent, "https://r.example.com" + p) for p in paths]
 
 
 def oracle_sql() -> dict[str, str]:
+    fetched = ", ".join(f"({i}, {_quote(p)}, {ok})" for i, body in enumerate(ROBOTS_FILES) for p, ok in zip(ROBOTS_PATHS, robots_verdicts(body), strict=True))
     fired = ", ".join(f"({i}, {_quote(c[1])}, {_quote(m)}, {_quote(s)}, {_quote(e)})" for i, c in enumerate(RULE_CASES) for m, s, e in c[4])
     stated = ", ".join(f"({i}, {_quote(f)}, {_quote(v)}, {_quote(s)})" for i, c in enumerate(CONTACT_CASES) for f, v, s in c[1])
     texts = ", ".join(f"({i}, {_quote(t)})" for i, t in enumerate(PASSAGES))
@@ -207,5 +256,6 @@ FROM customer JOIN (VALUES {stated}) AS r(n, field, value, source) ON c_custkey
 SELECT 'name' AS field, 'consistent' AS verdict, 0.99::DOUBLE AS confidence, 1::BIGINT AS n_values, n AS n_pages, 2::BIGINT AS n_sources, 2 * n AS n_candidates, 'One Firm, Inc.' AS value FROM n
 UNION ALL SELECT 'address', 'mismatch', 0.94, 2, n, 1, n, '8 Elm Street, Reno' FROM n
 UNION ALL SELECT 'phone', 'consistent', 0.99, 1, n, 2, 2 * n, '(555) 010-0009' FROM n""",
+        "robots_cases": f"""SELECT 'https://r' || s_suppkey || '.example.com' || path AS url, allowed FROM supplier JOIN (VALUES {fetched}) AS r(n, path, allowed) ON s_suppkey % {len(ROBOTS_FILES)} = n""",
         "passage_cases": f"SELECT c_custkey::BIGINT AS seq, pos::BIGINT AS pos, replace(text, '{{k}}', c_custkey::VARCHAR) AS text FROM customer, (VALUES {texts}) AS t(pos, text)",
     }

@@ -2,46 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.lineage import cut
 
 
+#: What ends a line, and white space around keys and values, as the standard library's parser sees them.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+RULE_KEYS = ("allow", "disallow", "crawl-delay", "request-rate")
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
+
+
 def robots_rules(site_files: DataFrame) -> DataFrame:
-    """(site, agent, rule_no, allow, path) of every robots.txt that was served and isn't blank.
+    """(site, entry, star, agents, rules) of every robots.txt that was served and isn't blank; rules are (no, allow, path) in order.
 
-    Agent lines in a row open a group, which the rules after them fill; a rule before any agent is dropped. An empty
-    Disallow allows everything.
+    A file is read as a machine of three states would: agent lines in a row name one entry; the first allow, disallow,
+    delay or rate line after them makes it count; an empty line ends it, and what follows binds nobody until the next
+    agent line. An agent line after a rule line opens the next entry. All of it follows from the nearest line before
+    that matters and from the places of the last agent and the last empty line, so windows over a site's lines do.
+    An entry without an allow or disallow line allows everything, and so does an empty path.
     """
-    served = site_files.filter((F.col("path") == "/robots.txt") & F.col("status").between(200, 399) & (F.trim("body") != ""))
-    line = F.trim(F.regexp_replace("raw", "#.*$", ""))
-    lines = served.select("site", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("no", "raw")).withColumn("line", line).filter(F.col("line").contains(":"))
-    lines = lines.select("site", "no", F.lower(F.trim(F.split("line", ":")[0])).alias("key"), F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value"))
-    lines = lines.filter(F.col("key").isin("user-agent", "allow", "disallow"))
-    by_line = Window.partitionBy("site").orderBy("no")
-    opens = (F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(by_line), F.lit("")) != "user-agent")
-    lines = lines.withColumn("group", F.sum(opens.cast("int")).over(by_line)).filter("group > 0")
-    agents = lines.filter("key = 'user-agent'").select("site", "group", F.lower("value").alias("agent"))
-    said = lines.filter("key <> 'user-agent'").select("site", "group", "no", ((F.col("key") == "allow") | (F.col("value") == "")).alias("allow"), F.when(F.col("value") == "", "/").otherwise(F.col("value")).alias("path"))
-    return agents.join(said, ["site", "group"]).select("site", "agent", F.col("no").alias("rule_no"), "allow", "path")
+    served = site_files.filter((F.col("path") == "/robots.txt") & F.col("status").between(200, 399) & (_stripped(F.col("body")) != ""))
+    lines = served.select("site", F.posexplode(F.split("body", LINE_END)).alias("no", "raw")).withColumn("line", _stripped(F.regexp_replace("raw", "#.*$", "")))
+    lines = lines.withColumn("key", F.when(F.col("line").contains(":"), F.lower(_stripped(F.substring_index("line", ":", 1)))))
+    lines = lines.withColumn("value", urls.unquote(_stripped(F.regexp_replace("line", "^[^:]*:", ""))))
+    kind = F.when(F.col("raw") == "", "empty").when(F.col("key") == "user-agent", "agent").when(F.col("key").isin(*RULE_KEYS), "rule")
+    lines = lines.select("site", "no", "key", "value", kind.alias("kind")).filter("kind is not null")
+    before = Window.partitionBy("site").orderBy("no")
+    opens = (F.col("kind") == "agent") & (F.coalesce(F.lag("kind").over(before), F.lit("empty")) != "agent")
+    last = {f"last_{k}": F.max(F.when(F.col("kind") == k, F.col("no"))).over(before) for k in ("agent", "empty")}
+    bound = lines.withColumns({"entry": F.sum(opens.cast("int")).over(before), **last}).filter("last_agent > coalesce(last_empty, -1)")
+    allow = (F.col("key") == "allow") | (F.col("value") == "")
+    rule = F.when(F.col("key").isin("allow", "disallow"), F.struct("no", allow.alias("allow"), urls.quote(urls.rejoined(F.col("value"))).alias("path")))
+    entries = bound.groupBy("site", "entry").agg(
+        F.count_if(F.col("kind") == "rule").alias("n"), F.collect_set(F.when(F.col("kind") == "agent", F.col("value"))).alias("agents"), F.array_sort(F.collect_list(rule)).alias("rules")
+    )
+    return entries.filter("n > 0").select("site", "entry", F.array_contains("agents", "*").alias("star"), "agents", "rules")
 
 
 def allowed(candidates: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """Add `allowed` to (url, site) rows: the first matching rule of the agent's own group, else of '*'; no rule allows.
+    """Add `allowed` to (url, site) rows: the first matching rule of the first entry that applies; no entry or rule allows.
 
-    A group is the agent's if its name occurs in the agent's (version cut off); a rule matches by path prefix.
+    An entry applies if one of its names occurs in the agent's (version cut off); the first entry for `*` applies to
+    everyone else, and other entries that name `*` to nobody. A rule matches by path prefix, both sides percent-encoded alike.
     """
-    name = agent.split("/")[0].lower()
-    own = rules.filter(F.lit(name).contains(F.col("agent")) & (F.col("agent") != "*")).withColumn("tier", F.lit(0))
-    star = rules.filter("agent = '*'").withColumn("tier", F.lit(1))
-    mine = own.select("site").distinct()
-    used = own.unionByName(star.join(mine, "site", "left_anti"))
-    per_site = used.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("rule_no", "allow", "path"))).alias("rules"))
-    target = F.concat(F.when(urls.path("url") == "", "/").otherwise(urls.path("url")), F.when(urls.part("url", 4) != "", F.concat(F.lit("?"), urls.part("url", 4))).otherwise(F.lit("")))
+    name = F.lit(agent.split("/")[0].lower())
+    mine = rules.filter(F.col("star") | F.exists("agents", lambda a: name.contains(F.lower(a))))
+    binding = mine.groupBy("site").agg(F.min(F.struct("star", "entry", "rules")).alias("first")).select("site", "first.rules")
+    target = urls.quote(urls.local_part(urls.unquote(F.col("url"))))
+    rows = candidates.join(binding, "site", "left").withColumn("_target", F.when(target == "", "/").otherwise(target))
     hit = F.get(F.filter("rules", lambda r: F.col("_target").startswith(r["path"])), F.lit(0))
-    return candidates.join(per_site, "site", "left").withColumn("_target", target).withColumn("allowed", F.coalesce(hit["allow"], F.lit(True))).drop("rules", "_target")
+    return rows.withColumn("allowed", F.coalesce(hit["allow"], F.lit(True))).drop("rules", "_target")
 
 
 def sitemap_locations(site_files: DataFrame) -> DataFrame:
