@@ -314,3 +314,50 @@ def test_streams(spark, tmp_path):
     assert sorted((r.outcome, r.n) for r in run(ingest.severity_windows(stream), "windows", "complete")) == [("empty", 1), ("served", 2)]
     got = {(r.page, r.metric) for r in run(ingest.findings_stream(ingest.first_captures(stream)), "found", "append")}
     assert (f"{SITE}/a", "viewport_missing") in got and (f"{SITE}/b", "http_error") in got
+
+
+def queue_of(starts, edges, budget, shut):
+    """One site's crawl by a plain queue: [(url, depth)] in the order fetched."""
+    score = {u: 60 if "contact" in u else 50 if u.endswith(".com/") else 10 for u in [s[0] for s in starts] + [e[2] for e in edges]}
+    waiting = sorted(((u, d) for u, d, _ in sorted(starts, key=lambda s: s[2])), key=lambda x: -score[x[0]])
+    queued, out = {u for u, _ in waiting}, []
+    while waiting and len(out) < budget:
+        url, depth = waiting.pop(0)
+        if any(url.endswith(s) for s in shut):
+            continue
+        out.append((url, depth))
+        new = []
+        for _, _, dst in sorted((e for e in edges if e[0] == url), key=lambda e: e[1]):
+            if dst not in queued:
+                queued.add(dst)
+                new.append((dst, depth + 1))
+        waiting += sorted(new, key=lambda x: -score[x[0]])
+    return out
+
+
+@pytest.mark.parametrize("budget", [None, 0, 1, 9, 40])
+def test_crawl_plan_is_the_queue(spark, budget):
+    """Drawn graphs of two sites; a seed that is queued before the root fixes a depth that isn't the shortest."""
+    import random
+
+    rnd, starts, edges, want = random.Random(3), [], [], []
+    for site, n in (("https://a.com", 60), ("https://b.com", 25)):
+        url = lambda i, site=site: f"{site}/" if i == 0 else f"{site}/contact/{i}" if i % 9 == 4 else f"{site}/p/{i}"
+        own_starts = [(url(0), 0, -1), (url(4), 1, 0), (url(7), 1, 1), (url(13), 1, 2)]
+        own_edges = [(url(rnd.randrange(n)), k, url(min(rnd.randrange(n), rnd.randrange(n)))) for k in range(3 * n)] + [(url(0), 900, url(5)), (url(4), 901, url(5))]
+        want += [(site, k + 1, u, d) for k, (u, d) in enumerate(queue_of(own_starts, own_edges, 10**9 if budget is None else budget, ("/p/3", "/p/15")))]
+        starts += [(site, *s) for s in own_starts]
+        edges += own_edges
+    body = "User-agent: any\n" + "".join(f"Allow: /p/{i}\n" for i in range(30, 40)) + "Disallow: /p/3\nDisallow: /p/15\n"
+    files = spark.createDataFrame([(s, "/robots.txt", 200, body) for s in ("https://a.com", "https://b.com")], "site string, path string, status int, body string")
+    graph = spark.createDataFrame(edges, "src_url string, pos long, dst_url string").repartition(3)
+    plan = links.crawl_plan(spark.createDataFrame(starts, "site string, url string, depth int, pos long"), graph, budget, sitefiles.robots_rules(files), "AnyBot/1.0")
+    assert sorted(tuple(r) for r in plan.collect()) == sorted(want)
+
+
+def test_seeds(spark):
+    roots = spark.createDataFrame([("s", "HTTPS://A.com"), ("t", "https://t.com/")], "site string, url string")
+    listed = spark.createDataFrame([("s", 2, "https://a.com/x"), ("s", 1, "https://www.a.com/y"), ("s", 3, "https://a.com/x"), ("s", 4, "https://other.com/z"), ("s", 5, "https://a.com/"), ("s", 6, "https://a.com/w")], "site string, pos long, url string")
+    assert sorted(tuple(r) for r in links.seeds(roots, listed, 2).collect()) == [("s", "https://a.com/", 0, -1), ("s", "https://a.com/x", 1, 2), ("s", "https://www.a.com/y", 1, 1), ("t", "https://t.com/", 0, -1)]
+    assert links.seeds(roots, listed).count() == 5
+    assert links.crawl_plan(links.seeds(roots, listed).limit(0), spark.createDataFrame([], "src_url string, pos long, dst_url string")).count() == 0

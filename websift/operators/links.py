@@ -1,13 +1,15 @@
-"""The link graph: extraction, referrers, breadth-first depth, priority order, budget and orphans."""
+"""The link graph: extraction, referrers, breadth-first depth, priority order, crawl plans and orphans."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.lineage import cut
-from ..sources import dom
+from ..sources import dom, sitefiles
 
 
 def anchors(pages: DataFrame) -> DataFrame:
@@ -42,38 +44,91 @@ def prioritized(candidates: DataFrame, batch: str = "batch", pos: str = "pos", u
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(batch).orderBy(F.col("score").desc(), pos)))
 
 
-def budget(candidates: DataFrame, max_pages: int, *order: str) -> DataFrame:
-    """The first max_pages candidates in an order: a top-k, never a full sort."""
-    return candidates.orderBy(*order).limit(max_pages)
+def seeds(roots: DataFrame, sitemap: DataFrame, max_urls: int | None = None) -> DataFrame:
+    """(site, url, depth, pos): each site's root (site, url) at depth 0, then its sitemap's URLs (site, pos, url) at depth 1, each once.
+
+    URLs of other sites are left out; max_urls, if given, bounds the listed ones of a site.
+    """
+    first = roots.select("site", urls.normalize_url("url").alias("url"), F.lit(0).alias("depth"), F.lit(-1).cast("bigint").alias("pos"))
+    root = first.select("site", F.col("url").alias("_root"))
+    listed = sitemap.join(root, "site").filter(urls.same_site("url", "_root") & (F.col("url") != F.col("_root"))).groupBy("site", "url").agg(F.min("pos").cast("bigint").alias("pos"))
+    if max_urls is not None:
+        listed = listed.withColumn("_n", F.row_number().over(Window.partitionBy("site").orderBy("pos"))).filter(F.col("_n") <= max_urls).drop("_n")
+    return first.unionByName(listed.withColumn("depth", F.lit(1)))
+
 
+def _queued(level: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A generation's URLs with their place in the site's queue, and each site's totals after it.
 
-def seeds(root: str, sitemap: DataFrame, max_urls: int) -> DataFrame:
-    """(url, depth, pos): the root at depth 0, then sitemap URLs (url, pos) at depth 1, each once, max_urls of the latter."""
-    spark = sitemap.sparkSession
-    first = spark.createDataFrame([(root,)], "url string").select(urls.normalize_url("url").alias("url"), F.lit(0).alias("depth"), F.lit(-1).cast("bigint").alias("pos"))
-    listed = sitemap.groupBy("url").agg(F.min("pos").alias("pos")).orderBy("pos").limit(max_urls)
-    more = listed.join(first.select("url"), "url", "left_anti").select("url", F.lit(1).alias("depth"), F.col("pos").cast("bigint"))
-    return first.union(more)
+    level: site, url, depth, parent (the place of the page that queued it), score, pos, allowed. done: site, queued,
+    fetched so far. `place` counts all URLs of a site, `fetch_no` those that may be fetched, up to and including the row.
+    The generation is sorted by ranges over all partitions; a range's own numbers are moved by the counts of those
+    before it, so that no site has to fit into one task.
+    """
+    order = [F.col("parent").asc(), F.col("score").desc(), F.col("pos").asc(), F.col("url").asc()]
+    dealt = cut(level.repartitionByRange(F.col("site").asc(), *order).withColumn("_part", F.spark_partition_id()), "generation")
+    counts = dealt.groupBy("site", "_part").agg(F.count("*").alias("n"), F.count_if("allowed").alias("f"))
+    before = Window.partitionBy("site").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = counts.select("site", "_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in "nf"))
+    moved = moved.join(done, "site", "left").select("site", "_part", *((F.col(f"_{c}") + F.coalesce(t, F.lit(0))).alias(f"_{c}") for c, t in (("n", "queued"), ("f", "fetched"))))
+    own = Window.partitionBy("_part", "site").orderBy(*order)
+    placed = dealt.withColumns({"place": F.row_number().over(own), "fetch_no": F.sum(F.col("allowed").cast("long")).over(own)}).join(moved, ["site", "_part"])
+    totals = counts.groupBy("site").agg(F.sum("n").alias("queued"), F.sum("f").alias("fetched")).unionByName(done).groupBy("site").agg(F.sum("queued").alias("queued"), F.sum("fetched").alias("fetched"))
+    return placed.select("site", "url", "depth", "allowed", (F.col("place") + F.col("_n")).alias("place"), (F.col("fetch_no") + F.col("_f")).alias("fetch_no")), cut(totals, "totals")
+
+
+def crawl_plan(starts: DataFrame, edges: DataFrame, max_pages: int | None = None, rules: DataFrame | None = None, agent: str = "*") -> DataFrame:
+    """(site, fetch_no, url, depth): the pages that a crawl of each site fetches, in order, from seeds (site, url, depth, pos) over (src_url, pos, dst_url).
+
+    A site's queue is first in, first out. Seeds go in by URL priority, then position; a fetched page puts in its links
+    that were never queued, by priority, then position, and their depth is one more than its own: depth is fixed when a
+    URL is first queued, and need not be the shortest way. URLs that robots rules shut out are passed over: they neither
+    count towards max_pages nor lead on. Edges are those of captured pages, by requested URL.
+
+    Each round is one generation: what the pages of the last one queue. Every generation is a table of its own; only the
+    new one is joined with the edges, and the earlier ones are never written again.
+    """
+    edges = cut(edges.groupBy("src_url", "dst_url").agg(F.min("pos").alias("pos")), "edges")
+    level = starts.groupBy("site", "url").agg(F.min(F.struct("depth", "pos")).alias("s")).select("site", "url", "s.depth", F.lit(0).cast("long").alias("parent"), "s.pos")
+    done = starts.select("site").limit(0).withColumns({"queued": F.lit(0).cast("long"), "fetched": F.lit(0).cast("long")})
+    plan: list[DataFrame] = []
+    while True:
+        scored = level.withColumn("score", urls.url_priority_score("url"))
+        scored = scored.withColumn("allowed", F.lit(True)) if rules is None else sitefiles.allowed(scored, rules, agent)
+        placed, done = _queued(scored, done)
+        plan.append(cut(placed, "queue"))
+        fetched = plan[-1].filter("allowed")
+        if max_pages is not None:
+            fetched = fetched.filter(F.col("fetch_no") <= max_pages).join(done.filter(F.col("fetched") < max_pages).select("site"), "site", "left_semi")
+        found = fetched.join(edges, F.col("url") == F.col("src_url")).groupBy("site", F.col("dst_url").alias("url")).agg(F.min(F.struct("place", "pos", "depth")).alias("s"))
+        known = reduce(DataFrame.unionByName, (p.select("site", "url") for p in plan))
+        fresh = found.join(known, ["site", "url"], "left_anti")
+        level = cut(fresh.select("site", "url", (F.col("s.depth") + 1).alias("depth"), F.col("s.place").alias("parent"), F.col("s.pos").alias("pos")), "frontier")
+        if level.isEmpty():
+            break
+    whole = reduce(DataFrame.unionByName, plan).filter("allowed")
+    return (whole if max_pages is None else whole.filter(F.col("fetch_no") <= max_pages)).select("site", "fetch_no", "url", "depth")
 
 
 def crawl_depth(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(url, depth): the fewest clicks from the starts (url, depth), level by level over (src_url, dst_url) edges.
 
-    Each level is one join of the frontier with the edges, until a level is empty or max_depth, if given, is reached.
+    Each level is one join of what the level before found with the edges, and a table of its own; it ends when a level
+    is empty and no start is left, or max_depth, if given, is reached.
     """
     edges = cut(edges.select("src_url", "dst_url").distinct())  # every level reads it
-    known = starts.groupBy("url").agg(F.min("depth").alias("depth"))
-    frontier, level = known, 0
-    top = starts.agg(F.max("depth")).first()[0] or 0
+    given = cut(starts.groupBy("url").agg(F.min("depth").alias("depth")))
+    level, top = given.agg(F.min("depth")).first()[0] or 0, given.agg(F.max("depth")).first()[0] or 0
+    found = [given.filter(F.col("depth") == level)]
     while max_depth is None or level < max_depth:
-        step = frontier.filter(F.col("depth") == level).join(edges, F.col("url") == F.col("src_url")).select(F.col("dst_url").alias("url"), F.lit(level + 1).alias("depth"))
-        known = known.unionByName(step).groupBy("url").agg(F.min("depth").alias("depth"))
-        known = cut(known)
         level += 1
-        frontier = known
-        if level > top and known.filter(F.col("depth") == level).isEmpty():
+        step = found[-1].join(edges, F.col("url") == F.col("src_url")).select(F.col("dst_url").alias("url"))
+        new = step.union(given.filter(F.col("depth") == level).select("url")).distinct()
+        known = reduce(DataFrame.unionByName, (f.select("url") for f in found))
+        found.append(cut(new.join(known, "url", "left_anti").withColumn("depth", F.lit(level))))
+        if level >= top and found[-1].isEmpty():
             break
-    return known
+    return reduce(DataFrame.unionByName, found)
 
 
 def orphans(pages: DataFrame, sitemap: DataFrame, edges: DataFrame) -> DataFrame:

@@ -22,6 +22,12 @@ SITEMAPS = (
 MEDIA_TYPES = ("Text/HTML; charset=utf-8", " application/xhtml+xml ", "application/pdf")
 
 
+#: What the sitemap of a made-up shop lists, its robots.txt, and how many pages a crawl of it may fetch.
+SHOP_SITEMAP = ("/supplier/3", "/store/part/7", "/", "/part/1")
+SHOP_ROBOTS = "User-agent: *\nDisallow: /part/1\nDisallow: /supplier/2\n"
+SHOP_BUDGET = 400
+
+
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -155,6 +161,51 @@ edges AS (SELECT src_seq, src_url, pos, scheme || '://' || host || {_CLEAN} || q
 DEPTH = f"""WITH RECURSIVE {LINKS}, p AS (SELECT {_PARTS.format("url")} FROM pages), starts AS (SELECT DISTINCT scheme || '://' || host || {_CLEAN} || query AS url FROM p)
 SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM (SELECT url, 0 AS depth FROM starts UNION ALL SELECT dst_url, 1 FROM edges) GROUP BY url"""
 
+SHOP = f"""
+items AS (SELECT 'https://shop' || l_orderkey % 3 || '.example.com' AS site, l_suppkey, l_partkey, l_orderkey::BIGINT * 8 + l_linenumber AS pos FROM lineitem),
+pairs AS (SELECT site, site || '/supplier/' || l_suppkey AS s, site || CASE WHEN l_partkey % 7 = 0 THEN '/store' ELSE '' END || '/part/' || l_partkey AS p, pos FROM items),
+clicks AS (
+  SELECT site, src, dst, min(pos) AS pos FROM (
+    SELECT site, s AS src, p AS dst, pos FROM pairs UNION ALL SELECT site, p, s, pos FROM pairs
+    UNION ALL SELECT DISTINCT site, site || '/', site || '/supplier/' || i, i - 1 FROM items, (VALUES (1), (2)) AS t(i)
+  ) GROUP BY site, src, dst
+)
+"""
+
+CRAWL_PLAN = f"""WITH RECURSIVE {SHOP},
+scored AS (SELECT *, {_SCORE.format('dst')} AS score FROM clicks),
+starts AS (
+  SELECT site, site || path AS url, depth, pos, {_SCORE.format("(site || path)")} AS score
+  FROM (SELECT DISTINCT site FROM items), (VALUES ('/', 0, -1), ('/supplier/3', 1, 0), ('/store/part/7', 1, 1), ('/part/1', 1, 3)) AS t(path, depth, pos)
+),
+walk(site, generation, queue, seen) AS (
+  SELECT site, 0, list({{'url': url, 'depth': depth}} ORDER BY score DESC, pos), list(url) FROM starts GROUP BY site
+  UNION ALL
+  SELECT site, generation + 1, list({{'url': dst, 'depth': depth + 1}} ORDER BY place, score DESC, pos, dst), any_value(seen) || list(dst)
+  FROM (
+    SELECT w.site, w.generation, any_value(w.seen) AS seen, e.dst, any_value(e.score) AS score, min(w.place) AS place, arg_min(e.pos, (w.place, e.pos)) AS pos, arg_min(w.page.depth, (w.place, e.pos)) AS depth
+    FROM (SELECT site, generation, seen, unnest(queue) AS page, unnest(range(len(queue))) AS place FROM walk) AS w JOIN scored e ON e.src = w.page.url
+    WHERE NOT regexp_matches(w.page.url, 'example.com/(part/1|supplier/2)') AND NOT list_contains(w.seen, e.dst)
+    GROUP BY w.site, w.generation, e.dst
+  ) GROUP BY site, generation
+),
+flat AS (SELECT site, generation, unnest(queue) AS page, unnest(range(len(queue))) AS place FROM walk),
+numbered AS (
+  SELECT site, row_number() OVER (PARTITION BY site ORDER BY generation, place) AS fetch_no, page.url AS url, page.depth AS depth
+  FROM flat WHERE NOT regexp_matches(page.url, 'example.com/(part/1|supplier/2)')
+)
+SELECT site, fetch_no, url, depth::BIGINT AS depth FROM numbered WHERE fetch_no <= {SHOP_BUDGET}"""
+
+SHOP_DEPTH = f"""WITH RECURSIVE {SHOP},
+walk(site, depth, level, seen) AS (
+  SELECT site, 0, [site || '/'], [site || '/'] FROM (SELECT DISTINCT site FROM items)
+  UNION ALL
+  SELECT site, depth + 1, list(dst), any_value(seen) || list(dst)
+  FROM (SELECT w.site, w.depth, any_value(w.seen) AS seen, e.dst FROM (SELECT site, depth, seen, unnest(level) AS url FROM walk) AS w JOIN clicks e ON e.src = w.url WHERE NOT list_contains(w.seen, e.dst) GROUP BY w.site, w.depth, e.dst)
+  GROUP BY site, depth
+)
+SELECT unnest(level) AS url, depth::BIGINT AS depth FROM walk"""
+
 CANDIDATES = rf"""
 found AS (SELECT doc_id AS seq, regexp_extract_all(text, '{PHONE}') AS v FROM documents),
 listed AS (SELECT seq, CAST(unnest(range(len(v))) AS BIGINT) AS pos, trim(regexp_replace(unnest(v), '\s+', ' ', 'g')) AS value FROM found),
@@ -234,6 +285,8 @@ def oracle_sql() -> dict[str, str]:
         "referrer_counts": f"WITH {LINKS} SELECT dst_url, count(DISTINCT src_url) AS n_referrers FROM edges GROUP BY dst_url",
         "link_priority": f"WITH {LINKS}, one AS (SELECT src_seq, dst_url, min(pos) AS pos, {_SCORE.format('dst_url')} AS score FROM edges GROUP BY src_seq, dst_url) SELECT src_seq, dst_url, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY src_seq ORDER BY score DESC, pos) AS rank FROM one",
         "crawl_depth": DEPTH,
+        "crawl_plan": CRAWL_PLAN,
+        "shop_depth": SHOP_DEPTH,
         "token_stems": f"WITH {TOKENS} SELECT stem, count(*) AS n FROM toks GROUP BY stem",
         "document_frequencies": f"WITH {TOKENS} SELECT stem, df FROM dfs",
         "corpus_stats": f"WITH {TOKENS} SELECT n_docs, round(avg_length, 6) AS avg_length FROM stats",

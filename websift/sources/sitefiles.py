@@ -84,8 +84,8 @@ def sitemap_entries(documents: DataFrame) -> DataFrame:
     return out.select("doc_url", "pos", urls.normalize_url("raw").alias("loc"), "is_index").filter("loc <> ''")
 
 
-def sitemap_urls(site_files: DataFrame, documents: DataFrame, max_urls: int = 500, max_levels: int | None = None) -> DataFrame:
-    """(site, pos, url): the crawlable pages that a site's sitemaps list, each once, the first max_urls of a site in order.
+def sitemap_urls(site_files: DataFrame, documents: DataFrame, max_urls: int | None = None, max_levels: int | None = None) -> DataFrame:
+    """(site, pos, url): the crawlable pages that a site's sitemaps list, each once, in order; max_urls, if given, bounds those of a site.
 
     documents are (url, body) of captured sitemaps; an index is followed level by level, within the site, until no
     map is new or max_levels, if given, are read.
@@ -103,4 +103,5 @@ def sitemap_urls(site_files: DataFrame, documents: DataFrame, max_urls: int = 50
         known = known.unionByName(level.select("site", "doc_url"))
     once = found.groupBy("site", "url").agg(F.min(F.struct(F.size("at").alias("depth"), "at")).alias("at"))
     pos = F.row_number().over(Window.partitionBy("site").orderBy("at"))
-    return once.withColumn("pos", pos).filter(F.col("pos") <= max_urls).select("site", "pos", "url")
+    rows = once.withColumn("pos", pos).select("site", "pos", "url")
+    return rows if max_urls is None else rows.filter(F.col("pos") <= max_urls)
