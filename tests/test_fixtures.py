@@ -361,3 +361,35 @@ def test_seeds(spark):
     assert sorted(tuple(r) for r in links.seeds(roots, listed, 2).collect()) == [("s", "https://a.com/", 0, -1), ("s", "https://a.com/x", 1, 2), ("s", "https://www.a.com/y", 1, 1), ("t", "https://t.com/", 0, -1)]
     assert links.seeds(roots, listed).count() == 5
     assert links.crawl_plan(links.seeds(roots, listed).limit(0), spark.createDataFrame([], "src_url string, pos long, dst_url string")).count() == 0
+
+
+@pytest.mark.parametrize("k,block_docs,query_part", [(1, 4096, 4096), (4, 5, 7), (50, 64, 4096)])
+def test_leading_is_the_top_of_all_scores(spark, monkeypatch, k, block_docs, query_part):
+    """Drawn texts and questions: ties, phrases, legal URLs and questions, repeated words, questions without words or hits."""
+    import random
+
+    monkeypatch.setattr(search, "BLOCK_DOCS", block_docs)
+    monkeypatch.setattr(search, "QUERY_PART", query_part)
+    rnd = random.Random(k)
+    words = ["alpha", "alphas", "beta", "gamma", "delta", "refund", "term", "the", "stories", "story", "x", "running", "runs", "omega", "zeta", "eta"]
+    docs = [(i, rnd.choice(("https://a.com/terms", "https://a.com/p", "https://a.com/Privacy")), " ".join(rnd.choices(words, k=rnd.choice((1, 3, 8, 40))))) for i in range(300)]
+    docs += [(1000 + i, "https://a.com/p", "alpha beta gamma") for i in range(5)] + [(2000, "https://a.com/p", ""), (2001, "https://a.com/p", "the of")]
+    asked = [(q, " ".join(rnd.choices(words, k=rnd.choice((1, 2, 3, 6))))) for q in range(40)] + [(90, "alpha beta gamma"), (91, ""), (92, "nowhere found"), (93, "refund terms"), (94, "the of")]
+    d, q = spark.createDataFrame(docs, "doc_id long, url string, text string").repartition(3), spark.createDataFrame(asked, "query_id long, query string")
+    for url in (None, "url"):
+        want = search.top_k(search.scores(d, q, "doc_id", url), k).select("query_id", "rank", "doc", "score", "coverage", "matched")
+        got = search.leading(d, q, k, "doc_id", url)
+        plain = lambda df: sorted((r.query_id, r["rank"], r.doc, round(r.score, 7), round(r.coverage, 9), r.matched) for r in df.collect())
+        assert plain(got) == plain(want) and got.columns == want.columns
+    assert search.leading(d.limit(0), q, k).count() == 0 and search.leading(d, q.limit(0), k).count() == 0
+
+
+def test_blocks_that_cannot_win_are_not_opened():
+    import numpy as np
+
+    contest = search.Contest([np.array([0, 1]), np.array([2])], np.zeros(2), np.zeros(2, bool), 2, 0.5, 1e-9)
+    strong = (np.repeat(np.arange(5), 2), np.tile([0, 1], 5), np.full(10, 4.0), np.zeros(10, bool))
+    contest.block(*strong, 3)
+    assert contest.opened == 1 and contest.floor[0] == 8.0 and contest.skipped == 1  # no document has the second question's stem
+    contest.block(np.arange(100, 140), np.tile([0, 1], 20), np.full(40, 3.9), np.zeros(40, bool), 3)
+    assert contest.opened == 1 and sorted(contest.found[0][0].tolist()) == [0, 1, 2, 3, 4]  # its best sum is 7.8

@@ -1,4 +1,4 @@
-"""Plans of loops and of tables that several branches read, kept short."""
+"""Plans of loops and of tables that several branches read, kept short; and the spread of small inputs."""
 
 from __future__ import annotations
 
@@ -24,3 +24,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of files that a task reads by itself.
+SPLIT = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the cores where the input is too small to give each of them a split of its own.
+
+    A file can't be read by more tasks than it has row groups, so that a small one keeps all but one core idle through
+    the parse of its texts. Larger inputs stay as they are: no row of theirs is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT else df

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,33 +123,166 @@ def top_k(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
     return rounded.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def best(scored: DataFrame, digits: int = 9) -> DataFrame:
-    """Each query's best document, by an aggregate that needs no sort."""
-    s = F.round("score", digits)
-    return scored.groupBy("query_id").agg(F.max(F.struct(s.alias("score"), (-F.col("doc")).alias("minus"), "coverage")).alias("b")).select("query_id", (-F.col("b.minus")).alias("doc"), "b.score", "b.coverage")
+class Contest:
+    """A part of the queries against blocks of documents: what can still be among a query's k best is kept.
+
+    A query is a set of stem numbers. `floor` is its k-th best score so far without bonuses: no better bound than a
+    document that is known to reach it. A block's documents are looked at only if the greatest parts of the query's
+    stems in the block, with the bonus, add up to the floor.
+    """
+
+    def __init__(self, stems: list[np.ndarray], bonus: np.ndarray, legal: np.ndarray, k: int, least: float, slack: float):
+        self.stems, self.bonus, self.legal, self.k, self.least, self.slack = stems, bonus, legal, k, least, slack
+        self.flat = np.concatenate([*stems, np.zeros(0, np.int64)]).astype(np.int64)
+        self.size = np.array([len(s) for s in stems], np.int64)
+        self.floor = np.full(len(stems), -np.inf)
+        self.found: list[tuple[np.ndarray, ...] | None] = [None] * len(stems)
+        self.opened = self.skipped = 0
+
+    def block(self, doc: np.ndarray, stem: np.ndarray, part: np.ndarray, demoted: np.ndarray, n_stems: int) -> None:
+        docs, at = np.unique(doc, return_inverse=True)
+        low = np.zeros(len(docs), bool)
+        low[at] = demoted
+        order = np.argsort(stem, kind="stable")
+        at, part = at[order], part[order]
+        start = np.searchsorted(stem[order], np.arange(n_stems + 1))
+        most = np.zeros(n_stems)
+        np.maximum.at(most, stem, part[np.argsort(order)])
+        ends = np.cumsum(self.size)
+        sums = np.concatenate([[0.0], np.cumsum(most[self.flat])])
+        bound = sums[ends] - sums[ends - self.size] + self.bonus
+        possible = (bound > self.least) & (bound >= self.floor - self.slack)
+        self.skipped += int((~possible).sum())
+        for q in np.flatnonzero(possible).tolist():
+            self.opened += 1
+            own = [slice(start[s], start[s + 1]) for s in self.stems[q].tolist() if start[s] < start[s + 1]]
+            if not own:
+                continue
+            hit = np.concatenate([at[s] for s in own])
+            base, matched = np.bincount(hit, np.concatenate([part[s] for s in own]), len(docs)), np.bincount(hit, minlength=len(docs))
+            self.keep(q, docs, base, matched, np.where(low & ~self.legal[q], LEGAL_FACTOR, 1.0))
+
+    def keep(self, q: int, docs: np.ndarray, base: np.ndarray, matched: np.ndarray, factor: np.ndarray) -> None:
+        sure = base * factor
+        most = sure + np.where(matched >= self.size[q] - 2, self.bonus[q], 0.0) * factor
+        good = (matched > 0) & (most > self.least - self.slack) & (most >= self.floor[q] - self.slack)
+        if not good.any():
+            return
+        new = (docs[good], base[good], matched[good], sure[good], most[good])
+        if (old := self.found[q]) is not None:
+            new = tuple(map(np.concatenate, zip(old, new, strict=True)))
+        if len(new[0]) >= self.k:
+            self.floor[q] = max(self.floor[q], np.partition(new[3], -self.k)[-self.k])
+            still = new[4] >= self.floor[q] - self.slack
+            new = tuple(x[still] for x in new)
+        self.found[q] = new
+
+
+def _contest(shared, k: int, least: float, slack: float):
+    def run(batches):
+        ids, stems, bonus, legal, names = shared.value
+        values = pa.array(names, pa.string())
+        contest = Contest(stems, bonus, legal, k, least, slack)
+        now, parts = None, []
+
+        def solve() -> None:
+            if parts:
+                contest.block(*map(np.concatenate, zip(*parts, strict=True)), len(names))
+                parts.clear()
+
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            stem = pc.fill_null(pc.index_in(batch.column(2), value_set=values), -1).to_numpy()
+            columns = (batch.column(1).to_numpy(), stem, batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(block)], strict=True):
+                if i == j:
+                    continue
+                if block[i] != now:
+                    solve()
+                    now = block[i]
+                asked = stem[i:j] >= 0
+                parts.append(tuple(c[i:j][asked] for c in columns))
+        solve()
+        for q, found in enumerate(contest.found):
+            if found is not None and len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(found[0]), pa.int64()), pa.array(found[0]), pa.array(found[1]), pa.array(found[2].astype(np.int64))], names=["query_id", "doc", "base", "matched"])
+
+    return run
+
+
+#: Documents a block, about; queries that are read and broadcast at a time, about.
+BLOCK_DOCS, QUERY_PART = 4096, 4096
+
+
+def leading(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", url_col: str | None = None, least: float = LEAST_SCORE, digits: int = 9) -> DataFrame:
+    """(query_id, rank, doc, score, coverage, matched): `top_k` of `scores`, without a row for each pair that shares a stem. Ids are longs.
+
+    Documents are dealt into blocks of one class of length. A block's postings meet in one worker, which keeps the
+    greatest part of each stem there, passes over the queries whose stems can't add up to their k-th best score so far,
+    and adds up the parts for the others. Only documents that can still be among the k best leave the worker; the
+    phrase bonus is decided for them alone. The queries are read by the driver and broadcast a bounded number at a time.
+    """
+    spark = docs.sparkSession
+    url = F.lower(F.col(url_col)).rlike("|".join(LEGAL_URL)) if url_col else F.lit(False)
+    named = [F.col(id_col).cast("long").alias("doc"), F.coalesce(url, F.lit(False)).alias("demoted")]
+    index, prepared = cut(indexed(docs).select(*named, "spoken", "content", "length"), "index"), cut(prepared_queries(queries), "queries")
+    stats = corpus_stats(index).first()
+    deal = max(1, -(-stats.n_docs // BLOCK_DOCS))
+    asked_for = prepared.select(F.explode("stems").alias("stem")).distinct()
+    words = cut(vocabulary_of(index).join(asked_for, "stem", "left_semi"), "words")  # of a known size before all words meet it
+    rows = index.select("doc", "demoted", "length", F.explode("content").alias("word")).join(words, "word")
+    hits = cut(rows.groupBy("doc", "stem").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("demoted").alias("demoted")), "postings")
+    part = bm25(F.col("tf"), F.col("length"), F.col("df"), F.lit(stats.n_docs), F.lit(stats.avg_length or 1.0))
+    block = F.floor(F.log2("length")) * deal + F.pmod(F.xxhash64("doc"), F.lit(deal))
+    weighted = hits.join(hits.groupBy("stem").agg(F.count("*").alias("df")), "stem").select(block.cast("long").alias("block"), "doc", "stem", part.alias("part"), "demoted")
+    asked = prepared.select("query_id", "phrase", "legal", F.size("tokens").alias("n_tokens"), F.size("stems").alias("n_stems"))
+    turns = max(1, -(-prepared.count() // QUERY_PART))
+    found = []
+    for turn in range(turns):
+        own = prepared.filter(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn).select("query_id", "stems", "legal", F.size("tokens").alias("n_tokens")).collect()
+        names = sorted({s for r in own for s in r.stems})
+        number = {s: i for i, s in enumerate(names)}
+        shared = spark.sparkContext.broadcast((
+            [r.query_id for r in own], [np.array([number[s] for s in r.stems], np.int64) for r in own],
+            np.array([PHRASE_BONUS if r.n_tokens >= 2 else 0.0 for r in own]), np.array([bool(r.legal) for r in own]), names,
+        ))
+        dealt = weighted.repartition("block").sortWithinPartitions("block")
+        found.append(cut(dealt.mapInArrow(_contest(shared, k, least, 2 * 10.0**-digits), "query_id long, doc long, base double, matched long"), "leading"))
+    rows = reduce(DataFrame.unionByName, found).join(asked, "query_id")
+    may = rows.filter((F.col("n_tokens") >= 2) & (F.col("matched") >= F.col("n_stems") - 2)).select("query_id", "doc", "phrase")
+    said = may.join(index.select("doc", "spoken"), "doc").filter(F.col("spoken").contains(F.col("phrase"))).select("query_id", "doc").distinct().withColumn("bonus", F.lit(PHRASE_BONUS))
+    score = F.col("base") + F.coalesce("bonus", F.lit(0.0))
+    rows = rows.join(said, ["query_id", "doc"], "left")
+    if url_col:
+        rows = rows.join(index.select("doc", "demoted"), "doc")
+        score = F.when(F.col("demoted") & ~F.col("legal"), score * LEGAL_FACTOR).otherwise(score)
+    scored = rows.select("query_id", "doc", score.alias("score"), (F.col("matched") / F.greatest(F.lit(1), F.col("n_stems"))).alias("coverage"), "matched")
+    return top_k(scored.filter(F.col("score") > least), k, digits).select("query_id", "rank", "doc", "score", "coverage", "matched")
 
 
 def answers(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", url_col: str | None = None) -> DataFrame:
     """(query_id, query, answer, url, excerpt): the best passage if it is good enough, else nulls; every query has a row."""
-    top = best(scores(docs, queries, id_col, url_col))
+    top = leading(docs, queries, 1, id_col, url_col)
     asked = prepared_queries(queries).select("query_id", "query", F.size("tokens").alias("n_tokens"))
     good = (F.col("score") >= ANSWER_SCORE) & (F.col("coverage") >= F.when(F.col("n_tokens") >= 2, ANSWER_COVERAGE).otherwise(1.0))
-    found = top.join(asked, "query_id").filter(good).select("query_id", "doc")
-    own = docs.select(F.col(id_col).alias("doc"), "text", (F.col(url_col) if url_col else F.col(id_col).cast("string")).alias("url"))
+    found = cut(top.join(asked, "query_id").filter(good).select("query_id", "doc"), "answers")
+    own = docs.select(F.col(id_col).cast("long").alias("doc"), "text", (F.col(url_col) if url_col else F.col(id_col).cast("string")).alias("url"))
     return asked.select("query_id", "query").join(found.join(own, "doc"), "query_id", "left").select("query_id", "query", F.col("text").alias("answer"), "url", F.col("text").alias("excerpt"))
 
 
-def candidates_for_model(docs: DataFrame, scored: DataFrame, id_col: str = "doc_id", best_n: int = 8, total: int = 12, least_chars: int = 40) -> DataFrame:
+def candidates_for_model(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", url_col: str | None = None, best_n: int = 8, total: int = 12, least_chars: int = 40, digits: int = 9) -> DataFrame:
     """(query_id, n, doc, text): what a model may choose from: the best documents, then the first ones of some length, texts distinct.
 
-    The fill-in is the same for all queries: at most `total` distinct texts beyond what ranking found, so the product with
-    the queries is bounded by total + best_n rows a query.
+    Every query with a word to look for has candidates, found or not. The fill-in is the same for all queries: at most
+    `total` distinct texts beyond what ranking found, so the product with the queries is bounded by total + best_n rows a query.
     """
-    own = docs.select(F.col(id_col).alias("doc"), "text")
-    ranked = top_k(scored, best_n).join(own, "doc").select("query_id", F.lit(0).alias("tier"), F.col("rank").cast("bigint").alias("at"), "doc", "text")
+    own = indexed(docs).select(F.col(id_col).cast("long").alias("doc"), "text")
+    ranked = cut(leading(docs, queries, best_n, id_col, url_col, digits=digits).select("query_id", "rank", "doc"), "ranked")
+    first = ranked.join(own, "doc").select("query_id", F.lit(0).alias("tier"), F.col("rank").cast("bigint").alias("at"), "doc", "text")
     fill = own.filter(F.char_length("text") >= least_chars).groupBy("text").agg(F.min("doc").alias("doc")).orderBy("doc").limit(total + best_n)
-    more = scored.select("query_id").distinct().crossJoin(F.broadcast(fill)).select("query_id", F.lit(1).alias("tier"), F.col("doc").cast("bigint").alias("at"), "doc", "text")
-    both = ranked.unionByName(more)
+    asked = prepared_queries(queries).filter(F.size("tokens") > 0).select("query_id")
+    more = asked.crossJoin(F.broadcast(fill)).select("query_id", F.lit(1).alias("tier"), F.col("doc").alias("at"), "doc", "text")  # a few rows for each
     once = F.row_number().over(Window.partitionBy("query_id", "text").orderBy("tier", "at"))
     n = F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "at"))
-    return both.withColumn("_o", once).filter("_o = 1").withColumn("n", n).filter(F.col("n") <= total).select("query_id", "n", "doc", "text")
+    return first.unionByName(more).withColumn("_o", once).filter("_o = 1").withColumn("n", n).filter(F.col("n") <= total).select("query_id", "n", "doc", "text")

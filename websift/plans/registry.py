@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import textnorm, urls
-from ..functions.lineage import cut
+from ..functions.lineage import cut, spread
 from ..operators import links, nap, onpage, search
 from ..sources import dom, sitefiles
-from ..sources.pages import as_pages, read_pages, responses
+from ..sources.pages import as_pages, responses
 from . import madeup, sql
 
 TOP = 5  # passages per question in the top-k report
@@ -22,11 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_pages(spark, f"{sf_dir}/pages.parquet")
+    return as_pages(spread(_table(spark, sf_dir, "pages")))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def _augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with what a crawl would have recorded, made up from page_id: the tables hold bodies only."""
     n = F.col("page_id")
     hop = F.struct(F.lit(301).alias("status"), F.col("url"))
-    raw = _table(spark, sf_dir, "pages").select(
+    raw = spread(_table(spark, sf_dir, "pages")).select(
         "page_id", "url", F.when(n % 7 == 3, "").otherwise(F.col("html")).alias("html"),
         F.when(n % 7 == 3, F.when(n % 2 == 0, 503).otherwise(404)).otherwise(200).alias("status"),
         (n % 6).cast("int").alias("depth"), (n % 4).cast("double").alias("response_time"),
@@ -187,8 +187,7 @@ def corpus_stats(spark, sf_dir):
 
 def bm25_topk(spark, sf_dir):
     """The best documents of every question of the benchmark table."""
-    scored = search.scores(_documents(spark, sf_dir), _questions(spark, sf_dir))
-    top = search.top_k(scored, TOP, 6)
+    top = search.leading(_documents(spark, sf_dir), _questions(spark, sf_dir), TOP, digits=6)
     return top.select("query_id", F.col("rank").cast("long").alias("rank"), "doc", "score", F.round("coverage", 6).alias("coverage"), "matched")
 
 
@@ -197,6 +196,19 @@ def bm25_answers(spark, sf_dir):
     return search.answers(_documents(spark, sf_dir), _questions(spark, sf_dir))
 
 
+def legal_topk(spark, sf_dir):
+    """The same where a third of the documents stand under a legal URL, and a quarter of the questions ask about legal matters."""
+    docs = _documents(spark, sf_dir).withColumn("url", F.concat(F.lit("https://a.example.com/"), F.when(F.col("doc_id") % 3 == 0, "Terms/").otherwise("p/"), F.col("doc_id").cast("string")))
+    asked = _questions(spark, sf_dir).withColumn("query", F.when(F.col("query_id") % 4 == 0, F.concat("query", F.lit(" refund policy"))).otherwise(F.col("query")))
+    return search.leading(docs, asked, TOP, url_col="url", digits=6).select("query_id", F.col("rank").cast("long").alias("rank"), "doc", "score")
+
+
+def model_candidates(spark, sf_dir):
+    """What a language model may choose an answer from, for every question."""
+    found = search.candidates_for_model(_documents(spark, sf_dir), _questions(spark, sf_dir), digits=6)
+    return found.select("query_id", F.col("n").cast("long").alias("n"), "doc")
+
+
 def page_passages(spark, sf_dir):
     """Candidate answers of every page."""
     return search.page_passages(_pages(spark, sf_dir))
@@ -298,7 +310,7 @@ def response_forms(spark, sf_dir):
 
 ALL = (
     page_findings, title_findings, thin_content, dom_size, tag_census, crawl_findings, duplicate_titles, severity_rollup, health_score, audit, url_forms, out_links,
-    referrer_counts, link_priority, crawl_depth, crawl_plan, shop_depth, token_stems, document_frequencies, corpus_stats, bm25_topk, bm25_answers, page_passages, page_answers, norm_names,
+    referrer_counts, link_priority, crawl_depth, crawl_plan, shop_depth, token_stems, document_frequencies, corpus_stats, bm25_topk, bm25_answers, legal_topk, model_candidates, page_passages, page_answers, norm_names,
     norm_addresses, phone_candidates, nap_groups, nap_verdicts, page_contacts, site_rules, robots_allowed, sitemap_order,
     sitemap_pages, response_forms,
 )

@@ -7,6 +7,7 @@ from ..functions.tokens import ENDINGS, STOPWORDS
 from ..functions.urls import BLOCKED_EXTENSIONS, CONTACT_WORDS, POLICY_WORDS
 from ..operators.nap import PHONE
 from ..operators.rules import BOTS, LABELS, TITLE_FIX
+from ..operators.search import LEGAL_QUERY
 
 #: What supplier keys are made into names and addresses with.
 SUFFIXES = (" Inc.", ", LLC", "  GmbH & Co", " Corporation", "", " (Ltd)")
@@ -77,6 +78,18 @@ ranked AS (
 )
 """
 
+_ASKED = "trim(coalesce(text, '') || CASE WHEN item_id % 4 = 0 THEN ' refund policy' ELSE '' END)"
+_LEGAL = f"CASE WHEN doc % 3 = 0 AND NOT list_has_any(tokens, [{', '.join(map(_quote, LEGAL_QUERY))}]) THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END"
+LEGAL = SCORED.replace("trim(coalesce(text, ''))", _ASKED).replace("base + CASE", "(base + CASE").replace("END AS score", f"END) * {_LEGAL} AS score")
+
+MODEL = f"""WITH {SCORED},
+best AS (SELECT query_id, 0 AS tier, rank AS place, doc, text FROM ranked JOIN documents ON doc_id = doc WHERE rank <= 8),
+fill AS (SELECT text, min(doc_id) AS doc FROM documents JOIN lengths USING (doc_id) WHERE len(text) >= 40 GROUP BY text ORDER BY doc LIMIT 20),
+both_ AS (SELECT * FROM best UNION ALL SELECT query_id, 1, doc, doc, text FROM q, fill WHERE len(tokens) > 0),
+once AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY tier, place) AS o FROM both_),
+listed AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY tier, place) AS n, doc FROM once WHERE o = 1)
+SELECT query_id, n, doc FROM listed WHERE n <= 12"""
+
 BODY = r"""
 bodies AS (
   SELECT page_id AS seq, url, regexp_replace(regexp_replace(regexp_replace(html, '(?is)(<script[^>]*>).*?</script>', '\1</script>', 'g'), '(?is)(<style[^>]*>).*?</style>', '\1</style>', 'g'), '(?s)<!--.*?-->', '', 'g') AS body
@@ -293,6 +306,8 @@ def oracle_sql() -> dict[str, str]:
         "bm25_topk": f"WITH {SCORED} SELECT query_id, rank, doc, score, round(coverage, 6) AS coverage, matched FROM ranked WHERE rank <= 5",
         "bm25_answers": f"""WITH {SCORED}, found AS (SELECT query_id, doc FROM ranked WHERE rank = 1 AND score >= 1.8 AND coverage >= CASE WHEN n_tokens >= 2 THEN 0.5 ELSE 1.0 END)
 SELECT query_id, query, text AS answer, CAST(doc AS VARCHAR) AS url, text AS excerpt FROM q LEFT JOIN found USING (query_id) LEFT JOIN documents ON doc_id = doc""",
+        "legal_topk": f"WITH {LEGAL} SELECT query_id, rank, doc, score FROM ranked WHERE rank <= 5",
+        "model_candidates": MODEL,
         "norm_names": _names(),
         "norm_addresses": _addresses(),
         "phone_candidates": f"WITH {CANDIDATES} SELECT seq, pos, value, normalized FROM c",
