@@ -38,6 +38,28 @@ def referrer_counts(edges: DataFrame) -> DataFrame:
     return edges.select("dst_url", "src_url").distinct().groupBy("dst_url").agg(F.count("*").alias("n_referrers"))
 
 
+def first_referrers(edges: DataFrame, k: int) -> DataFrame:
+    """(dst_url, referrers): the first k distinct pages that link there, in the order of their first link.
+
+    A page's links to one destination become one row first; of these every task passes on k a destination at most, so
+    that a page that everything links to costs no task more than k rows of each other one.
+    """
+    first = edges.groupBy("dst_url", "src_url").agg(F.min(F.struct("src_seq", "pos")).alias("at"))
+    best = first.withColumn("_n", F.row_number().over(Window.partitionBy("dst_url").orderBy("at", "src_url"))).filter(F.col("_n") <= k)
+    listed = F.array_sort(F.collect_list(F.struct("_n", "src_url")))
+    return best.groupBy("dst_url").agg(F.transform(listed, lambda x: x["src_url"]).alias("referrers"))
+
+
+def with_referrers(pages: DataFrame, edges: DataFrame, k: int = 1) -> DataFrame:
+    """Pages with the first k pages that link to their URL, as the rules on orphans and failures read them.
+
+    Edges are those of captured pages. A page that nothing links to has none; what the column held before is replaced.
+    """
+    found = first_referrers(edges, k).select(F.col("dst_url").alias("_dst"), F.col("referrers").alias("_referrers"))
+    rows = pages.join(found, urls.normalize_url(pages["url"]) == F.col("_dst"), "left")
+    return rows.withColumn("referrers", F.coalesce("_referrers", F.array().cast("array<string>"))).select(*pages.columns)
+
+
 def prioritized(candidates: DataFrame, batch: str = "batch", pos: str = "pos", url: str = "url") -> DataFrame:
     """Add `rank`: batches in order, within one the higher URL priority first, then the given position."""
     scored = candidates.withColumn("score", urls.url_priority_score(url))

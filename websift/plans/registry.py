@@ -320,9 +320,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_topk(spark, sf_dir)
 
 
+def _trees():
+    from . import trees  # reads this module's tables
+
+    return trees
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*ALL, *madeup.ALL)}
+    return {f.__name__: f for f in (*ALL, *_trees().ALL, *madeup.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.oracle_sql() | madeup.oracle_sql()
+    return sql.oracle_sql() | _trees().oracle_sql() | madeup.oracle_sql()
