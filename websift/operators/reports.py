@@ -8,6 +8,7 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .onpage import FINDING, ORDER
 
 
@@ -17,7 +18,7 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def write_json_document(df: DataFrame, path: str, single: bool = False) -> None:
-    """One indented JSON array (or object) in one local file, streamed row by row through the driver; for one site's report."""
+    """One indented JSON array (or object) in one local file, streamed row by row through the driver; for one site's report (write_json_array is the form for any size)."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     rows = (json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator())
     with open(path, "w", encoding="utf-8") as f:
@@ -31,6 +32,28 @@ def write_json_document(df: DataFrame, path: str, single: bool = False) -> None:
         f.write("\n]")
 
 
+def write_json_array(df: DataFrame, path: str, order: tuple[str, ...]) -> None:
+    """One JSON array in many files: read one after another in the order of their names, they are the document.
+
+    Rows are sorted by ranges over all tasks, by `order` and then by their text; equal rows stay as often as they were.
+    An empty frame gives an empty array. Tasks write through the file commit of the session, so that attempts that fail
+    leave nothing. The driver sees the first row alone.
+    """
+    keys = [f"_k{i}" for i in range(len(order))]
+    lines = df.select(*(F.col(c).alias(k) for c, k in zip(order, keys, strict=True)), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("_line"))
+    rows = cut(lines.groupBy(*keys, "_line").agg(F.count("*").alias("_n")), "document")
+    first = rows.orderBy(*keys, "_line").first()
+    starts = F.lit(first is not None) & (F.col("_copy") == 1)
+    for k in (*keys, "_line") if first else ():
+        starts &= F.col(k).eqNullSafe(F.lit(first[k]))
+    each = rows.select(F.lit(1).alias("_at"), *keys, "_line", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy"))
+    each = each.withColumn("value", F.concat(F.when(starts, "").otherwise(","), "_line"))
+    ends = df.sparkSession.createDataFrame([(0, "["), (2, "]")], "_at int, value string")
+    whole = each.unionByName(ends, allowMissingColumns=True)
+    sort = ["_at", *keys, "_line", "_copy"]
+    whole.repartitionByRange(*sort).sortWithinPartitions(*sort).select("value").write.mode("overwrite").text(path)
+
+
 def _ordered(findings: DataFrame) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, F.struct(*FINDING).alias("f")))), lambda x: x["f"])
 
