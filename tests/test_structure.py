@@ -1,13 +1,15 @@
 """Containment, siblings and referrers against plain loops over the parse's own tree."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from websift.operators import links, structure
+from websift.operators import links, onpage, reports, structure
 from websift.sources import dom
 from websift.sources.pages import as_pages
+from websift.streaming import ingest
 
 TAGS = ("div", "p", "nav", "a", "br", "h2", "ul", "li", "section")
 
@@ -100,3 +102,36 @@ def test_first_referrers_of_a_hub(spark):
     pages = {r.url: r.referrers for r in links.with_referrers(as_pages(listed.withColumn("referrers", F.array(F.lit("old")))), edges, 2).collect()}
     assert pages == {"https://A.example.com/hub#top": [f"https://a.example.com/{i}" for i in (19999, 19998)], "https://a.example.com/alone": [], None: []}
     assert links.first_referrers(edges.limit(0), 3).isEmpty()
+
+
+def test_json_array_from_many_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small rows would end up in one task
+    rows = [(i % 7 if i % 5 else None, f'say "{i % 50}"\n' if i % 3 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, text string").repartition(6)
+    read = lambda path: json.loads("".join(p.read_text() for p in sorted(path.glob("part-*"))))
+    for name, frame, want in (("some", df, rows), ("none", df.limit(0), []), ("one", df.limit(1), None)):
+        reports.write_json_array(frame, str(tmp_path / name), ("k",))
+        got = [(r["k"], r["text"]) for r in read(tmp_path / name)]
+        assert len(got) == 1 if want is None else sorted(got, key=repr) == sorted(want, key=repr)
+        assert [k is not None for k, _ in got] == sorted(k is not None for k, _ in got) and [k for k, _ in got if k is not None] == sorted(k for k, _ in got if k is not None)
+    assert len(list((tmp_path / "some").glob("part-*"))) > 1
+    reports.write_json_array(df, str(tmp_path / "some"), ("k",))  # again, over what is there
+    assert len(read(tmp_path / "some")) == 500
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_shared_values_of_a_stream_are_those_of_the_batch(spark, tmp_path):
+    title = lambda i: f"<title>{'' if i % 11 == 0 else f'Title {i % 9}' if i % 2 else f'Own {i}'}</title>"
+    body = lambda i: title(i) + (f'<meta name="description" content="About {i % 4}">' if i % 3 else "")
+    order = random.Random(1).sample(range(90), 90)
+    for i in range(6):  # six files, a batch each
+        made = [(p, f"https://a.example.com/{p}", body(p)) for p in order[i::6]]
+        spark.createDataFrame(made, "seq long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ingest.page_stream(spark, str(tmp_path / "in"), "seq long, url string, html string", max_files=1)
+    query = ingest.shared_values(stream).writeStream.outputMode("update").format("memory").queryName("shared_updates").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert query.awaitTermination(90)
+    updates = spark.table("shared_updates")
+    assert updates.groupBy("metric", "value").count().filter("count > 1").count() > 0  # values were corrected as pages came
+    facts = onpage.facts_of(as_pages(spark.read.parquet(str(tmp_path / "in"))))
+    got, want = (sorted(map(tuple, df.collect())) for df in (ingest.shared_findings(facts, updates), onpage.cross_page_findings(facts)))
+    assert got == want and len(got) > 50

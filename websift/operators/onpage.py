@@ -56,26 +56,47 @@ def page_findings(facts: DataFrame) -> DataFrame:
     return _fired(facts, rules.on_page(), 10).unionByName(alternates)
 
 
-def _shared(facts: DataFrame, value: Column, metric: str, severity: str, evidence, fix: str, rule_no: int) -> DataFrame:
+def _shared(facts: DataFrame, value: Column, metric: str) -> DataFrame:
     """One finding per page whose value other pages have as well.
 
     Groups are counted before anything is joined, so that unique values never travel twice; the sample of two pages is a
     bounded aggregate.
     """
-    rows = facts.select("seq", "final_url", value.alias("value")).filter("value is not null and value <> ''")
+    rows = shared_rows(facts, value)
     at = F.struct("seq", "final_url")
     first = rows.groupBy("value").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1")
     second = rows.join(first.select("value", "first"), "value").filter(at > F.col("first")).groupBy("value").agg(F.min(at).alias("second"))
     named = first.join(second, "value", "left").select("value", "n", F.col("first")["seq"].alias("group_seq"), F.array_compact(F.array(F.col("first")["final_url"], F.coalesce(F.col("second")["final_url"], F.col("first")["final_url"]))).alias("sample"))
-    found = rows.join(named, "value")
+    return group_findings(rows, named, metric)
+
+
+#: Rules on values that several pages share: number, severity, evidence and advice.
+SHARED = {
+    "duplicate_title": (0, "medium", lambda v, n, s: say('Title "{}" is identical across {} crawled pages (e.g. {}).', v, n, listed(s)), rules.TITLE_FIX),
+    "duplicate_meta_description": (1, "low", lambda v, n, s: say('Meta description "{}..." is duplicated across {} pages.', F.substring(v, 1, 50), n), rules.DESCRIPTION_FIX),
+}
+
+
+def shared_value(metric: str) -> Column:
+    """What pages may share, of a page's facts."""
+    return F.col("title") if metric == "duplicate_title" else F.when(F.col("n_descriptions") > 0, F.col("description"))
+
+
+def shared_rows(facts: DataFrame, value: Column) -> DataFrame:
+    """(seq, final_url, value) of the pages that have one."""
+    return facts.select("seq", "final_url", value.alias("value")).filter("value is not null and value <> ''")
+
+
+def group_findings(rows: DataFrame, groups: DataFrame, metric: str) -> DataFrame:
+    """One finding per page (seq, final_url, value) of the groups (value, n, group_seq, sample)."""
+    rule_no, severity, evidence, fix = SHARED[metric]
+    found = rows.join(groups, "value")
     return found.select(F.lit(2 + rule_no).alias("phase"), F.col("group_seq").alias("seq"), F.lit(rule_no).alias("rule_no"), F.col("seq").cast("int").alias("item_no"), *_finding(metric, severity, F.col("final_url"), evidence(F.col("value"), F.col("n"), F.col("sample")), fix))
 
 
 def cross_page_findings(facts: DataFrame) -> DataFrame:
     """Titles and descriptions that several pages share."""
-    title = _shared(facts, F.col("title"), "duplicate_title", "medium", lambda v, n, s: say('Title "{}" is identical across {} crawled pages (e.g. {}).', v, n, listed(s)), rules.TITLE_FIX, 0)
-    text = F.when(F.col("n_descriptions") > 0, F.col("description"))
-    description = _shared(facts, text, "duplicate_meta_description", "low", lambda v, n, s: say('Meta description "{}..." is duplicated across {} pages.', F.substring(v, 1, 50), n), rules.DESCRIPTION_FIX, 1)
+    title, description = (_shared(facts, shared_value(m), m) for m in SHARED)
     return title.unionByName(description)
 
 
