@@ -34,8 +34,11 @@ def _fired(rows: DataFrame, specs: list[Rule], first_no: int) -> DataFrame:
 
 def facts_of(pages: DataFrame) -> DataFrame:
     """page_facts of the pages that were served; failed ones are dropped before the parser sees them."""
-    served = pages.withColumn("html_size", F.length("html")).filter(~rules.failed())
-    return page_facts(dom.parse_pages(served))
+    return page_facts(dom.parse_pages(served(pages)))
+
+
+def served(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("html_size", F.length("html")).filter(~rules.failed())
 
 
 def crawl_findings(pages: DataFrame, sitemap: DataFrame | None = None) -> DataFrame:
