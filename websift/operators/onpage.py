@@ -22,14 +22,15 @@ def _finding(metric, severity, page, evidence, fix) -> list[Column]:
     return [metric.alias("metric"), rules.label(metric).alias("issue"), page.alias("page"), severity.alias("severity"), evidence.alias("evidence"), F.lit(fix).alias("suggested_fix")]
 
 
-def _fired(rows: DataFrame, specs: list[Rule], first_no: int) -> DataFrame:
-    """One row per rule that fires: the rules are laid out as an array in the row and exploded, in one pass."""
-    hits = [
-        F.when(r.when, F.struct(F.lit(first_no + i).alias("rule_no"), F.lit(r.metric).alias("metric"), F.lit(r.severity).alias("severity"), F.col(r.page).alias("page"), r.evidence.alias("evidence"), F.lit(r.fix).alias("suggested_fix")))
-        for i, r in enumerate(specs)
-    ]
-    out = rows.select("seq", F.explode(F.array_compact(F.array(*hits))).alias("f")).select("seq", "f.*")
-    return out.select(F.lit(1).alias("phase"), "seq", "rule_no", F.lit(0).alias("item_no"), "metric", rules.label(F.col("metric")).alias("issue"), "page", "severity", "evidence", "suggested_fix")
+def _found(rule_no: int, item_no: Column, metric: str, severity: str, page: Column, evidence: Column, fix: str) -> Column:
+    return F.struct(F.lit(rule_no).alias("rule_no"), item_no.alias("item_no"), F.lit(metric).alias("metric"), F.lit(severity).alias("severity"), page.alias("page"), evidence.alias("evidence"), F.lit(fix).alias("suggested_fix"))
+
+
+def _fired(rows: DataFrame, specs: list[Rule], first_no: int, more: Column | None = None) -> DataFrame:
+    """One row per rule that fires and per item of `more`: all laid out as an array in the row and exploded, in one pass."""
+    hits = F.array_compact(F.array(*(F.when(r.when, _found(first_no + i, F.lit(0), r.metric, r.severity, F.col(r.page), r.evidence, r.fix)) for i, r in enumerate(specs))))
+    out = rows.select("seq", F.explode(hits if more is None else F.concat(hits, more)).alias("f")).select("seq", "f.*")
+    return out.select(F.lit(1).alias("phase"), "seq", "rule_no", "item_no", "metric", rules.label(F.col("metric")).alias("issue"), "page", "severity", "evidence", "suggested_fix")
 
 
 def facts_of(pages: DataFrame) -> DataFrame:
@@ -53,10 +54,9 @@ def crawl_findings(pages: DataFrame, sitemap: DataFrame | None = None) -> DataFr
 
 def page_findings(facts: DataFrame) -> DataFrame:
     """Findings of the page rules, with one row per alternate link that isn't absolute."""
-    links = facts.select("seq", "final_url", F.posexplode("alternates").alias("item_no", "a"))
-    evidence = say('hreflang="{}" target is not an absolute URL: "{}".', F.col("a")["lang"], F.col("a")["href"])
-    alternates = links.select(F.lit(1).alias("phase"), "seq", F.lit(99).alias("rule_no"), "item_no", *_finding("hreflang_non_absolute", "low", F.col("final_url"), evidence, rules.ALTERNATE_FIX))
-    return _fired(facts, rules.on_page(), 10).unionByName(alternates)
+    evidence = lambda a: say('hreflang="{}" target is not an absolute URL: "{}".', a["lang"], a["href"])
+    alternates = F.transform("alternates", lambda a, i: _found(99, i, "hreflang_non_absolute", "low", F.col("final_url"), evidence(a), rules.ALTERNATE_FIX))
+    return _fired(facts, rules.on_page(), 10, alternates)
 
 
 def _shared(facts: DataFrame, value: Column, metric: str) -> DataFrame:

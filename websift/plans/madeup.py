@@ -12,6 +12,7 @@ from urllib.robotparser import RobotFileParser
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, spread
 from ..operators import nap, onpage, search
 from ..sources import sitefiles
 from ..sources.pages import as_pages
@@ -150,7 +151,7 @@ def _quote(s: str) -> str:
 
 
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
+    return spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k")))
 
 
 def _cases(spark: SparkSession, sf_dir: str, html: tuple[str, ...]) -> DataFrame:
@@ -207,7 +208,7 @@ def contact_verdicts(spark, sf_dir):
     )
     pages = _keys(spark, sf_dir).select(k.alias("seq"), F.concat(F.lit("https://a.example.com/"), k.cast("string")).alias("url"), html.alias("html"))
     cols = ("n_values", "n_pages", "n_sources", "n_candidates")
-    return nap.verdicts(nap.page_candidates(as_pages(pages))).select("field", "verdict", "confidence", *(F.col(c).cast("long").alias(c) for c in cols), "value")
+    return nap.verdicts(cut(nap.page_candidates(as_pages(pages)), "candidates")).select("field", "verdict", "confidence", *(F.col(c).cast("long").alias(c) for c in cols), "value")
 
 
 def passage_cases(spark, sf_dir):
