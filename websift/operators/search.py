@@ -204,15 +204,18 @@ def _contest(shared, k: int, least: float, slack: float):
                 asked = stem[i:j] >= 0
                 parts.append(tuple(c[i:j][asked] for c in columns))
         solve()
-        for q, found in enumerate(contest.found):
-            if found is not None and len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(found[0]), pa.int64()), pa.array(found[0]), pa.array(found[1]), pa.array(found[2].astype(np.int64))], names=["query_id", "doc", "base", "matched"])
+        kept = [q for q, found in enumerate(contest.found) if found is not None and len(found[0])]
+        for at in range(0, len(kept), 1024):  # a batch for each query would cost more than its rows
+            own = kept[at : at + 1024]
+            doc, base, matched = (np.concatenate([contest.found[q][i] for q in own]) for i in range(3))
+            query = np.repeat(np.array([ids[q] for q in own], np.int64), [len(contest.found[q][0]) for q in own])
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(doc), pa.array(base), pa.array(matched.astype(np.int64))], names=["query_id", "doc", "base", "matched"])
 
     return run
 
 
 #: Documents a block, about; queries that are read and broadcast at a time, about.
-BLOCK_DOCS, QUERY_PART = 4096, 4096
+BLOCK_DOCS, QUERY_PART = 4096, 32768
 
 
 def leading(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", url_col: str | None = None, least: float = LEAST_SCORE, digits: int = 9) -> DataFrame:
