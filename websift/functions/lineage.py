@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -26,6 +27,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column whose value is computed once a row.
+
+    A plain column's expression is copied into every filter, join key and projection that reads it, and filters move it
+    below exchanges and groupings, to many more rows. The only element of an array, exploded, stays where it is.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 #: Bytes of files that a task reads by itself.
 SPLIT = 128 << 20
 

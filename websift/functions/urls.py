@@ -17,6 +17,9 @@ SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
 #: Scheme, authority, path, query and fragment of RFC 3986, appendix B.
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
+#: Absolute URLs that are their own normal form, the most frequent kind: a lower-cased name without port, a path of printable ASCII without query.
+CANONICAL = r"^https?://[a-z0-9._-]+/(?!/)(?!.*//)[!-~&&[^?#;]]*\z"
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -98,14 +101,15 @@ def normalize_url(url, base=None, strict_compat: bool = False) -> Column:
     without scheme:// even if a base is given, as the original command does: only absolute references and, on https
     pages, root-relative ones then keep their meaning.
     """
-    trimmed = F.trim(F.regexp_replace(_col(url), r"^\s+|\s+$", ""))
+    url = _col(url)
+    trimmed = F.trim(F.regexp_replace(url, r"^\s+|\s+$", ""))
     if base is None:
         full = let(trimmed, lambda t: F.when(t != "", with_scheme(t)))
     elif strict_compat:
         full = let(F.when(trimmed != "", with_scheme(trimmed)), lambda f: _rooted(f, _col(base)))
     else:
         full = let(trimmed, lambda t: F.when(t != "", resolve(t, base)))
-    return let(full, _canonical)
+    return F.when(url.rlike(CANONICAL), url).otherwise(let(full, _canonical))
 
 
 def _rooted(full: Column, base: Column) -> Column:

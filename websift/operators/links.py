@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.lineage import cut
+from ..functions.lineage import cut, once
 from ..sources import dom, sitefiles
 
 
@@ -42,10 +42,15 @@ def first_referrers(edges: DataFrame, k: int) -> DataFrame:
     """(dst_url, referrers): the first k distinct pages that link there, in the order of their first link.
 
     A page's links to one destination become one row first; of these every task passes on k a destination at most, so
-    that a page that everything links to costs no task more than k rows of each other one.
+    that a page that everything links to costs no task more than k rows of each other one. The first page alone is a
+    minimum a destination. A hash leads all keys: URLs of a site begin alike, and are slow to sort.
     """
-    first = edges.groupBy("dst_url", "src_url").agg(F.min(F.struct("src_seq", "pos")).alias("at"))
-    best = first.withColumn("_n", F.row_number().over(Window.partitionBy("dst_url").orderBy("at", "src_url"))).filter(F.col("_n") <= k)
+    edges = edges.withColumn("_h", F.xxhash64("dst_url"))
+    if k == 1:
+        first = edges.groupBy("_h", "dst_url").agg(F.min(F.struct("src_seq", "pos", "src_url")).alias("at"))
+        return first.select("dst_url", F.array("at.src_url").alias("referrers"))
+    first = edges.groupBy("_h", "dst_url", "src_url").agg(F.min(F.struct("src_seq", "pos")).alias("at"))
+    best = first.withColumn("_n", F.row_number().over(Window.partitionBy("_h", "dst_url").orderBy("at", "src_url"))).filter(F.col("_n") <= k)
     listed = F.array_sort(F.collect_list(F.struct("_n", "src_url")))
     return best.groupBy("dst_url").agg(F.transform(listed, lambda x: x["src_url"]).alias("referrers"))
 
@@ -56,7 +61,7 @@ def with_referrers(pages: DataFrame, edges: DataFrame, k: int = 1) -> DataFrame:
     Edges are those of captured pages. A page that nothing links to has none; what the column held before is replaced.
     """
     found = first_referrers(edges, k).select(F.col("dst_url").alias("_dst"), F.col("referrers").alias("_referrers"))
-    rows = pages.join(found, urls.normalize_url(pages["url"]) == F.col("_dst"), "left")
+    rows = once(pages, "_url", urls.normalize_url("url")).join(found, F.col("_url") == F.col("_dst"), "left")
     return rows.withColumn("referrers", F.coalesce("_referrers", F.array().cast("array<string>"))).select(*pages.columns)
 
 

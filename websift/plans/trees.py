@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import links, onpage, structure
 from ..sources import dom
 from ..sources.pages import as_pages
@@ -66,7 +67,7 @@ def shop_failures(spark, sf_dir):
     """Failed and orphaned pages of the shops, with referrers taken from the links."""
     edges = _shop_links(spark, sf_dir)
     offers = _table(spark, sf_dir, "customer").select(F.concat(F.lit("https://shop"), (F.col("c_custkey") % 3).cast("string"), F.lit(".example.com/offer/"), F.col("c_custkey").cast("string")).alias("url"))
-    known = edges.select(F.col("src_url").alias("url")).union(edges.select("dst_url")).union(offers).distinct()
+    known = cut(edges.select(F.explode(F.array("src_url", "dst_url")).alias("url")).union(offers).distinct(), "known")
     gone = F.char_length("url") % 5 == 3
     raw = known.select("url", F.when(gone, 404).otherwise(200).alias("status"), F.when(gone, "").otherwise("<p>x</p>").alias("html"), F.when(F.col("url").endswith(".com/"), 0).otherwise(1).alias("depth"))
     listed = known.filter(F.col("url").endswith("7")).select("url")
