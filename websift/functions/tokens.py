@@ -31,7 +31,9 @@ def words(text) -> Column:
     A word must not touch another letter or digit, accented ones included: those are turned into _ first, which is a word
     character for every engine's \\b.
     """
-    plain = F.regexp_replace(F.lower(_col(text)), r"[\p{L}\p{N}&&[^\x00-\x7F]]", "_")
+    text = _col(text)
+    ascii = F.octet_length(text) == F.char_length(text)
+    plain = F.when(ascii, F.lower(text)).otherwise(F.regexp_replace(F.lower(text), r"[\p{L}\p{N}&&[^\x00-\x7F]]", "_"))
     return F.regexp_extract_all(plain, F.lit(r"\b[a-z0-9][a-z0-9'-]*\b"), F.lit(0))
 
 

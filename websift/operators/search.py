@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from ..functions.lineage import cut
+from ..functions.lineage import cut, once
 from ..sources import dom
 
 # BM25, bonus and malus, and what an answer must reach.
@@ -36,13 +36,18 @@ def passages(rows: DataFrame, *order: str) -> DataFrame:
 
 def indexed(docs: DataFrame) -> DataFrame:
     """Add spoken (all words, joined by spaces), content (words without stop words) and length; passages without content are no documents."""
-    read = docs.withColumn("_w", tokens.words("text"))
-    return read.withColumn("spoken", F.array_join("_w", " ")).withColumn("content", tokens.content_words(F.col("_w"))).drop("_w").withColumn("length", F.size("content")).filter("length > 0")
+    read = once(docs, "_w", tokens.words("text"))
+    read = once(read, "content", tokens.content_words(F.col("_w"))).withColumn("spoken", F.array_join("_w", " ")).drop("_w")
+    return read.withColumn("length", F.size("content")).filter("length > 0").select(*docs.columns, "spoken", "content", "length")
 
 
 def vocabulary_of(docs: DataFrame) -> DataFrame:
-    """(word, stem) of every content word: the vocabulary is stemmed once, not the text."""
-    return tokens.with_stem(docs.select(F.explode("content").alias("word")).distinct(), "word")
+    """(word, stem) of every content word: the vocabulary is stemmed once, not the text.
+
+    The words are a table of their own: what is asked of their stems would otherwise be moved below the grouping, to every
+    word of the text.
+    """
+    return tokens.with_stem(cut(docs.select(F.explode("content").alias("word")).distinct(), "vocabulary"), "word")
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", vocabulary: DataFrame | None = None) -> DataFrame:
@@ -218,18 +223,24 @@ def _contest(shared, k: int, least: float, slack: float):
 BLOCK_DOCS, QUERY_PART = 4096, 32768
 
 
-def leading(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", url_col: str | None = None, least: float = LEAST_SCORE, digits: int = 9) -> DataFrame:
+def written_index(docs: DataFrame, id_col: str = "doc_id", url_col: str | None = None, *more: Column) -> DataFrame:
+    """(doc, demoted, spoken, content, length) of the indexed documents, and more columns of theirs, as a table."""
+    url = F.lower(F.col(url_col)).rlike("|".join(LEGAL_URL)) if url_col else F.lit(False)
+    named = [F.col(id_col).cast("long").alias("doc"), F.coalesce(url, F.lit(False)).alias("demoted")]
+    return cut(indexed(docs).select(*named, "spoken", "content", "length", *more), "index")
+
+
+def leading(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", url_col: str | None = None, least: float = LEAST_SCORE, digits: int = 9, index: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, doc, score, coverage, matched): `top_k` of `scores`, without a row for each pair that shares a stem. Ids are longs.
 
     Documents are dealt into blocks of one class of length. A block's postings meet in one worker, which keeps the
     greatest part of each stem there, passes over the queries whose stems can't add up to their k-th best score so far,
     and adds up the parts for the others. Only documents that can still be among the k best leave the worker; the
     phrase bonus is decided for them alone. The queries are read by the driver and broadcast a bounded number at a time.
+    The documents' `written_index` can be given where other steps read it as well.
     """
     spark = docs.sparkSession
-    url = F.lower(F.col(url_col)).rlike("|".join(LEGAL_URL)) if url_col else F.lit(False)
-    named = [F.col(id_col).cast("long").alias("doc"), F.coalesce(url, F.lit(False)).alias("demoted")]
-    index, prepared = cut(indexed(docs).select(*named, "spoken", "content", "length"), "index"), cut(prepared_queries(queries), "queries")
+    index, prepared = written_index(docs, id_col, url_col) if index is None else index, cut(prepared_queries(queries), "queries")
     stats = corpus_stats(index).first()
     deal = max(1, -(-stats.n_docs // BLOCK_DOCS))
     asked_for = prepared.select(F.explode("stems").alias("stem")).distinct()
@@ -279,11 +290,16 @@ def candidates_for_model(docs: DataFrame, queries: DataFrame, id_col: str = "doc
 
     Every query with a word to look for has candidates, found or not. The fill-in is the same for all queries: at most
     `total` distinct texts beyond what ranking found, so the product with the queries is bounded by total + best_n rows a query.
+    Equal texts are told by their SHA-256 and length, in the index: texts are read again for chosen documents alone.
     """
-    own = indexed(docs).select(F.col(id_col).cast("long").alias("doc"), "text")
-    ranked = cut(leading(docs, queries, best_n, id_col, url_col, digits=digits).select("query_id", "rank", "doc"), "ranked")
-    first = ranked.join(own, "doc").select("query_id", F.lit(0).alias("tier"), F.col("rank").cast("bigint").alias("at"), "doc", "text")
-    fill = own.filter(F.char_length("text") >= least_chars).groupBy("text").agg(F.min("doc").alias("doc")).orderBy("doc").limit(total + best_n)
+    index = written_index(docs, id_col, url_col, F.sha2("text", 256).alias("digest"), F.char_length("text").alias("n_chars"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc"), "text")
+    ranked = cut(leading(docs, queries, best_n, id_col, url_col, digits=digits, index=index).select("query_id", "rank", "doc"), "ranked")
+    filling = index.filter(F.col("n_chars") >= least_chars).groupBy("digest", "n_chars").agg(F.min("doc").alias("doc")).orderBy("doc").limit(total + best_n)
+    filling = cut(filling.select("doc"), "filling")
+    chosen = cut(own.join(ranked.select("doc").union(filling).distinct(), "doc", "left_semi"), "chosen")
+    first = ranked.join(chosen, "doc").select("query_id", F.lit(0).alias("tier"), F.col("rank").cast("bigint").alias("at"), "doc", "text")
+    fill = chosen.join(filling, "doc", "left_semi")
     asked = prepared_queries(queries).filter(F.size("tokens") > 0).select("query_id")
     more = asked.crossJoin(F.broadcast(fill)).select("query_id", F.lit(1).alias("tier"), F.col("doc").alias("at"), "doc", "text")  # a few rows for each
     once = F.row_number().over(Window.partitionBy("query_id", "text").orderBy("tier", "at"))
