@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF_DIR
 from websift.functions import urls
+from websift.functions.lineage import cut
 from websift.operators import links
 from websift.plans import registry
 from websift.sources.pages import as_pages
@@ -36,3 +37,14 @@ def test_plain_urls_are_their_own_normal_form(spark):
 
 def test_sites_of_shops_are_a_small_table(spark):
     assert "Aggregate" not in plan(registry._shops(spark, SF_DIR))
+
+
+def test_crawl_levels_read_keys_and_survive_equal_ones(spark, monkeypatch):
+    written, key = [], links._key
+    keep = lambda df, name="cut": written.append((name, [t for _, t in df.dtypes])) or cut(df, name)
+    monkeypatch.setattr(links, "cut", keep)
+    monkeypatch.setattr(links, "_key", lambda url, seed: F.length(url).cast("long") if seed < 2 else key(url, seed))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("x", "y"), ("c", "dd"), (None, "z"), ("a", "b")], "src_url string, dst_url string")
+    starts = spark.createDataFrame([("a", 0), ("q", 2), ("a", 3), ("y", 4)], "url string, depth int")
+    assert sorted(map(tuple, links.crawl_depth(starts, edges).collect())) == [("a", 0), ("b", 1), ("c", 1), ("dd", 2), ("q", 2), ("y", 4)]
+    assert [t for name, t in written if name == "edges"] == [["bigint", "bigint"]]

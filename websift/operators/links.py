@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -140,22 +140,33 @@ def crawl_plan(starts: DataFrame, edges: DataFrame, max_pages: int | None = None
 def crawl_depth(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(url, depth): the fewest clicks from the starts (url, depth), level by level over (src_url, dst_url) edges.
 
-    Each level is one join of what the level before found with the edges, and a table of its own; it ends when a level
-    is empty and no start is left, or max_depth, if given, is reached.
+    URLs are written once, as names of long keys; the edges that every level reads are pairs of keys. Each level is one
+    join of what the level before found with the edges, and a table of its own; it ends when a level is empty and no
+    start is left, or max_depth, if given, is reached.
     """
-    edges = cut(edges.select("src_url", "dst_url").distinct())  # every level reads it
+    edges = edges.select("src_url", "dst_url").filter("src_url is not null")
     given = cut(starts.groupBy("url").agg(F.min("depth").alias("depth")))
+    names = cut(edges.select(F.explode(F.array("src_url", "dst_url")).alias("url")).union(given.select("url")).distinct(), "names")
+    seed, n = 0, names.count()
+    while names.select(_key("url", seed)).distinct().count() < n:  # two URLs with one key: others are taken
+        seed += 1
+    edges = cut(edges.select(_key("src_url", seed).alias("src"), _key("dst_url", seed).alias("dst")).distinct(), "edges")
     level, top = given.agg(F.min("depth")).first()[0] or 0, given.agg(F.max("depth")).first()[0] or 0
+    given = given.select(_key("url", seed).alias("key"), "depth")
     found = [given.filter(F.col("depth") == level)]
     while max_depth is None or level < max_depth:
         level += 1
-        step = found[-1].join(edges, F.col("url") == F.col("src_url")).select(F.col("dst_url").alias("url"))
-        new = step.union(given.filter(F.col("depth") == level).select("url")).distinct()
-        known = reduce(DataFrame.unionByName, (f.select("url") for f in found))
-        found.append(cut(new.join(known, "url", "left_anti").withColumn("depth", F.lit(level))))
+        step = found[-1].join(edges, F.col("key") == F.col("src")).select(F.col("dst").alias("key"))
+        new = step.union(given.filter(F.col("depth") == level).select("key")).distinct()
+        known = reduce(DataFrame.unionByName, (f.select("key") for f in found))
+        found.append(cut(new.join(known, "key", "left_anti").withColumn("depth", F.lit(level))))
         if level >= top and found[-1].isEmpty():
             break
-    return reduce(DataFrame.unionByName, found)
+    return names.withColumn("key", _key("url", seed)).join(reduce(DataFrame.unionByName, found), "key").select("url", "depth")
+
+
+def _key(url: str, seed: int) -> Column:
+    return F.xxhash64(url, F.lit(seed))
 
 
 def orphans(pages: DataFrame, sitemap: DataFrame, edges: DataFrame) -> DataFrame:
