@@ -69,3 +69,12 @@ def test_clashing_names_and_both_decoders(odd, library):
     assert one == sorted(((r.doc_id, r.decoded) for r in again.collect()), key=str)
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
     assert all(d == library.decode(library.encode(texts[i], add_special_tokens=False).ids, skip_special_tokens=False) for i, d in one)
+
+
+def test_a_large_vocabulary_is_merged_once(monkeypatch):
+    with open(vocabulary_path(), "rb") as f:
+        fresh = bpe.Tokenizer(f.read())
+    text = " ".join(f"w{''.join(chr(97 + int(d)) for d in str(i))}" for i in range(100_000))
+    first = fresh.encode(text)
+    monkeypatch.setattr(fresh, "fragment", None)  # a word that was forgotten would be merged again
+    assert fresh.encode(text) == first

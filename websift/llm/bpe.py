@@ -28,7 +28,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+"  # of a run
 ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"  # of a run without white space
 SHOWN = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
 #: A worker remembers chunks and pieces in two generations of at most this many each.
-MEMO = 1 << 15
+MEMO = 1 << 17
 NONE = 1 << 40
 
 
