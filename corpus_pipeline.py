@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from websift.llm import bpe, jaccard, langid, mixing, secrets
-from websift.llm.common import drop_table, finished, fresh_path, sized
+from websift.llm.common import drop_table, finished, fresh_path, marked, sized
 from websift.llm.queries import vocabulary_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,12 +30,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of documents linked by 5-word shingles at a similarity of 0.8 or more.
 
-    Rows that share an id are kept or dropped together; rows without an id stay. The planner joins the ids to drop as
-    their size asks for.
+    Rows that share an id are kept or dropped together; rows without an id stay. Most documents that stay are told by a
+    small filter of the ids to drop where they are read; the others meet those ids themselves, by a join as the planner
+    sees fit.
     """
     groups = jaccard.similar_documents(docs, 5, 80, 100)
     dropped = finished(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "stage-dropped", groups)
-    return sized(docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti"), docs)
+    own = marked(docs.select(*COLUMNS), "doc_id", dropped, "met")
+    doubtful = own.filter("met").select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    return sized(own.filter("not met").select(*COLUMNS).unionByName(doubtful), docs)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,17 +51,9 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents as the mix takes them: as many copies as taken / size, rounded; none of what it leaves out.
 
-    Only one document of a shard is taken in part, so rounding moves a source by under half a document a shard. Rows
-    that share an id and a source are copied alike. A text without words has no copy to take. Null ids are looked up by
-    themselves: their rows are told apart by source alone, and copied alike too. The copies hold a row a document: the
-    planner joins them as their size asks for.
+    Rows that share an id and a source are copied alike, null ids among them; texts without words have no copy to take.
     """
-    taken = mixing.mix_sources(docs).groupBy("doc_id", "source").agg(F.floor(F.try_divide(F.sum("taken"), F.sum("size")) + 0.5).cast("int").alias("copies"))
-    own = docs.select(*COLUMNS)
-    same = [own["doc_id"].eqNullSafe(taken["doc_id"]), own["source"].eqNullSafe(taken["source"])]
-    mixed = own.join(taken.filter("copies > 0"), same).select(*(own[c] for c in COLUMNS), "copies")
-    copies = mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
-    return sized(copies, docs)
+    return sized(mixing.mixed_copies(docs.select(*COLUMNS)), docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,3 +24,12 @@ def test_shared_folder_must_be_given_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Session())
+
+
+@pytest.mark.parametrize("most", [1 << 28, 64])
+def test_marks_miss_no_id(spark, most):
+    rows = spark.createDataFrame([(i,) for i in range(4000)] + [(None,)], "n int")
+    found = common.marked(rows, "n", spark.range(0, 4000, 8), "met", most).collect()
+    assert len(found) == 4001 and all(r.met for r in found if r.n is not None and r.n % 8 == 0)
+    assert most == 64 or sum(r.met for r in found) < 500 + 0.06 * 3500
+    assert not any(r.met for r in common.marked(rows, "n", spark.range(0), "met").collect())

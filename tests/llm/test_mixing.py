@@ -1,12 +1,12 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from websift.llm.mixing import mix_sources, sainte_lague
+from websift.llm.mixing import mix_sources, mixed_copies, sainte_lague
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -89,3 +89,21 @@ def test_rows_without_an_id_are_spread(spark):
     docs = spark.createDataFrame([(None, f"w{i} " * (i % 9), "s") for i in range(2000)], "doc_id long, text string, source string")
     got = mix_sources(docs, rows_per_shard=10).collect()
     assert len(got) == 2000 and sum(r.taken for r in got) == got[0].target == sum(i % 9 for i in range(2000))
+
+
+def test_copies_are_what_the_mix_takes_rounded(spark, odd, none):
+    """Repeated ids and null ones included: rows that share an id and a source are copied alike."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, i, i, i // 3]), "w " * rnd.choice([0, 1, 5, rnd.randrange(60)]), rnd.choice(["a", "b", "b", None])) for i in range(2500)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = made.unionByName(odd.select("doc_id", "text", "source")).localCheckpoint()
+    taken, size = defaultdict(int), defaultdict(int)
+    for r in mix_sources(docs, rows_per_shard=20).collect():
+        taken[r.doc_id, r.source] += r.taken
+        size[r.doc_id, r.source] += r["size"]
+    want = Counter()
+    for r in docs.collect():
+        k = r.doc_id, r.source
+        want[tuple(r)] += int(taken[k] / size[k] + 0.5) if size[k] else 0
+    assert Counter(map(tuple, mixed_copies(docs, rows_per_shard=20).collect())) == +want
+    assert mixed_copies(none).count() == 0

@@ -1,5 +1,6 @@
 """The pipeline on sf0.001, every stage against a brute-force version of it."""
 
+import random
 import re
 import struct
 from collections import Counter, defaultdict
@@ -129,3 +130,31 @@ def test_odd_rows(spark, odd, none):
     assert Counter(r.doc_id for r in kept) == {1: 2, 2: 1, 3: 1, None: 1, 4: 1, 5: 1, 6: 1, 7: 1}
     assert corpus_pipeline.language(spark, odd, SF_DIR).filter("text is null or text in ('', '!!! ... 123 456')").count() == 0
     assert corpus_pipeline.language(spark, none, SF_DIR).count() == 0
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.near_duplicates, corpus_pipeline.source_mix])
+def test_texts_stay_where_they_are_read(spark, stage, tmp_path):
+    """Where no table is small enough for a broadcast by the planner, texts that repeat nothing aren't shuffled."""
+    rnd = random.Random(3)
+    made = [(i, " ".join(rnd.randbytes(12).hex() for _ in range(160)), "en", f"s{i % 3}", 0) for i in range(1500)]
+    made += [(i + 2000, made[i][1], "en", "s0", 0) for i in range(20)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs, before = spark.read.parquet(f"{tmp_path}/docs"), shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = stage(spark, docs, SF_DIR).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    given = {r[0]: r for r in made}
+    assert all(tuple(r) == given[r.doc_id] for r in rows) and len({r.doc_id for r in rows}) > 1000
+    if stage is corpus_pipeline.near_duplicates:
+        assert sorted(r.doc_id for r in rows) == list(range(1500))
+    assert shuffled(spark) - before < 0.4 * sum(len(r[1]) for r in made)

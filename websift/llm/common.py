@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 1 << 20
 #: A written table's files hold about so many bytes: the smaller until every core has two files, the larger from there on.
 SMALL_FILE, FILE = 256 << 10, 8 << 20
+#: A filter of ids has about so many bits an id, and so many (32 MB) in all at most.
+ID_BITS, FILTER_BITS = 32, 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +68,23 @@ def materialize(df: DataFrame, name: str, *sources: DataFrame, codec: str = "zst
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def marked(df: DataFrame, id_col: str, ids: DataFrame, mark: str, most: int = FILTER_BITS) -> DataFrame:
+    """df with a boolean column: true where the row's id is one of `ids`, a written table of one column, false for nearly all others.
+
+    The ids become a map of hashed bits, 4 bytes an id, which is broadcast, so that wide rows are told apart where they
+    are read and only the marked ones need meet the ids themselves. About one of 32 other ids is marked too; more of
+    them where the ids are so many that the map stops at `most` bits. Null ids are marked as any other value is.
+    """
+    bits = min(most, ID_BITS * max(1, ids.count()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    own = ids.select(place(F.col(ids.columns[0]).cast(df.schema[id_col].dataType)).alias("_place"))
+    maps = own.groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_map"))
+    at = F.bitmap_bit_position(place(id_col))
+    byte = F.conv(F.hex(F.substring("_map", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = df.withColumn("_bucket", F.bitmap_bucket_number(place(id_col))).join(F.broadcast(maps), "_bucket", "left")
+    return met.select(*df.columns, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias(mark))
+
+
 def drop_table(*tables: DataFrame) -> None:
     """Delete the files behind materialized tables that nothing reads any more."""
     for df in tables:

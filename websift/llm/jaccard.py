@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, drop_table, finished, materialize, shuffle_partitions, slices
+from .common import BLOCK, drop_table, finished, marked, materialize, shuffle_partitions, slices
 from .components import connected_components
 
 SPACE = np.zeros(256, bool)
@@ -209,10 +209,10 @@ def shared_postings(reps: DataFrame, hot, buckets: int) -> DataFrame:
 def verified(pairs: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The (a, b) pairs whose shingle sets reach the similarity, as a written table; checked on the whole texts with hashes of another seed.
 
-    Of the (id, text) rows only those of a pair travel any further than the one join that picks them.
+    Of the (id, text) rows those of a pair, and few others, get further than where they are read.
     """
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids", pairs)
-    texts = materialize(rows.join(ids, "id"), "jaccard-texts", rows)
+    texts = materialize(marked(rows, "id", ids, "met").filter("met").drop("met").join(ids, "id"), "jaccard-texts", rows)
     drop_table(ids)
     side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
     both_texts = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
