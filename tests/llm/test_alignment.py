@@ -120,3 +120,24 @@ def test_groups_and_links(spark):
     assert [found[i].told for i in (1, 2, 3)] == ["10,11|20;12|21", "", "10|20,21,22"]
     assert found[1].a_cuts == [2, 3] and found[1].b_cuts == [1, 2] and found[2].a_cuts == []
     assert found[1].links == ["11-20", "12-21"] and found[3].links == ["10-22"] and found[2].links == []
+
+
+def test_long_runs_are_those_of_the_pattern():
+    import re
+
+    rng = random.Random(6)
+    pattern = re.compile(r"\S{1000}|\s{1000}")
+    for _ in range(300):
+        text = "".join(rng.choice(["x", " ", "\u3000\x1c"]) * rng.choice([1, 2, 499, 500, 501, 999, 1000]) for _ in range(rng.randrange(6)))
+        assert alignment.has_long_run(text) == (pattern.search(text) is not None)
+
+
+def test_links_and_digests_leave_the_worker_without_tokens(spark):
+    """Tokens and their places are several numbers a word: only links, counts and a digest go back to Spark."""
+    docs = spark.createDataFrame([(1, "it's a b", 7), (2, None, 8)], "doc_id long, text string, links int")
+    steps = alignment.groups_text(alignment.align(alignment.tokenize(docs, A, B)), "told").collect()
+    found = alignment.measure(docs, A, B)
+    assert found.columns == ["doc_id", *alignment.MEASURES] and not set(alignment.TOKENS) & set(found.columns)
+    for x, y in zip(steps, found.collect(), strict=True):
+        assert (y.n_a, y.n_b, y.n_groups, y.links) == (len(x.a_ids), len(x.b_ids), len(x.a_cuts), x.links)
+        assert y.groups_sha256 == (hashlib.sha256(x.told.encode()).hexdigest() if x.told else "")

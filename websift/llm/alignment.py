@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment: where the tokens of two vocabularies end together, and what they link there.
 
-Python only tokenises: a worker gives each text's ids and the byte offsets at which its tokens end, for both
-vocabularies. All else is Spark's higher-order functions and joins: `array_intersect` of the two end arrays gives the
-cuts, `sequence` and `filter` their places among either's tokens, `transform` the groups and the links between them.
+A worker tokenises about a megabyte of texts and aligns them at once, while the tokens are at hand: marks at the byte
+offsets where one vocabulary's tokens end tell which of the other's end there, and numpy lays the groups out as text.
+Only links, counts and digests leave it; how often each pair of ids is linked in the corpus is Spark's joins and sums.
 
 Ids are the installed libraries': the byte-level vocabulary's ids follow the order of its merges (checked), so that it
 can also be read as a table of ranks, which the fastest of them encodes; texts with very long runs go to the other one.
@@ -10,33 +10,50 @@ can also be read as a table of ranks, which the fastest of them encodes; texts w
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 from tokenizers import Tokenizer
 
 from .bpe import byte_alphabet, shipped
-from .common import finished, materialize, slices, widened
+from .common import finished, materialize, slices, widened, without
 
 #: Fixed value: the pre-tokenizer of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that take the square of their length as ranks.
-LONG = re.compile(r"\S{1000}|\s{1000}")
+#: Pieces so long take the square of their length as ranks.
+LONG = 1000
+BLANK = re.compile(rf"\s{{{LONG}}}")
 NONE = np.zeros(0, np.int32)
 TOKENS = {name: ArrayType(IntegerType()) for name in ("a_ids", "a_ends", "b_ids", "b_ends")}
 #: Pairs with more than this part of all links are looked up by a broadcast: there are fewer of them than this number.
 FREQUENT = 1 << 17
 
 
+def has_long_run(text: str) -> bool:
+    """Whether as many characters as LONG stand together that are all white space, or none of which is."""
+    if len(text) < LONG:
+        return False
+    words = list(map(len, text.split()))
+    return max(words, default=0) >= LONG or len(text) - sum(words) >= LONG and BLANK.search(text) is not None
+
+
+def _whole(table: list[bytes], ids: list[int]) -> bytes:
+    """The bytes of ids, joined."""
+    return b"".join(itemgetter(*ids)(table)) if len(ids) > 1 else b"".join(table[i] for i in ids)
+
+
 class Both:
     """The tokenizers of two vocabulary files, and the bytes of their tokens."""
 
@@ -66,9 +83,9 @@ class Both:
         if not text:
             return (NONE,) * 4
         spaced = " " + text
-        a = self.a.encode(spaced, add_special_tokens=False).ids if LONG.search(text) else self.fast.encode_ordinary(spaced)
+        a = self.a.encode(spaced, add_special_tokens=False).ids if has_long_run(text) else self.fast.encode_ordinary(spaced)
         b = self.b.encode(text, num_threads=1)
-        if not b"".join(map(self.a_bytes.__getitem__, a)) == spaced.encode() == b"".join(map(self.b_bytes.__getitem__, b)):
+        if not _whole(self.a_bytes, a) == spaced.encode() == _whole(self.b_bytes, b):
             return (NONE,) * 4
         a, b = np.array(a, np.int32), np.array(b, np.int32)
         return a, np.cumsum(self.a_length[a], dtype=np.int32), b, np.cumsum(self.b_length[b], dtype=np.int32)
@@ -107,18 +124,70 @@ def tokenize(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text")
     return rows.mapInArrow(run, widened(rows.drop("_text").schema, **TOKENS))
 
 
-def _bound(value: str | Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that a lambda holds: a column's array is then fetched from the row once, not for each element."""
-    return F.get(F.transform(F.array(value), body), 0)
+class Side(NamedTuple):
+    """One vocabulary's tokens of some rows, one row after another."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+    #: Where each row's tokens start among these, and the last row's end.
+    rows: np.ndarray
+
+    def by_row(self, values: np.ndarray) -> np.ndarray:
+        """The sum of the tokens' values in each row."""
+        return np.diff(np.concatenate([[0], np.cumsum(values)])[self.rows])
 
 
-def _places(ends: str, merged: str) -> Column:
-    """1-based places in `ends` of the cuts, given the cuts merged into it: an end that stands twice is a cut, and each cut before it moved it by one."""
-    def among(m: Column) -> Column:
-        twice = F.filter(F.sequence(F.lit(1), F.size(m) - 1), lambda k: F.get(m, k) == F.get(m, k - 1))
-        return F.transform(twice, lambda k, rank: k - rank)
+def _side(ids: list[np.ndarray], ends: list[np.ndarray]) -> Side:
+    return Side(np.concatenate([*ids, NONE]), np.concatenate([*ends, NONE]), np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64)]))
 
-    return F.when(F.size(ends) > 0, _bound(merged, among)).otherwise(F.array().cast("array<int>"))
+
+def cut(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of each vocabulary end where one of the other does, in the same row.
+
+    As no token is empty, exactly one token of each ends at a cut; a row's last tokens end together.
+    """
+    ends = [np.concatenate([[0], x.ends])[np.where(np.diff(x.rows) > 0, x.rows[1:], 0)] for x in (a, b)]
+    base = np.concatenate([[0], np.cumsum(np.maximum(*ends), dtype=np.int64)])
+    at_a, at_b = (x.ends + np.repeat(base[:-1], np.diff(x.rows)) for x in (a, b))
+    ends_a, ends_b = np.zeros((2, base[-1] + 1), bool)
+    ends_a[at_a] = ends_b[at_b] = True
+    return ends_b[at_a], ends_a[at_b]
+
+
+def link(a: Side, b: Side, last_a: np.ndarray, last_b: np.ndarray) -> np.ndarray:
+    """The links (first id * 2^32 + second id) between the tokens that end at cuts."""
+    return a.ids[last_a].astype(np.int64) << 32 | b.ids[last_b]
+
+
+@lru_cache(maxsize=2)
+def _numerals(bits: int) -> tuple[np.ndarray, ...]:
+    """Every number below 2^bits in decimal and a separator, `,` `|` `;`, as 8 bytes padded with zeros; and its length with the separator."""
+    if bits > 23:
+        raise ValueError("ids of more than 7 digits")
+    decimal = np.arange(1 << bits).astype("S7")
+    return *(np.strings.add(decimal, sep).astype("S8").view(np.uint64) for sep in (b",", b"|", b";")), np.strings.str_len(decimal).astype(np.int64) + 1
+
+
+def write(a: Side, b: Side, last_a: np.ndarray, last_b: np.ndarray) -> Iterator[memoryview]:
+    """Each row's groups as text, `a1,a2|b1;a3|b2,b3`: ids of A and B in order; empty without tokens."""
+    comma, bar, semicolon, length = _numerals(max(map(int.bit_length, (int(x.ids.max(initial=0)) for x in (a, b)))))
+    stop_a, stop_b = (np.flatnonzero(last) + 1 for last in (last_a, last_b))
+    out = np.empty(len(a.ids) + len(b.ids), np.uint64)  # a group's A tokens come after the B tokens of the groups before it
+    out[np.arange(len(a.ids)) + np.repeat(np.concatenate([[0], stop_b])[:-1], np.diff(stop_a, prepend=0))] = np.where(last_a, bar[a.ids], comma[a.ids])
+    out[np.arange(len(b.ids)) + np.repeat(stop_a, np.diff(stop_b, prepend=0))] = np.where(last_b, semicolon[b.ids], comma[b.ids])
+    cells = out.view(np.uint8)
+    text = memoryview(cells[cells != 0])
+    start = 0
+    for n in (a.by_row(length[a.ids]) + b.by_row(length[b.ids])).tolist():
+        yield text[start : start + max(0, n - 1)]
+        start += n
+
+
+def _sides(batch: pa.RecordBatch) -> tuple[Side, Side]:
+    """Both vocabularies' tokens of a batch of tokenised rows."""
+    column = lambda c: batch.column(batch.schema.get_field_index(c)).flatten().to_numpy()
+    rows = lambda c: np.concatenate([[0], np.cumsum(batch.column(batch.schema.get_field_index(c)).value_lengths().to_numpy(), dtype=np.int64)])
+    return Side(column("a_ids"), column("a_ends"), rows("a_ids")), Side(column("b_ids"), column("b_ends"), rows("b_ids"))
 
 
 def align(tokens: DataFrame) -> DataFrame:
@@ -126,31 +195,61 @@ def align(tokens: DataFrame) -> DataFrame:
 
     The byte offsets where tokens of both vocabularies end cut them into groups. As no token is empty, exactly one token
     of each ends at a cut, so a group has one link: that of its last tokens. Rows without tokens have empty arrays.
+    Columns named as the three are replaced.
     """
-    cut = tokens.withColumn("_cuts", F.array_intersect("a_ends", "b_ends"))
-    merged = cut.withColumns({f"_{x}": F.sort_array(F.concat(f"{x}_ends", "_cuts")) for x in "ab"}).drop("_cuts")
-    placed = merged.withColumns({f"{x}_cuts": _places(f"{x}_ends", f"_{x}") for x in "ab"}).drop("_a", "_b")
+    tokens = without(tokens, "a_cuts", "b_cuts", "links")
 
-    def linked(a: Column, b: Column) -> Column:
-        return F.zip_with("a_cuts", "b_cuts", lambda i, j: F.shiftleft(F.get(a, i - 1).cast("long"), 32) + F.get(b, j - 1))
+    def run(batches):
+        for batch in batches:
+            a, b = _sides(batch)
+            last = cut(a, b)
+            places, lists = [np.flatnonzero(x) for x in last], a.by_row(last[0])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lists)]).astype(np.int32))
+            values = [(p + 1 - np.repeat(x.rows[:-1], lists)).astype(np.int32) for p, x in zip(places, (a, b), strict=True)]
+            added = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (*values, link(a, b, *last))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "a_cuts", "b_cuts", "links"])
 
-    return placed.withColumn("links", _bound("a_ids", lambda a: _bound("b_ids", lambda b: linked(a, b))))
+    return tokens.mapInArrow(run, widened(tokens.schema, a_cuts=ArrayType(IntegerType()), b_cuts=ArrayType(IntegerType()), links=ArrayType(LongType())))
 
 
 def groups_text(aligned: DataFrame, name: str) -> DataFrame:
     """Add the groups of aligned rows as text under a name, `a1,a2|b1;a3|b2,b3`: ids of A and B in order; empty without tokens."""
-    written = aligned.withColumns({f"_{x}": F.col(f"{x}_ids").cast("array<string>") for x in "ab"})
-    before = {f"_{x}_from": F.concat(F.array(F.lit(0)), F.slice(f"{x}_cuts", 1, F.greatest(F.size(f"{x}_cuts") - 1, F.lit(0)))) for x in "ab"}
+    aligned = without(aligned, name)
+
+    def run(batches):
+        for batch in batches:
+            a, b = _sides(batch)
+            told = pa.array([str(t, "ascii") for t in write(a, b, *cut(a, b))], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, told], names=[*batch.schema.names, name])
 
-    def side(x: str) -> Column:
-        """A string for each group; a row without tokens gets one null, which array_join leaves out."""
-        def group(ids: Column, start: Column, stop: Column) -> Column:
-            return F.when(stop - start == 1, F.get(ids, start)).otherwise(F.array_join(F.slice(ids, start + 1, stop - start), ","))
+    return aligned.mapInArrow(run, widened(aligned.schema, **{name: "string"}))
 
-        return _bound(f"_{x}", lambda ids: F.zip_with(f"_{x}_from", f"{x}_cuts", lambda start, stop: group(ids, start, stop)))
 
-    groups = F.zip_with(side("a"), side("b"), lambda a, b: F.concat(a, F.lit("|"), b))
-    return written.withColumns(before).withColumn(name, F.array_join(groups, ";")).drop("_a", "_b", *before)
+MEASURES = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "links": ArrayType(LongType())}
+
+
+def measure(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
+    """Add n_a, n_b, n_groups, n_links, groups_sha256, links to every row in place of its text: what `tokenize`, `align` and `groups_text` give, in one go.
+
+    groups_sha256 digests the groups' text; it is empty for texts without tokens. Rows are taken as by `tokenize`.
+    """
+    a_file, b_file = shipped(docs, a_path), shipped(docs, b_path)
+    kept = [c for c in docs.columns if c != text_col and c.lower() not in MEASURES]
+    rows = docs.select(*kept, F.col(text_col).alias("_text"))
+
+    def run(batches):
+        own = both(a_file.value, b_file.value)
+        for batch in (part for b in batches for part in slices(b, len(kept))):
+            a_ids, a_ends, b_ids, b_ends = zip(*(own.tokens(t) for t in batch.column(len(kept)).to_pylist()), strict=True)
+            a, b = _side(a_ids, a_ends), _side(b_ids, b_ends)
+            last = cut(a, b)
+            groups = a.by_row(last[0])
+            links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(groups)]).astype(np.int32)), pa.array(link(a, b, *last)))
+            digests = [hashlib.sha256(t).hexdigest() if len(t) else "" for t in write(a, b, *last)]
+            counts = (np.diff(a.rows), np.diff(b.rows), groups, groups)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), links], names=[*kept, *MEASURES])
+
+    return rows.mapInArrow(run, widened(rows.drop("_text").schema, **MEASURES))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -189,14 +288,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     are zeros. Counts are taken over all rows, repeated ones included, so that equal texts have equal values. An empty
     table gives no rows. Other columns are not read, whatever their names.
     """
-    tokens = tokenize(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_words")), a_path, b_path, "_words")
-    aligned = groups_text(align(tokens), "_groups")
-    told = aligned.select(
-        F.monotonically_increasing_id().alias("_row"), "_id",
-        F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"),
-        F.size("a_cuts").cast("long").alias("n_groups"), F.size("links").cast("long").alias("n_links"),
-        F.when(F.col("_groups") == "", "").otherwise(F.sha2("_groups", 256)).alias("groups_sha256"), "links",
-    )
+    told = measure(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_words")), a_path, b_path, "_words")
+    told = told.withColumn("_row", F.monotonically_increasing_id())
     table = materialize(told, "alignment-tokens")
     scores = score_links(table, "_row", frequent)
     whole = table.drop("links").join(scores, "_row", "left").fillna(0, ["n_best", "count_sum"])
