@@ -188,7 +188,7 @@ class Answering(Contest):
 
     A document with fewer than `need` of a query's stems is no answer; it only takes the place of one. The first round
     keeps the best documents that have enough; a query without any is not answered, whatever else would rank first. The
-    second one begins with the scores that those reached and keeps what else reaches them. What it looks for among four
+    second one begins with the scores that those reached and keeps the others that reach them. What it looks for among four
     stems or more has no bonus, as a document with all of them but two has enough.
 
     In both, a document must reach a sum: of its stems, or of their parts in steps, rounded up. Stems that many documents
@@ -198,7 +198,7 @@ class Answering(Contest):
 
     def __init__(self, stems: list[np.ndarray], bonus: np.ndarray, legal: np.ndarray, least: float, slack: float, need: np.ndarray, floor: np.ndarray, first: bool):
         super().__init__(stems, bonus, legal, 1, least, slack)
-        self.need, self.floor, self.first, self.scored = np.maximum(1, need) if first else np.ones_like(need), floor.astype(float), first, 0
+        self.need, self.floor, self.first, self.scored = np.maximum(1, need), floor.astype(float), first, 0
         self.of = np.repeat(np.arange(len(stems)), self.size)
 
     def block(self, doc: np.ndarray, stem: np.ndarray, part: np.ndarray, demoted: np.ndarray, n_stems: int) -> None:
@@ -216,7 +216,7 @@ class Answering(Contest):
             most[many > 0] = np.maximum.reduceat(part, start[:-1][many > 0])
         has, bound = np.bincount(self.of[many[self.flat] > 0], minlength=len(self.size)), np.bincount(self.of, most[self.flat], len(self.size))
         bonus = self.bonus if self.first else np.where(self.size < 4, self.bonus, 0.0)
-        possible = (has >= self.need) & (bound + bonus > self.least) & (bound + bonus >= self.floor - self.slack)
+        possible = (has >= (self.need if self.first else 1)) & (bound + bonus > self.least) & (bound + bonus >= self.floor - self.slack)
         self.skipped += int((~possible).sum())
         asked = np.flatnonzero(possible)
         if not len(asked):
@@ -288,7 +288,7 @@ class Answering(Contest):
             lists = [slice(start[s], start[s + 1]) for s in own.tolist()]
             every = np.concatenate([at[s] for s in lists])
             base, matched = np.bincount(every, np.concatenate([part[s] for s in lists]), len(docs))[hit], np.bincount(every, minlength=len(docs))[hit]
-        yes = matched >= self.need[q]
+        yes = (matched >= self.need[q]) == self.first
         hit, base, matched = hit[yes], base[yes], matched[yes]
         self.keep(q, docs[hit], base, matched, np.where(low[hit] & ~self.legal[q], LEGAL_FACTOR, 1.0))
 
@@ -322,9 +322,9 @@ def _contest(shared, k: int, least: float, slack: float):
         kept = [q for q, found in enumerate(contest.found) if found is not None and len(found[0])]
         for at in range(0, len(kept), 1024):  # a batch for each query would cost more than its rows
             own = kept[at : at + 1024]
-            doc, base, matched = (np.concatenate([contest.found[q][i] for q in own]) for i in range(3))
+            doc, base, matched, sure, most = (np.concatenate([contest.found[q][i] for q in own]) for i in range(5))
             query = np.repeat(np.array([ids[q] for q in own], np.int64), [len(contest.found[q][0]) for q in own])
-            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(doc), pa.array(base), pa.array(matched.astype(np.int64))], names=["query_id", "doc", "base", "matched"])
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(doc), pa.array(base), pa.array(matched.astype(np.int64)), *([pa.array(sure), pa.array(most)] if answering else [])], names=["query_id", "doc", "base", "matched", *(["sure", "most"] if answering else [])])
 
     return run
 
@@ -419,7 +419,6 @@ def best_answers(index: DataFrame, prepared: DataFrame, by_url: bool, digits: in
     stats, weighted = _weighted(index, prepared)
     block, n_blocks = _blocks(index, stats.n_docs)
     dealt = weighted.select(block.cast("long").alias("block"), "doc", "stem", "part", "demoted").repartitionById(n_blocks, F.col("block").cast("int"))
-    legal = prepared.select("query_id", "legal")
     turns = max(1, -(-prepared.count() // ANSWER_PART))
     found = []
     for turn in range(turns):
@@ -433,19 +432,18 @@ def best_answers(index: DataFrame, prepared: DataFrame, by_url: bool, digits: in
 
         def contested(of: list[int], floor: np.ndarray, first: bool) -> DataFrame:
             shared = spark.sparkContext.broadcast(([ids[q] for q in of], [stems[q] for q in of], bonus[of], demand[of], names.to_pylist(), need[of], floor, first))  # noqa: B023
-            return cut(dealt.mapInArrow(_contest(shared, 1, LEAST_SCORE, slack), "query_id long, doc long, base double, matched long"), "leading")
+            return cut(dealt.mapInArrow(_contest(shared, 1, LEAST_SCORE, slack), "query_id long, doc long, base double, matched long, sure double, most double"), "leading")
 
         enough = contested(list(range(len(ids))), np.full(len(ids), ANSWER_SCORE), True) if ids else None
         if enough is None:
             continue
-        found.append(enough)
-        sure = F.when(F.col("demoted") & ~F.col("legal"), F.col("base") * LEGAL_FACTOR).otherwise(F.col("base"))
-        reached = enough.join(index.select("doc", "demoted"), "doc").join(legal, "query_id").groupBy("query_id").agg(F.max(sure).alias("floor")).toArrow()
-        floors = dict(zip(reached["query_id"].to_pylist(), reached["floor"].to_pylist(), strict=True))
+        reached = cut(enough.groupBy("query_id").agg(F.max("sure").alias("floor")), "floors")
+        found.append(enough.join(reached, "query_id").filter(F.col("most") >= F.col("floor") - slack).drop("floor"))
+        floors = {r.query_id: r.floor for r in reached.collect()}
         if open_ones := [q for q in range(len(ids)) if ids[q] in floors and need[q] > 1]:
             found.append(contested(open_ones, np.array([max(ANSWER_SCORE, floors[ids[q]]) for q in open_ones]), False))
     rows = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, doc long, base double, matched long")
-    return _ranked(rows.groupBy("query_id", "doc").agg(F.max("base").alias("base"), F.max("matched").alias("matched")), index, prepared, 1, by_url, digits=digits)
+    return _ranked(rows.select("query_id", "doc", "base", "matched"), index, prepared, 1, by_url, digits=digits)
 
 
 def answers(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", url_col: str | None = None) -> DataFrame:
